@@ -4,17 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .packing import op3_drr_packing
 from .shard_shuffle import op2_external_shuffle
+from .token_store import op10_simple8b
 from .url_cascade import ORACLE_OP8, op8_url_cascade
 
 Query = Callable[[SparkSession, str], DataFrame]
+BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 QUERIES: dict[str, Query] = {
     "op2_external_shuffle": lambda s, d: op2_external_shuffle(table(s, d, "documents")),
+    "op3_drr_packing": lambda s, d: op3_drr_packing(table(s, d, "documents"), BPE),
     "op8_url_cascade": lambda s, d: op8_url_cascade(table(s, d, "pages")),
+    "op10_simple8b": lambda s, d: op10_simple8b(table(s, d, "documents"), BPE),
 }
 
 ORACLE: dict[str, str] = {"op8_url_cascade": ORACLE_OP8}
