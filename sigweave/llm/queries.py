@@ -8,6 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .html_consensus import op9_consensus_paths
+from .media import op5_signature_sniffing
 from .packing import op3_drr_packing
 from .shard_shuffle import op2_external_shuffle
 from .token_store import op10_simple8b
@@ -19,7 +21,9 @@ BPE = public_tokenizers.path("byte_bpe_50k.json")
 QUERIES: dict[str, Query] = {
     "op2_external_shuffle": lambda s, d: op2_external_shuffle(table(s, d, "documents")),
     "op3_drr_packing": lambda s, d: op3_drr_packing(table(s, d, "documents"), BPE),
+    "op5_signature_sniffing": lambda s, d: op5_signature_sniffing(table(s, d, "documents")),
     "op8_url_cascade": lambda s, d: op8_url_cascade(table(s, d, "pages")),
+    "op9_consensus_paths": lambda s, d: op9_consensus_paths(table(s, d, "pages")),
     "op10_simple8b": lambda s, d: op10_simple8b(table(s, d, "documents"), BPE),
 }
 
