@@ -11,6 +11,7 @@ from .common import table
 from .html_consensus import op9_consensus_paths
 from .media import op5_signature_sniffing
 from .packing import op3_drr_packing
+from .quality_kn import op7_kneser_ney
 from .shard_shuffle import op2_external_shuffle
 from .token_store import op10_simple8b
 from .url_cascade import ORACLE_OP8, op8_url_cascade
@@ -22,6 +23,7 @@ QUERIES: dict[str, Query] = {
     "op2_external_shuffle": lambda s, d: op2_external_shuffle(table(s, d, "documents")),
     "op3_drr_packing": lambda s, d: op3_drr_packing(table(s, d, "documents"), BPE),
     "op5_signature_sniffing": lambda s, d: op5_signature_sniffing(table(s, d, "documents")),
+    "op7_kneser_ney": lambda s, d: op7_kneser_ney(table(s, d, "documents"), table(s, d, "labels")),
     "op8_url_cascade": lambda s, d: op8_url_cascade(table(s, d, "pages")),
     "op9_consensus_paths": lambda s, d: op9_consensus_paths(table(s, d, "pages")),
     "op10_simple8b": lambda s, d: op10_simple8b(table(s, d, "documents"), BPE),
