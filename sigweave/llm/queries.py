@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .html_consensus import op9_consensus_paths
 from .media import op5_signature_sniffing
+from .near_dedup import op4_consistent_sampling
 from .packing import op3_drr_packing
 from .quality_kn import op7_kneser_ney
 from .shard_shuffle import op2_external_shuffle
@@ -22,6 +23,7 @@ BPE = public_tokenizers.path("byte_bpe_50k.json")
 QUERIES: dict[str, Query] = {
     "op2_external_shuffle": lambda s, d: op2_external_shuffle(table(s, d, "documents")),
     "op3_drr_packing": lambda s, d: op3_drr_packing(table(s, d, "documents"), BPE),
+    "op4_consistent_sampling": lambda s, d: op4_consistent_sampling(table(s, d, "documents")),
     "op5_signature_sniffing": lambda s, d: op5_signature_sniffing(table(s, d, "documents")),
     "op7_kneser_ney": lambda s, d: op7_kneser_ney(table(s, d, "documents"), table(s, d, "labels")),
     "op8_url_cascade": lambda s, d: op8_url_cascade(table(s, d, "pages")),
