@@ -1,9 +1,10 @@
 """Byte-level BPE over Arrow batches, with each distinct piece of text encoded once.
 
-A text is cut before its single spaces, where the pre-tokenizer always cuts too, so the ids of
-a text are those of its chunks end to end. Chunks are dictionary-encoded, split by the
-pre-tokenizer's pattern, and only pre-tokens not met before go to the tokenizer. Texts in which
-a space stands inside a run of white space are encoded whole.
+Ids never cross the bounds of pre-tokens, so a text's ids are those of its pre-tokens end to end.
+Plain Latin texts are split by classes of bytes; others are cut before their single spaces, where
+the pre-tokenizer always cuts too, and the chunks split by its pattern. Pre-tokens are
+dictionary-encoded, and only those not met before go to the tokenizer. Texts in which a space
+stands inside a run of white space are encoded whole.
 """
 
 from __future__ import annotations
@@ -21,9 +22,16 @@ RUN = r"[\s\v\x{1c}-\x{1f}\x{85}\p{Z}] (?:[\s\v\x{1c}-\x{1f}\x{85}\p{Z}]|$)"
 #: The split pattern of byte-level BPE, a fixed value of the vocabulary's format.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPACE = "Ġ"  # how the byte alphabet writes a space
-CACHE = 600_000
+CACHE = 500_000
 JOINED = 2_000
 
+#: Kinds of bytes: a single space, other white space, letters (as lead and trail bytes of U+00C0 to U+027F), digits, others.
+SINGLE, BLANK, REFUSED = 0, 1, 9
+CLASS = np.full(256, 4, np.uint8)
+CLASS[32], CLASS[9:14], CLASS[48:58] = SINGLE, BLANK, 3
+CLASS[65:91] = CLASS[97:123] = CLASS[0x80:0xC0] = CLASS[0xC3:0xCA] = 2
+CLASS[[39, 0xC0, 0xC1, 0xC2]] = CLASS[28:32] = CLASS[0xCA:256] = REFUSED
+
 
 def byte_alphabet() -> dict[int, str]:
     """Byte to character: printable bytes stand for themselves, the others follow from 256 up."""
@@ -33,7 +41,7 @@ def byte_alphabet() -> dict[int, str]:
 
 
 class BpeEncoder:
-    """Encodes batches of texts to ids; keeps up to ``CACHE`` pre-tokens and as many chunks."""
+    """Encodes batches of texts to ids; keeps the first ``CACHE`` pre-tokens or so."""
 
     def __init__(self, path: str):
         self.whole = Tokenizer.from_file(path)
@@ -47,14 +55,14 @@ class BpeEncoder:
         self.begins = np.zeros(max(vocab.values()) + 1, bool)
         self.begins[[i for t, i in vocab.items() if t.startswith(SPACE)]] = True
         self.cache: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
 
-    def _encode_new(self, words: list[str]) -> None:
+    def _encode_new(self, words: list[str]) -> dict[str, bytes]:
+        out = {}
         led = [w for w in words if w[0] == " " and not w.isspace()]
         bare = [w for w in words if w[0] != " " and not w.isspace()]
         for w in words:
             if w.isspace():
-                self.cache[w] = np.array(self.whole.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+                out[w] = np.array(self.whole.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
         for group, glue in ((led, " "), (bare, f" {SPACE} ")):
             for at in range(0, len(group), JOINED):
                 part = group[at : at + JOINED]
@@ -71,43 +79,80 @@ class BpeEncoder:
                     raise AssertionError("pre-tokens and ids don't line up")
                 raw = ids.tobytes()
                 for w, a, b in zip(part, starts, ends):
-                    self.cache[w] = raw[4 * a : 4 * b]
-
-    def _chunk_ids(self, chunks: list[str]) -> list[bytes]:
-        known = self.chunks
-        out = [known.get(c) for c in chunks]
-        missing = [c for c, x in zip(chunks, out) if x is None]
-        if not missing:
-            return out
-        found = [self.find(c) for c in missing]
+                    out[w] = raw[4 * a : 4 * b]
+        return out
+
+    def _gather(self, ids: list[bytes], row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of entries ``row`` end to end, and each entry's number."""
+        lens = np.fromiter(map(len, ids), np.int32, len(ids)) >> 2
+        store, begin = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(lens, dtype=np.int64) - lens
+        each = lens[row]
+        ends = np.cumsum(each, dtype=np.int64)
+        return store[np.arange(ends[-1]) + np.repeat(begin[row] - ends + each, each)], each
+
+    def _latin(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids and counts of the texts that bytes alone can split into pre-tokens, and which these are.
+
+        They have Latin letters up to U+027F, no apostrophe and no two white spaces in a row.
+        """
+        n = len(texts)
+        bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
+        data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] else np.zeros(0, np.uint8)
+        data = data[bounds[0] : bounds[-1]]
+        bounds = bounds - bounds[0]
+        kind = CLASS[data]
+        begins = np.zeros(len(data) + 1, bool)
+        begins[bounds] = True
+        head = begins[:-1]
+        wrong = kind == REFUSED
+        follows = ~head[1:]
+        wrong[1:] |= (kind[1:] <= BLANK) & (kind[:-1] <= BLANK) & follows
+        wrong[:-1] |= (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))
+        own = np.ones(n, bool)
+        own[np.searchsorted(bounds, np.flatnonzero(wrong), side="right") - 1] = False
+        own &= np.diff(bounds) > 0
+        starts = head.copy()
+        starts[1:] |= (kind[1:] <= BLANK) | ((kind[1:] != kind[:-1]) & (kind[:-1] != SINGLE))
+        if not own.all():
+            starts &= np.repeat(own, np.diff(bounds))
+        at = np.flatnonzero(starts)
+        if not len(at):
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64), own
+        if own.all():
+            cuts = np.append(at, len(data))
+            words = pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+        else:
+            inside = np.repeat(own, np.diff(bounds))
+            moved = np.cumsum(inside) - inside
+            data = np.ascontiguousarray(data[inside])
+            cuts = np.append(moved[at], len(data))
+            words = pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(data)])
+        coded = words.dictionary_encode()
+        ids = self._pretoken_ids(coded.dictionary.to_pylist())
+        stream, each = self._gather(ids, coded.indices.to_numpy())
+        text_of = np.searchsorted(bounds, at, side="right") - 1
+        counts = np.bincount(text_of, weights=each, minlength=n).astype(np.int64)
+        return stream, counts[own], own
+
+    def _pretoken_ids(self, words: list[str]) -> list[bytes]:
         cache = self.cache
-        new = {w for ws in found for w in ws if w not in cache}
-        if len(cache) + len(new) > CACHE:
-            cache.clear()
-            new = {w for ws in found for w in ws}
+        out = [cache.get(w) for w in words]
+        new = [w for w, x in zip(words, out) if x is None]
         if new:
-            self._encode_new(list(new))
-        fresh = dict(zip(missing, [cache[ws[0]] if len(ws) == 1 else b"".join([cache[w] for w in ws]) for ws in found]))
-        out = [fresh[c] if x is None else x for c, x in zip(chunks, out)]
-        if len(known) + len(fresh) > CACHE:
-            known.clear()
-        known.update(fresh)
+            fresh = self._encode_new(new)
+            out = [fresh[w] if x is None else x for w, x in zip(words, out)]
+            if len(cache) + len(fresh) <= CACHE:
+                cache.update(fresh)
         return out
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts end to end, and each text's number of ids. A null text has none."""
-        if isinstance(texts, pa.ChunkedArray):
-            texts = texts.combine_chunks()
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        n = len(texts)
+    def _chunks(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and counts of texts that are not empty, cut before their single spaces."""
         odd = pc.match_substring_regex(texts, RUN).to_numpy(zero_copy_only=False).astype(bool)
-        empty = (pc.binary_length(texts).to_numpy() == 0) if n else np.zeros(0, bool)
-        plain = ~odd & ~empty
-        counts = np.zeros(n, np.int64)
-        parts = pc.split_pattern(texts.filter(pa.array(plain)), " ")
-        sizes = pc.list_value_length(parts).to_numpy() if len(parts) else np.zeros(0, np.int64)
+        counts = np.zeros(len(texts), np.int64)
         stream = np.zeros(0, "<u4")
+        parts = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
         if len(parts):
+            sizes = pc.list_value_length(parts).to_numpy()
             coded = pc.list_flatten(parts).dictionary_encode()
             coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
             codes = coded.indices.to_numpy().astype(np.int64) * 2 + 1  # odd: a space stands before
@@ -117,25 +162,42 @@ class BpeEncoder:
             used[codes] = True
             keys = np.flatnonzero(used)
             words = coded.dictionary.to_pylist()
-            ids = self._chunk_ids([" " + words[k >> 1] if k & 1 else words[k >> 1] for k in keys.tolist()])
+            found = [self.find(" " + words[k >> 1] if k & 1 else words[k >> 1]) for k in keys.tolist()]
+            known = list({w for ws in found for w in ws})
+            held = dict(zip(known, self._pretoken_ids(known)))
             place = np.zeros(len(used), np.int64)
             place[keys] = np.arange(len(keys))
-            lens = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-            store, begin = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(lens) - lens
-            row = place[codes]
-            each = lens[row]
-            ends = np.cumsum(each)
-            stream = store[np.arange(ends[-1]) + np.repeat(begin[row] - ends + each, each)]
-            counts[plain] = np.add.reduceat(each, firsts)
+            stream, each = self._gather([b"".join([held[w] for w in ws]) for ws in found], place[codes])
+            counts[~odd] = np.add.reduceat(each, firsts)
         if not odd.any():
             return stream, counts
         wholes = [np.array(e.ids, "<u4") for e in self.whole.encode_batch_fast(texts.filter(pa.array(odd)).to_pylist(), add_special_tokens=False)]
         counts[odd] = [len(w) for w in wholes]
-        out = np.empty(int(counts.sum()), "<u4")
-        mask = np.repeat(odd, counts)
-        out[~mask] = stream
-        out[mask] = np.concatenate(wholes)
-        return out, counts
+        return merged(odd, counts, np.concatenate(wholes), stream), counts
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, and each text's number of ids. A null text has none."""
+        if isinstance(texts, pa.ChunkedArray):
+            texts = texts.combine_chunks()
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        counts = np.zeros(len(texts), np.int64)
+        if not len(texts):
+            return np.zeros(0, "<u4"), counts
+        stream, counts_own, own = self._latin(texts)
+        counts[own] = counts_own
+        rest = ~own & (pc.binary_length(texts).to_numpy() > 0)
+        if not rest.any():
+            return stream, counts
+        other, counts[rest] = self._chunks(texts.filter(pa.array(rest)))
+        return merged(rest, counts, other, stream), counts
+
+
+def merged(chosen: np.ndarray, counts: np.ndarray, theirs: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Ids in order of texts, from those of the ``chosen`` texts and those of the others."""
+    out = np.empty(int(counts.sum()), "<u4")
+    mask = np.repeat(chosen, counts)
+    out[mask], out[~mask] = theirs, others
+    return out
 
 
 @lru_cache(maxsize=2)
