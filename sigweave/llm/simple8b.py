@@ -14,6 +14,8 @@ BLOCK = 1024
 #: Selector: (ids in a word, bits of each), fixed values of this file format, most ids first.
 SELECTORS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20))
 ESCAPE = (1 << 20) - 1
+#: Bits that each value up to ``ESCAPE`` takes.
+WIDTH = np.repeat(np.arange(21, dtype=np.uint8), [1, *(1 << np.arange(20))])
 
 
 def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -28,15 +30,20 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     flat = np.zeros(blocks * BLOCK, np.uint64)
     flat[:n] = np.where(wide, np.uint64(ESCAPE), ids)
     bits = np.zeros((blocks, BLOCK), np.uint8)
-    bits.reshape(-1)[:n] = np.frexp(flat[:n].astype(np.float64))[1]
+    bits.reshape(-1)[:n] = WIDTH[flat[:n].astype(np.int32)]
     # choice[b, i]: the first selector all of whose ids from i on fit; ids past a block's end always do.
     choice = np.full((blocks, BLOCK), len(SELECTORS) - 1, np.uint8)
-    column = np.arange(BLOCK, dtype=np.int32)
+    after = np.zeros((blocks, BLOCK + 64), np.uint8)
+    after[:, :BLOCK] = bits
+    tops = {1: after}  # the widest of so many ids from each one on
+    for run in (1, 2, 4, 8, 16):
+        tops[2 * run] = np.maximum(tops[run][:, :-run], tops[run][:, run:])
     for s in range(len(SELECTORS) - 2, -1, -1):
         count, width = SELECTORS[s]
-        stop = np.where(bits > width, column, np.int32(BLOCK + 64))
-        stop = np.minimum.accumulate(stop[:, ::-1], axis=1)[:, ::-1]
-        choice[stop - column >= count] = s
+        run = 1 << (count.bit_length() - 1)
+        top = tops[run]
+        fits = np.maximum(top[:, :BLOCK], top[:, count - run : count - run + BLOCK]) <= width
+        np.putmask(choice, fits, s)
     counts = np.array([c for c, _ in SELECTORS], np.int32)
     # Walk all blocks at once, one word a step.
     at, live = np.zeros(blocks, np.int32), np.arange(blocks)
@@ -50,7 +57,7 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
         live = live[at[live] < BLOCK]
         live = live[live * BLOCK + at[live] < n]
     block, pos, sel = (np.concatenate(x) for x in (steps_block, steps_at, steps_sel))
-    order = np.lexsort((pos, block))
+    order = np.argsort(block.astype(np.uint16 if blocks < 1 << 16 else np.int64), kind="stable")
     block, pos, sel = block[order], pos[order], sel[order]
     padded = np.concatenate([flat, np.zeros(64, np.uint64)])
     start = block.astype(np.int64) * BLOCK + pos
@@ -75,7 +82,7 @@ def decode(words: np.ndarray, first_word: np.ndarray, escapes: np.ndarray, n: in
     sel = (words >> np.uint64(60)).astype(np.int64)
     counts = np.array([c for c, _ in SELECTORS], np.int64)[sel]
     ends = np.cumsum(counts)
-    block = np.searchsorted(first_word, np.arange(len(words)), side="right") - 1
+    block = np.repeat(np.arange(len(first_word)), np.diff(np.append(first_word, len(words))))
     before = np.concatenate([[0], ends])[first_word]
     start = ends - counts - before[block] + block * BLOCK
     limit = (block + 1) * BLOCK
