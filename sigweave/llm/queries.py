@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .decontaminate import op1_simhash_windows
 from .html_consensus import op9_consensus_paths
 from .media import op5_signature_sniffing
 from .near_dedup import op4_consistent_sampling
@@ -21,6 +22,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 QUERIES: dict[str, Query] = {
+    "op1_simhash_windows": lambda s, d: op1_simhash_windows(table(s, d, "documents"), table(s, d, "benchmark")),
     "op2_external_shuffle": lambda s, d: op2_external_shuffle(table(s, d, "documents")),
     "op3_drr_packing": lambda s, d: op3_drr_packing(table(s, d, "documents"), BPE),
     "op4_consistent_sampling": lambda s, d: op4_consistent_sampling(table(s, d, "documents")),
