@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .attention_lm import op6_attention_scores
 from .common import table
 from .decontaminate import op1_simhash_windows
 from .html_consensus import op9_consensus_paths
@@ -27,6 +28,7 @@ QUERIES: dict[str, Query] = {
     "op3_drr_packing": lambda s, d: op3_drr_packing(table(s, d, "documents"), BPE),
     "op4_consistent_sampling": lambda s, d: op4_consistent_sampling(table(s, d, "documents")),
     "op5_signature_sniffing": lambda s, d: op5_signature_sniffing(table(s, d, "documents")),
+    "op6_attention_scores": lambda s, d: op6_attention_scores(table(s, d, "documents"), BPE),
     "op7_kneser_ney": lambda s, d: op7_kneser_ney(table(s, d, "documents"), table(s, d, "labels")),
     "op8_url_cascade": lambda s, d: op8_url_cascade(table(s, d, "pages")),
     "op9_consensus_paths": lambda s, d: op9_consensus_paths(table(s, d, "pages")),
