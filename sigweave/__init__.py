@@ -1,0 +1 @@
+"""Spark jobs for multichannel biosignal recordings."""
