@@ -389,10 +389,10 @@ c AS (SELECT *, (value - avg(value) OVER (PARTITION BY epoch_id, seg)) * (0.5 -
 f AS (SELECT epoch_id, seg, q, (sum(v * cos(2 * pi() * q * i / 32)) ** 2 + sum(v * sin(2 * pi() * q * i / 32)) ** 2) / (64 * 12.0) * (CASE WHEN q IN (0, 16) THEN 1 ELSE 2 END) AS p FROM c, generate_series(0, 16) h(q) GROUP BY 1, 2, 3),
 s AS (SELECT epoch_id, 2 * q AS freq, avg(p) AS p FROM f GROUP BY 1, 2), b(band, lo, hi) AS (VALUES (0, 4, 8), (1, 8, 12), (2, 13, 30)),
 t AS (SELECT epoch_id, band, p, lead(p) OVER (PARTITION BY epoch_id, band ORDER BY freq) AS nx FROM s JOIN b ON freq >= lo AND freq < hi)
-SELECT epoch_id, band, round(ln(coalesce(sum((p + nx) / 2 * 2), 0) + 1e-12), 4) AS power FROM t GROUP BY 1, 2""")
+SELECT epoch_id, band, round(ln(coalesce(sum((p + nx) / 2 * 2), 0) + 1e-12), 2) AS power FROM t GROUP BY 1, 2""")
 def f5(spark, d):
     power = features.log_band_power(64, EMB_BANDS, 32, 16)
-    return src.embedding_epochs(spark, d).select("epoch_id", F.posexplode(power("x")).alias("band", "power")).select("epoch_id", "band", F.round(F.col("power").cast("double"), 4).alias("power"))
+    return src.embedding_epochs(spark, d).select("epoch_id", F.posexplode(power("x")).alias("band", "power")).select("epoch_id", "band", F.round(F.col("power").cast("double"), 2).alias("power"))
 
 
 @query("f6_response_bands")
