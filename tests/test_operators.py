@@ -111,8 +111,10 @@ def test_group_split(spark):
 
 def test_folds_are_even(spark):
     rows = spark.createDataFrame([(i, int(i > 12)) for i in range(30)], "id long, label int")
-    sizes = [r["count"] for r in split.stratified_folds(rows, "label", "id", 5).groupBy("label", "fold").count().collect()]
-    assert max(sizes) - min(sizes) <= 1
+    counts = split.stratified_folds(rows, "label", "id", 5).groupBy("label", "fold").count().collect()
+    for label in (0, 1):
+        sizes = [r["count"] for r in counts if r["label"] == label]
+        assert len(sizes) == 5 and max(sizes) - min(sizes) <= 1
 
 
 def test_contrast_without_a_side(spark):
