@@ -4,13 +4,14 @@ Shingles of five words weigh ``tf * idf``, idf falling from 2 (rare) to 1 (in al
 Document frequencies are counted over all documents in ``DF_BUCKETS`` hashed counters, less the
 noise expected in each, so the table has a fixed size. Improved consistent weighted sampling
 (Ioffe 2010) draws ``HASHES`` samples of each text, with its random variates looked up in a pool;
-bands of ``ROWS`` samples put texts into buckets. A bucket's members are compared with its leader
-only, by exact weighted Jaccard; further rounds with other leaders join what is still apart, and
-connected components are the classes. Equal texts are grouped first and enter once.
+bands of ``ROWS`` samples put texts into buckets. A bucket's members are compared with its leaders
+by exact weighted Jaccard; rounds with other leaders follow until every pair of a bucket is tested or
+joined, and connected components are the classes. Equal texts are grouped first and enter once.
 
 Nulls: a null text counts as empty; texts without words are grouped only with equal texts.
-Repeated rows get a row each, in one class. Without doc_id a row's class is its text's. An empty
-table gives no rows. Extra columns pass by.
+Repeated rows get a row each, in one class. Texts count, not doc_ids: different texts of one doc_id
+are apart, and rows without doc_id have their text's class, null if nothing in it has a doc_id. An
+empty table gives no rows. Extra columns pass by.
 """
 
 from __future__ import annotations
@@ -29,7 +30,10 @@ SIZE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 12, 4
 HASHES = BANDS * ROWS
-ROUNDS = 3
+#: All pairs of a bucket are taken if there are at most so many for each member.
+FEW = 32
+#: After so many rounds, large buckets are split by shingles.
+SPLIT = 2
 DF_BUCKETS = 1 << 20
 DF_BLOCK = 1 << 14
 LEVELS = 32
@@ -223,53 +227,130 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _pairs(members: DataFrame, labels: DataFrame | None, seed: int) -> DataFrame:
-    """Distinct pairs of a bucket's member and its leader that are in different components so far."""
-    if labels is not None:
-        members = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+def _prefixes(batches: Iterator[pa.RecordBatch], levels, threshold: float) -> Iterator[pa.RecordBatch]:
+    """Each text's rarest shingles, up to 1 - ``threshold`` of its weight and one more.
+
+    Texts as similar as ``threshold`` share at least that part of either's weight, so the first shingle
+    that they share, in any order common to all texts, is among these of both.
+    """
+    table = levels.value
+    for batch in batches:
+        for part in _slices(batch):
+            ids, tf, n = profile(part.column(1))
+            level = table[bucket_of(ids)]
+            weight = tf * level_weight(level.astype(np.float64))
+            owner = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((ids * np.uint64(0x9E3779B97F4A7C15), LEVELS - level.astype(np.int64), owner))
+            weight, ids = weight[order], ids[order]
+            total = np.bincount(owner, weights=weight, minlength=len(n))
+            before = np.cumsum(weight) - weight - np.repeat(np.cumsum(total) - total, n)
+            kept = before <= (1 - threshold + 1e-4) * total[owner]
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(owner[kept], minlength=len(n)))]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids[kept].view(np.int64)))], names=["node", "shingles"])
+
+
+def _active(members: DataFrame, labels: DataFrame | None, leaders: int) -> DataFrame:
+    """Members of the buckets that hold several components, with their label, their place h in [0, 1), and up
+    to which place (cut) the bucket's members are leaders: about ``leaders``, or all where that makes few pairs."""
+    place = ((F.xxhash64(F.lit(4), "node").bitwiseAND(F.lit((1 << 52) - 1))) / F.lit(float(1 << 52))).alias("h")
+    if labels is None:
+        members = members.select("band", "value", "node", F.col("node").alias("label"), place)
+        stats = members.groupBy("band", "value").agg(F.count("*").alias("m"), F.min("h").alias("low")).filter("m > 1").withColumn("pairs", F.col("m") * (F.col("m") - 1) / 2)
+        few = F.col("m") <= 3
     else:
-        members = members.withColumn("label", F.col("doc_id"))
-    leader = F.min(F.struct(F.xxhash64(F.lit(seed), "doc_id").alias("h"), "doc_id", "label"))
-    leaders = members.groupBy("band", "value").agg(leader.alias("m"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
-    leaders = leaders.select("band", "value", F.col("m.doc_id").alias("b"), F.col("m.label").alias("b_label"))
-    met = members.join(leaders, ["band", "value"]).filter("label <> b_label")
-    return met.select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b")).distinct()
+        members = members.join(labels, "node", "left").select("band", "value", "node", F.coalesce("label", "node").alias("label"), place)
+        alike = members.groupBy("band", "value", "label").agg(F.count("*").alias("n"), F.min("h").alias("low"))
+        stats = alike.groupBy("band", "value").agg(F.sum("n").alias("m"), F.sum(F.col("n").cast("double") * F.col("n")).alias("square"), F.min("low").alias("low"), F.count("*").alias("labels")).filter("labels > 1")
+        stats = stats.withColumn("pairs", (F.col("m").cast("double") * F.col("m") - F.col("square")) / 2)
+        few = F.col("pairs") <= FEW * F.col("m")
+    cut = F.when(few, 1.0).otherwise(F.greatest("low", F.lit(float(leaders)) / F.col("m")))
+    return members.join(stats.select("band", "value", cut.alias("cut")), ["band", "value"])
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id and class_id (the least doc_id of its near-duplicates) for each row of ``docs(doc_id, text)``."""
+def _pairs(active: DataFrame) -> DataFrame:
+    """Distinct pairs of a bucket's member and a leader of it that are in different components so far."""
+    leaders = active.filter("h <= cut").select("band", "value", F.col("node").alias("b"), F.col("label").alias("b_label"), F.col("h").alias("b_h"))
+    met = active.join(leaders, ["band", "value"]).filter("label <> b_label and (h > cut or h < b_h or (h = b_h and node < b))")
+    return met.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+
+
+def _digested(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("_digest", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """Each row's doc_id and digest; and each distinct text's digest and doc_id (its least), with its class's
+    least doc_id (class_id) and the digest of the text that stands for the class (rep).
+
+    A bucket's leaders meet all its members and are done with it; that goes on, with twice as many
+    leaders each time, until no bucket holds an untested pair in different components. What large
+    buckets still hold after ``SPLIT`` rounds goes on in groups that share a shingle of their prefixes.
+    """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     levels = spark.sparkContext.broadcast(idf_levels(rows))
-    signed = rows.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), "text").mapInArrow(lambda it: _signed(it, levels), "doc_id long, digest string, bands array<long>")
-    signed = materialize(signed, "signatures")
-    exact = materialize(signed.groupBy("digest").agg(F.min(F.struct("doc_id", "bands")).alias("m")).select("digest", F.col("m.doc_id").alias("doc_id"), F.col("m.bands").alias("bands")), "texts")
-    members = exact.filter("doc_id is not null").select("doc_id", F.posexplode("bands").alias("band", "value"))
-    links, labels, tested = None, None, None
-    for turn in range(rounds):
-        pairs = _pairs(members, labels, turn)
+    rows = rows.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), "text")
+    signed = materialize(rows.mapInArrow(lambda it: _signed(it, levels), "doc_id long, digest string, bands array<long>"), "signatures")
+    # The node numbers are written, so that no later reading changes them.
+    texts = signed.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min("bands").alias("bands"))
+    texts = materialize(texts.select("digest", "doc_id", "bands", F.monotonically_increasing_id().alias("node")), "texts")
+    signed = signed.select("doc_id", "digest")
+
+    def texts_of(nodes: DataFrame) -> DataFrame:
+        """node, text: once for each of ``nodes``."""
+        wanted = texts.join(small(nodes, nodes.count()), "node", "left_semi").select("node", "digest", F.col("doc_id").alias("_id"))
+        wanted = materialize(wanted, "wanted")
+        met = rows.join(small(wanted, wanted.count()), "digest").filter(F.col("doc_id").eqNullSafe(F.col("_id")))
+        return met.select("node", "text").dropDuplicates(["node"])
+
+    members = texts.select("node", F.posexplode("bands").alias("band", "value"))
+    links, labels, tested, turn = None, None, None, 0
+    while True:
+        active = materialize(_active(members, labels, 1 << turn), "members")
+        if turn == SPLIT:
+            large = active.filter("cut < 1").select("node").distinct()
+            large = materialize(large, "large")
+            if not large.isEmpty():
+                prefixes = texts_of(large).mapInArrow(lambda it: _prefixes(it, levels, threshold), "node long, shingles array<long>")
+                split = materialize(prefixes.select(F.lit(BANDS).alias("band"), F.explode("shingles").alias("value"), "node"), "prefixes")
+                active = active.filter("cut = 1").unionByName(_active(split, labels, 1))
+                active = materialize(active, "members")
+        pairs = _pairs(active)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
+        members = active.filter("h > cut").select("node", "band", "value")
+        turn += 1
         if pairs.isEmpty():
-            break
+            if members.isEmpty():
+                break
+            continue
         tested = pairs if tested is None else tested.unionByName(pairs)
-        wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        texts = rows.join(small(wanted, wanted.count()), "doc_id", "left_semi")
-        vectors = materialize(texts.mapInArrow(lambda it: _vectors(it, levels), "doc_id long, ids binary, weights binary"), "vectors")
-        one, two = (vectors.select(F.col("doc_id").alias(k), F.col("ids").alias(f"ids_{k}"), F.col("weights").alias(f"weights_{k}")) for k in "ab")
+        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        vectors = materialize(texts_of(wanted).mapInArrow(lambda it: _vectors(it, levels), "node long, ids binary, weights binary"), "vectors")
+        one, two = (vectors.select(F.col("node").alias(k), F.col("ids").alias(f"ids_{k}"), F.col("weights").alias(f"weights_{k}")) for k in "ab")
         compared = pairs.join(one, "a").join(two, "b").select("a", "b", "ids_a", "weights_a", "ids_b", "weights_b").mapInArrow(_compared, "a long, b long, similarity double")
         found = materialize(compared.filter(F.col("similarity") >= threshold), "links")
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
-    # The text's class, then the class of its component; a row without doc_id goes with its text.
-    of_text = exact.select("digest", F.col("doc_id").alias("first_id"))
-    out = signed.select("doc_id", "digest").join(of_text, "digest")
-    if labels is not None:
-        out = out.join(labels.withColumnRenamed("node", "first_id"), "first_id", "left")
-    else:
-        out = out.withColumn("label", F.lit(None).cast("long"))
-    return out.select("doc_id", F.coalesce("label", "first_id").alias("class_id"))
+        if not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
+            labels = components(links)
+        elif labels is None:
+            labels = spark.createDataFrame([], "node long, label long")
+    out = texts.select("digest", "doc_id", "node")
+    if links is None:
+        return signed, out.select("digest", "doc_id", F.col("doc_id").alias("class_id"), F.col("digest").alias("rep"))
+    # Texts without doc_id come last in their class.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")).alias("m")
+    heads = out.join(labels, "node").groupBy("label").agg(first).select("label", F.col("m.doc_id").alias("head"), F.col("m.digest").alias("rep"))
+    of_node = labels.join(heads, "label").select("node", "head", "rep")
+    out = out.join(of_node, "node", "left")
+    return signed, out.select("digest", "doc_id", F.when(F.col("rep").isNull(), F.col("doc_id")).otherwise(F.col("head")).alias("class_id"), F.coalesce("rep", "digest").alias("rep"))
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id and class_id (the least doc_id of its near-duplicates) for each row of ``docs(doc_id, text)``."""
+    signed, texts = classes(docs, threshold)
+    return signed.join(texts.select("digest", "class_id"), "digest").select("doc_id", "class_id")
 
 
 def op4_consistent_sampling(docs: DataFrame) -> DataFrame:
@@ -277,8 +358,8 @@ def op4_consistent_sampling(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of ``docs`` for each class: that of the least doc_id; rows without doc_id stay."""
-    first = near_duplicates(docs).filter("doc_id = class_id").select(F.col("doc_id").alias("_id")).distinct()
-    named = docs.filter("doc_id is not null")
-    kept = named.join(first, named["doc_id"] == first["_id"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null"))
+    """One row of ``docs`` for each class: that of the least doc_id; one without doc_id if none has any."""
+    _, texts = classes(docs)
+    kept = materialize(texts.filter("digest = rep").select(F.col("digest").alias("_digest"), F.col("doc_id").alias("_id")), "kept")
+    met = _digested(docs).join(kept, "_digest").filter(F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
+    return met.dropDuplicates(["_digest"]).select(*docs.columns)

@@ -189,6 +189,35 @@ def test_near_duplicates(spark):
     assert near_dedup.keep_one(df).count() == 14
 
 
+def test_near_duplicates_test_every_pair_of_a_bucket(spark, monkeypatch):
+    """Texts of one template, below the threshold to each other, with near-duplicate pairs among them."""
+    template, texts = sentence(160, 41).split(), []
+    for g in range(150):
+        own = [f"own{g}x{k}" for k in range(32)]
+        words = template + own
+        texts.append(" ".join(words))
+        if g % 10 == 0:
+            texts.append(" ".join([*words[:-1], f"last{g}"]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want, at = {}, 0
+    for g in range(150):
+        want[at] = at
+        if g % 10 == 0:
+            want[at + 1] = at
+            at += 1
+        at += 1
+
+    def one_bucket(batches, levels):
+        for batch in batches:
+            bands = pa.array([[1] for _ in range(batch.num_rows)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), bands], names=["doc_id", "digest", "bands"])
+
+    monkeypatch.setattr(near_dedup, "_signed", one_bucket)
+    for few in (32, 1):
+        monkeypatch.setattr(near_dedup, "FEW", few)
+        assert {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(df).collect()} == want
+
+
 def test_consistent_sampling_estimates_weighted_jaccard():
     rng = np.random.default_rng(0)
     ids = np.sort(rng.choice(1 << 44, 400, replace=False).astype(np.uint64))
