@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, materialize, small
@@ -103,12 +103,12 @@ def probe_of(rows: list) -> Probe:
     return Probe(tuple(sorted(held)), shingles, sizes, sieve)
 
 
-WINDOWS = "doc_id long, row long, size int, first int, print long, blocks array<long>, shingles array<long>, counts array<long>"
+WINDOWS = "doc_id long, row string, size int, first int, print long, blocks array<long>, shingles array<long>, counts array<long>"
 
 
 def _windows(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBatch]:
     probe: Probe = held.value
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64())]
     names = [f.split()[0] for f in WINDOWS.split(", ")]
     for batch in batches:
         for a in range(0, batch.num_rows, PIECE):
@@ -161,8 +161,8 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(out, pa.float64())], names=["doc_id", "row", "item_id", "first_word", "n_words", "similarity"])
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
-    """The best window for each leaked item of each row of ``docs``: doc_id, row, item_id, first_word, n_words, similarity."""
+def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS, row: Column | None = None) -> DataFrame:
+    """The best window for each leaked item of each row of ``docs``: doc_id, row (its number, or as given), item_id, first_word, n_words, similarity."""
     spark = docs.sparkSession
     items = materialize(item_rows(benchmark), "items")
     n_items = items.count()
@@ -176,7 +176,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, r
         F.transform(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), lambda i: i.cast("long") * 16 + F.call_function("shiftrightunsigned", F.col("print"), i * 4).bitwiseAND(15)).alias("item_blocks"),
     )
     items = materialize(items, "item-index")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.monotonically_increasing_id().cast("string") if row is None else row).alias("row"), "text")
     total = items.agg(F.sum(F.size("item_shingles"))).first()[0] or 0
     passes = max(1, -(-total // HELD_SHINGLES))
     found = None
@@ -192,7 +192,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, r
         lowest = F.array_min(F.filter(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), lambda i: F.call_function("shiftrightunsigned", differing, i * 4).bitwiseAND(15) == 0))
         near = near.filter((F.bit_count(differing) <= radius) & (lowest == F.expr("block div 16")))
         pairs = near.select("doc_id", "row", "item_id", F.col("first").alias("first_word"), F.col("size").alias("n_words"), "shingles", "counts", "item_shingles", "item_counts", "weights")
-        similar = pairs.mapInArrow(_similar, "doc_id long, row long, item_id long, first_word int, n_words int, similarity double").filter(F.col("similarity") >= threshold)
+        similar = pairs.mapInArrow(_similar, "doc_id long, row string, item_id long, first_word int, n_words int, similarity double").filter(F.col("similarity") >= threshold)
         found = similar if found is None else found.unionByName(similar)
     best = F.max(F.struct("similarity", (-F.col("first_word")).alias("first"), "n_words")).alias("m")
     return found.groupBy("doc_id", "row", "item_id").agg(best).select("doc_id", "row", "item_id", (-F.col("m.first")).alias("first_word"), F.col("m.n_words").alias("n_words"), F.col("m.similarity").alias("similarity"))
@@ -203,6 +203,7 @@ def op1_simhash_windows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose doc_id holds a leaked item; rows without doc_id go by their own text."""
-    bad = materialize(leaks(docs, benchmark).select(F.col("doc_id").alias("_id")).distinct(), "leaked")
-    return docs.join(small(bad, bad.count()), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    """``docs`` without the rows whose own text holds a leaked item, whatever their doc_id."""
+    digest = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    bad = materialize(leaks(docs, benchmark, row=digest).select(F.col("row").alias("_digest")).distinct(), "leaked")
+    return docs.join(small(bad, bad.count()), digest == F.col("_digest"), "left_anti")

@@ -248,6 +248,18 @@ def test_leaks(spark):
     assert decontaminate.op1_simhash_windows(df, bench.limit(0)).count() == 0
 
 
+def test_null_and_repeated_ids(spark):
+    item, a, b, c = sentence(30, 500), sentence(90, 61), sentence(90, 62), sentence(90, 63)
+    bench = spark.createDataFrame([(0, item)], "item_id long, text string")
+    df = spark.createDataFrame([(None, item), (None, a), (None, None), (3, item), (3, b), (4, c)], "doc_id long, text string")
+    left = decontaminate.drop_leaked(df, bench).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in left) == Counter([(None, a), (None, None), (3, b), (4, c)])
+    near = lambda t, w: " ".join([*t.split()[:-1], w])
+    df = spark.createDataFrame([(None, a), (5, a), (6, near(a, "x")), (7, b), (7, c), (None, near(c, "y")), (None, item), (None, item)], "doc_id long, text string")
+    kept = near_dedup.keep_one(df).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in kept) == Counter([(5, a), (7, b), (7, c), (None, item)])
+
+
 def brute_kneser_ney(texts):
     """Probability function of an interpolated modified Kneser-Ney model over 4-grams of the same symbols."""
     grams = Counter()
