@@ -1,6 +1,7 @@
 """Sharding by a two-pass external shuffle, in DataFrame functions only.
 
-Pass 1 scatters rows into memory-sized buckets by a seeded hash of the key; pass 2 shuffles
+Pass 1 scatters rows into memory-sized buckets by a seeded hash of the key, the whole row and its
+number among equal rows, so a null or repeated key has no bucket of its own; pass 2 shuffles
 each bucket with Spark's Fisher-Yates ``shuffle`` and lays the buckets end to end. The global
 order is then cut into shards whose row counts differ by one at most (law ``rows``).
 
@@ -14,11 +15,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import buckets_for, new_path, small, utf8_size
+from .common import buckets_for, materialize, new_path, small, utf8_size
 
 LAW = "rows"
 #: Bytes of text that one bucket is meant to hold; a task shuffles a few of them in memory.
 BUCKET_BYTES = 8 << 20
+#: More buckets are made while one of several rows holds more than so many times that; buckets below 1 MB are let be.
+FULLEST, MIN_CHECKED = 4, 1 << 20
+#: Copies of a row are made again in runs of so many.
+RUN = 1_024
+
+
+def numbered(docs: DataFrame, seed: int) -> DataFrame:
+    """``docs`` with ``_copy``: 0, or the number of a row among rows alike in all columns.
+
+    Copies are counted and made again, in two levels, so that no retry changes which row has which
+    number. Only rows whose hash occurs twice are shuffled for that.
+    """
+    h = F.xxhash64(F.lit(seed), *docs.columns)
+    twice = materialize(docs.groupBy(h.alias("_h")).agg(F.count("*").alias("_times")).filter("_times > 1").select("_h"), "repeated")
+    n = twice.count()
+    if not n:
+        return docs.withColumn("_copy", F.lit(0).cast("long"))
+    marked = docs.withColumn("_h", h)
+    once = marked.join(small(twice, n), "_h", "left_anti").select(*docs.columns, F.lit(0).cast("long").alias("_copy"))
+    alike = marked.join(small(twice, n), "_h", "left_semi").groupBy(*docs.columns).agg(F.count("*").alias("_times"))
+    runs = alike.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_times - 1) div {RUN}"))))
+    runs = runs.repartition("_run", F.xxhash64(*docs.columns))
+    first = F.col("_run") * RUN
+    again = runs.withColumn("_copy", F.explode(F.sequence(first, F.least(first + RUN, F.col("_times")) - 1)))
+    return once.unionByName(again.select(*docs.columns, "_copy"))
 
 
 def external_shuffle(
@@ -29,14 +55,21 @@ def external_shuffle(
         raise ValueError(f"columns {sorted(clash)} would be overwritten")
     total = docs.agg(F.sum(utf8_size(text) + 1).alias("b"), F.count("*").alias("n")).first()
     n_rows, n_buckets = total["n"], buckets_for(total["b"], bucket_bytes)
-    bucket = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(n_buckets)).cast("int")
+    columns = docs.columns
+    docs = numbered(docs, seed)
+    while True:
+        bucket = F.pmod(F.xxhash64(F.lit(seed), key, *columns, "_copy"), F.lit(n_buckets)).cast("int")
+        fullest = docs.groupBy(bucket).agg(F.sum(utf8_size(text) + 1).alias("b"), F.count("*").alias("n")).filter("n > 1").agg(F.max("b")).first()[0] or 0
+        if fullest <= FULLEST * max(bucket_bytes, MIN_CHECKED) or n_buckets >= n_rows:
+            break
+        n_buckets *= 2
 
     # Where each bucket begins in the global order; n_buckets rows.
     counts = docs.groupBy(bucket.alias("_bucket")).agg(F.count("*").alias("_n"))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
 
-    row = F.struct(*[docs[c] for c in docs.columns])
+    row = F.struct(*columns)
     scattered = docs.select(bucket.alias("_bucket"), F.col(key).alias("_key"), row.alias("_row")).repartition(n_buckets, "_bucket")
     # Sorted first, so that the seeded shuffle starts from an order that no retry changes.
     full = scattered.groupBy("_bucket").agg(F.array_sort(F.collect_list(F.struct("_key", "_row"))).alias("_rows"))

@@ -118,6 +118,19 @@ def test_shards(docs, empty, spark):
     assert shard_shuffle.external_shuffle(docs.union(docs), bucket_bytes=2000).count() == 2 * len(TEXTS)
 
 
+def test_shards_of_a_repeated_key(spark, monkeypatch):
+    rows = spark.range(600).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 6 == 0, "same").otherwise(F.concat(F.lit("x"), "id")).alias("text"))
+    copies = shard_shuffle.numbered(rows, 17).filter("doc_id is null and text = 'same'").select("_copy").collect()
+    assert sorted(r["_copy"] for r in copies) == list(range(100))
+    monkeypatch.setattr(shard_shuffle, "RUN", 7)
+    monkeypatch.setattr(shard_shuffle, "MIN_CHECKED", 1)
+    out = shard_shuffle.external_shuffle(rows, n_shards=1, bucket_bytes=100).collect()
+    assert sorted(r["text"] for r in out) == sorted(r["text"] for r in rows.collect())
+    # Keyless rows lie among the others, not in one bucket.
+    places = [r["slot"] for r in out if r["doc_id"] is None]
+    assert len(places) == 200 and max(places) - min(places) > 500
+
+
 def test_media(docs, empty):
     for r in media.op5_signature_sniffing(docs).collect():
         b = (TEXTS[r["doc_id"]] or "").encode()
