@@ -2,7 +2,8 @@
 
 Pass 1 scores the containers of every page and votes, in Spark, on the generalised path (tags
 and classes, digits levelled) that holds a host's articles. Pass 2 extracts again from every
-container on its host's winning path; a page without one uses its own best container.
+container on its host's winning path where these hold all of the page's own best container;
+another page uses its own.
 
 Nulls: a null html gives an empty text, a null url the host ``''``. Empty pages have no vote.
 Repeated rows are kept and vote each. An empty table gives no rows. Extra columns pass by.
@@ -36,10 +37,6 @@ BOILERPLATE = re.compile(
 )
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
-#: How much a tag speaks for holding an article.
-BONUS = {"article": 4, "main": 3, "section": 2, "div": 1, "td": 1}
-#: A container competes if it holds this share of the fullest one's text.
-NEAR = 0.8
 
 
 class Block(NamedTuple):
@@ -47,20 +44,22 @@ class Block(NamedTuple):
     nodes: tuple[int, ...]  # their numbers in the page
     text: str
     linked: int  # characters inside links
+    marks: tuple[int, ...] = ()  # numbers of the elements around it that are named like boilerplate
 
 
-def label(tag: str, attributes: str) -> tuple[str, bool]:
-    """Generalised name of an element, and whether it is boilerplate."""
+def label(tag: str, attributes: str) -> tuple[str, bool, bool]:
+    """Generalised name of an element, whether its tag is dropped, and whether it is named like boilerplate."""
     found = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)} if "=" in attributes else {}
     marks = " ".join(found.get(k, "") for k in ("class", "id", "role"))
     name = ".".join([tag, *sorted(set(re.sub(r"\d+", "0", found.get("class", "")).lower().split()))])
-    return name, tag in DROPPED or bool(marks.strip() and tag not in ("html", "body") and BOILERPLATE.search(marks))
+    return name, tag in DROPPED, bool(marks.strip() and tag not in ("html", "body") and BOILERPLATE.search(marks))
 
 
 def blocks(page: str) -> list[Block]:
-    """Blocks of text outside boilerplate, in page order."""
+    """Blocks of text outside boilerplate, in page order. A name makes boilerplate only of what holds
+    no more than half of the page's text outside links."""
     out: list[Block] = []
-    stack: list[tuple[str, str, bool, int]] = []  # tag, label, dropped, number of a container
+    stack: list[tuple[str, str, bool, int, bool]] = []  # tag, label, dropped, number, named like boilerplate
     words: list[str] = []
     linked, links, dropped, numbers, at = 0, 0, 0, 0, 0
 
@@ -71,13 +70,13 @@ def blocks(page: str) -> list[Block]:
             words.clear()
             if text:
                 around = [(x[1], x[3]) for x in stack if x[0] in CONTAINERS]
-                out.append(Block(tuple(x for x, _ in around), tuple(n for _, n in around), text, linked))
+                out.append(Block(tuple(x for x, _ in around), tuple(n for _, n in around), text, linked, tuple(x[3] for x in stack if x[4])))
         linked = 0
 
     def close(to: int):
         nonlocal dropped, links
         while len(stack) > to:
-            tag, _, drop, _ = stack.pop()
+            tag, _, drop, _, _ = stack.pop()
             dropped -= drop
             links -= tag == "a"
 
@@ -95,7 +94,7 @@ def blocks(page: str) -> list[Block]:
             continue
         if m[1]:
             if (k := next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)) >= 0:
-                if tag in BLOCKS or tag in DROPPED:
+                if tag in BLOCKS or tag in DROPPED or any(x[4] for x in stack[k:]):
                     flush()
                 close(k)
             elif tag in BLOCKS:
@@ -119,46 +118,51 @@ def blocks(page: str) -> list[Block]:
             if not dropped:
                 words.append(" ")
             continue
-        name, drop = label(tag, m[3])
-        if drop and tag not in BLOCKS:
+        name, drop, mark = label(tag, m[3])
+        if (drop or mark) and tag not in BLOCKS:
             flush()
-        stack.append((tag, name, drop, numbers))
+        stack.append((tag, name, drop, numbers, mark))
         numbers += 1
         dropped += drop
         links += tag == "a"
     flush()
-    return out
-
-
-def best_container(found: list[Block]) -> tuple[str, float] | None:
-    """Path and score of the container that most looks like the article's."""
-    weight: dict[int, float] = {}
-    where: dict[int, tuple[str, ...]] = {}
-    for b in found:
-        gain = len(b.text) - 2 * b.linked
-        for depth, n in enumerate(b.nodes):
-            weight[n] = weight.get(n, 0) + gain
-            where[n] = b.path[: depth + 1]
-    if not weight:
+    held: dict[int, int] = {}
+    for b in out:
+        for n in b.marks:
+            held[n] = held.get(n, 0) + max(0, len(b.text) - b.linked)
+    half = sum(max(0, len(b.text) - b.linked) for b in out) / 2
+    return [b for b in out if all(held[n] > half for n in b.marks)]
+
+
+def best_container(found: list[Block]) -> tuple[int, str, float] | None:
+    """Number, path and score of the smallest container that holds all blocks that are not mostly links.
+
+    Where main and article elements hold most of that text, blocks outside them don't count.
+    """
+    own = [b for b in found if len(b.text) > 2 * b.linked] or found
+    named = [b for b in own if any(x.split(".")[0] in ("main", "article") for x in b.path)]
+    if 2 * sum(len(b.text) for b in named) > sum(len(b.text) for b in own):
+        own = named
+    if not own:
         return None
-    most = max(weight.values())
-    near = [n for n, w in weight.items() if w >= NEAR * most] if most > 0 else list(weight)
-    n = max(near, key=lambda n: (BONUS.get(where[n][-1].split(".")[0], 0), len(where[n]), weight[n], -n))
-    return ">".join(where[n]), weight[n]
+    depth = 0
+    while all(len(b.nodes) > depth and b.nodes[depth] == own[0].nodes[depth] for b in own):
+        depth += 1
+    if not depth:
+        return None
+    return own[0].nodes[depth - 1], ">".join(own[0].path[:depth]), float(sum(len(b.text) - 2 * b.linked for b in found if own[0].nodes[depth - 1] in b.nodes))
 
 
 def extract(found: list[Block], path: str | None) -> str:
-    """Text of all blocks under containers on ``path``, or under the page's best container."""
-
-    def under(p: str) -> list[str]:
-        want = tuple(p.split(">"))
-        return [b.text for b in found if b.path[: len(want)] == want]
-
-    texts = under(path) if path else []
-    if not texts:
-        own = best_container(found)
-        texts = under(own[0]) if own else [b.text for b in found]
-    return "\n".join(texts)
+    """Text of all blocks under containers on ``path`` if these hold the page's best container, else under that."""
+    best = best_container(found)
+    mine = [best is None or best[0] in b.nodes for b in found]
+    if path:
+        want = tuple(path.split(">"))
+        wide = [b.path[: len(want)] == want for b in found]
+        if all(w or not m for w, m in zip(wide, mine)):
+            mine = wide
+    return "\n".join(b.text for b, m in zip(found, mine) if m)
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +170,7 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1)):
             if best := best_container(blocks(page.as_py() or "")):
-                rows.append((host, *best))
+                rows.append((host, *best[1:]))
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 3, (pa.string(), pa.string(), pa.float64()))], names=["host", "path", "score"])
 
 

@@ -174,6 +174,19 @@ def test_html(pages):
     assert html.unescape("&eacute;") == "é"
 
 
+def test_html_keeps_the_whole_article(spark):
+    lead, body, side = sentence(20, 71), sentence(110, 72), sentence(8, 73)
+    split = f"<body><div class='post'><div class='lead'>{lead}</div><div class='text'>{body}</div></div></body>"
+    section = f"<body><div class='post'><p>{lead}</p><section>{body}</section></div></body>"
+    wrapped = f"<body><div class='layout with-sidebar'><div class='text'>{body}</div><div class='sidebar'>{side}</div></div></body>"
+    other = f"<body><div class='text'>{side}</div><main>{body}</main></body>"
+    plain = f"<body><div class='text'>{lead}</div></body>"
+    pages = [split, section, wrapped, other, plain, plain]
+    df = spark.createDataFrame([(i, "http://a.org/" + str(i), p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_consensus.op9_consensus_paths(df).collect()}
+    assert got == {0: f"{lead}\n{body}", 1: f"{lead}\n{body}", 2: body, 3: body, 4: lead, 5: lead}
+
+
 def plain_similarity(a, b):
     words = lambda t: [w for w in (re.sub(r"^\W+|\W+$", "", x) for x in t.lower().split()) if w]
     grams = lambda w: Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
