@@ -9,6 +9,7 @@ stands inside a run of white space are encoded whole.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -22,8 +23,11 @@ RUN = r"[\s\v\x{1c}-\x{1f}\x{85}\p{Z}] (?:[\s\v\x{1c}-\x{1f}\x{85}\p{Z}]|$)"
 #: The split pattern of byte-level BPE, a fixed value of the vocabulary's format.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPACE = "Ġ"  # how the byte alphabet writes a space
-CACHE = 500_000
+CACHE = 300_000
 JOINED = 2_000
+#: Longer texts (in bytes) are encoded in parts, cut before a space that follows a letter or digit, where the pattern always cuts.
+LONG = 2 << 20
+CUT = regex.compile(r"(?<=[\p{L}\p{N}]) ")
 
 #: Kinds of bytes: a single space, other white space, letters (as lead and trail bytes of U+00C0 to U+027F), digits, others.
 SINGLE, BLANK, REFUSED = 0, 1, 9
@@ -176,10 +180,30 @@ class BpeEncoder:
         return merged(odd, counts, np.concatenate(wholes), stream), counts
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts end to end, and each text's number of ids. A null text has none."""
+        """Ids of all texts end to end, and each text's number of ids. A null text has none.
+
+        Texts beyond ``LONG`` are encoded part by part, so memory follows their ids, not the work on them.
+        """
         if isinstance(texts, pa.ChunkedArray):
             texts = texts.combine_chunks()
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        long = np.flatnonzero(pc.binary_length(texts).to_numpy() > LONG)
+        if not len(long):
+            return self._encode(texts)
+        ids, counts, at = [], [], 0
+        for i in [*long.tolist(), len(texts)]:
+            if i > at:
+                own, n = self._encode(texts.slice(at, i - at))
+                ids.append(own)
+                counts.append(n)
+            if i < len(texts):
+                own = [self._encode(pa.array([part], pa.large_string()))[0] for part in parts(texts[i].as_py())]
+                ids.extend(own)
+                counts.append(np.array([sum(map(len, own))], np.int64))
+            at = i + 1
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         counts = np.zeros(len(texts), np.int64)
         if not len(texts):
             return np.zeros(0, "<u4"), counts
@@ -192,6 +216,15 @@ class BpeEncoder:
         return merged(rest, counts, other, stream), counts
 
 
+def parts(text: str) -> Iterator[str]:
+    """``text`` cut where pre-tokens end, in parts of ``LONG`` / 2 characters or, where no cut follows, more."""
+    at = 0
+    while m := CUT.search(text, at + LONG // 2):
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:]
+
+
 def merged(chosen: np.ndarray, counts: np.ndarray, theirs: np.ndarray, others: np.ndarray) -> np.ndarray:
     """Ids in order of texts, from those of the ``chosen`` texts and those of the others."""
     out = np.empty(int(counts.sum()), "<u4")

@@ -1,22 +1,47 @@
-"""Helpers that the operators share: shared storage, table reading, size-checked broadcasts."""
+"""Helpers that the operators share: shared storage, table reading, size-checked broadcasts, bounded Arrow slices."""
 
 from __future__ import annotations
 
 import math
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side with at most this many rows may be broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 200_000
+#: Bytes of text that a Python task works on at once; a longer text makes a slice alone.
+SLICE_BYTES = 3 << 20
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in order, in slices of at most ``limit`` bytes of text (or binary) in ``column``."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(sizes)
+        a = 0
+        while a < batch.num_rows:
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + (limit or SLICE_BYTES), side="right")))
+            yield batch.slice(a, b - a)
+            a = b
+        pa.default_memory_pool().release_unused()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one set here if unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, as in tests, a temporary folder is set if driver and executors are one
+    process; on a cluster, whose machines don't share such folders, that is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="sigweave-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
@@ -48,5 +73,11 @@ def utf8_size(text) -> F.Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
 
+def partitions_for(spark: SparkSession, total: int | None, most: int = 256 << 20, least: int = 8 << 20) -> int:
+    """Shuffle partitions for ``total`` bytes: of ``most`` bytes, or smaller where that keeps all cores busy, but of ``least``."""
+    busy = min(3 * spark.sparkContext.defaultParallelism, (total or 0) // least + 1)
+    return max(busy, math.ceil((total or 0) / most))
+
+
 def buckets_for(total: int | None, per_bucket: int, least: int = 1) -> int:
     return max(least, math.ceil((total or 0) / per_bucket))

@@ -6,7 +6,10 @@ container on its host's winning path where these hold all of the page's own best
 another page uses its own.
 
 Nulls: a null html gives an empty text, a null url the host ``''``. Empty pages have no vote.
-Repeated rows are kept and vote each. An empty table gives no rows. Extra columns pass by.
+Repeated rows are kept and vote each; of paths with equal votes the one of the higher score, then the
+later in order wins. Tags with unmatched quotes end at the next ``>``. A very long page is parsed whole,
+alone, in memory of a few times its size. An empty table gives no rows. Extra columns pass by; only
+page_id, url and html are read.
 """
 
 from __future__ import annotations
@@ -20,13 +23,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small
+from .common import materialize, slices, small
 from .url_cascade import host_of
 
-RAW = frozenset("script style noscript template svg iframe object textarea title select button canvas audio video math".split())
-DROPPED = frozenset("nav header footer aside form menu dialog head".split()) | RAW
+#: Their content is no markup; an open one takes the rest of the page, as in browsers.
+RAW = frozenset("script style textarea title iframe".split())
+#: Dropped with what they hold if they are closed anywhere; else only the tag is.
+INLINE = frozenset("noscript template svg object select button canvas audio video math".split())
+DROPPED = frozenset("nav header footer aside form menu dialog head".split()) | RAW | INLINE
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCKS = frozenset("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption address details summary fieldset center hr nav header footer aside form menu dialog".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTAINERS = frozenset("html body main article section div td blockquote center".split())
 #: Elements that end an open one of the same group.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
@@ -35,7 +42,8 @@ BOILERPLATE = re.compile(
     r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|sidebar|side|footer|header|masthead|banner|cookies?|consent|notices?|alert|gdpr|ads?|advert|adverts|advertisement|sponsor|sponsored|promo|comments?|respond|disqus|share|sharing|social|related|recommended|newsletter|subscribe|subscription|signup|popup|modal|overlay|breadcrumbs?|pagination|pager|widget|toolbar|search|login|complementary|contentinfo)(?:$|[\s_-])",
     re.I,
 )
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)(?:>|$)", re.S)
+#: A comment or declaration; a tag with whole attributes; a tag whose quotes don't match, up to the next ``>``.
+TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"'<]|\"[^\"<]*\"|'[^'<]*')*+|[^>]*)(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
 
 
@@ -55,13 +63,21 @@ def label(tag: str, attributes: str) -> tuple[str, bool, bool]:
     return name, tag in DROPPED, bool(marks.strip() and tag not in ("html", "body") and BOILERPLATE.search(marks))
 
 
+def in_article_header(stack: list) -> bool:
+    """Whether what is dropped around the open elements is the header of an article alone."""
+    tags = [x[0] for x in stack]
+    return "header" in tags and any(t in ("article", "main") for t in tags[: tags.index("header")])
+
+
 def blocks(page: str) -> list[Block]:
     """Blocks of text outside boilerplate, in page order. A name makes boilerplate only of what holds
-    no more than half of the page's text outside links."""
+    no more than half of the page's text outside links. Of an article's own header the headings stay."""
     out: list[Block] = []
     stack: list[tuple[str, str, bool, int, bool]] = []  # tag, label, dropped, number, named like boilerplate
     words: list[str] = []
     linked, links, dropped, numbers, at = 0, 0, 0, 0, 0
+    last_end: dict[str, int] = {}  # where each inline element that is dropped is closed last
+    spared = 0  # open headings of an article's header
 
     def flush():
         nonlocal linked
@@ -74,11 +90,14 @@ def blocks(page: str) -> list[Block]:
         linked = 0
 
     def close(to: int):
-        nonlocal dropped, links
+        nonlocal dropped, links, spared
         while len(stack) > to:
-            tag, _, drop, _, _ = stack.pop()
+            tag, name, drop, _, _ = stack.pop()
             dropped -= drop
             links -= tag == "a"
+            if spared and tag in HEADINGS:
+                spared = 0
+                dropped += 1
 
     while True:
         m = TOKEN.search(page, at)
@@ -94,7 +113,7 @@ def blocks(page: str) -> list[Block]:
             continue
         if m[1]:
             if (k := next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)) >= 0:
-                if tag in BLOCKS or tag in DROPPED or any(x[4] for x in stack[k:]):
+                if tag in BLOCKS or tag in DROPPED - INLINE or any(x[4] for x in stack[k:]):
                     flush()
                 close(k)
             elif tag in BLOCKS:
@@ -119,12 +138,22 @@ def blocks(page: str) -> list[Block]:
                 words.append(" ")
             continue
         name, drop, mark = label(tag, m[3])
-        if (drop or mark) and tag not in BLOCKS:
+        if tag in INLINE:
+            if tag not in last_end:
+                ends = [x.start() for x in re.finditer(rf"</{tag}\s*>", page, re.I)]
+                last_end[tag] = ends[-1] if ends else -1
+            drop = last_end[tag] >= at
+        if tag in INLINE and not dropped:
+            words.append(" ")
+        elif (drop or mark) and tag not in BLOCKS:
             flush()
         stack.append((tag, name, drop, numbers, mark))
         numbers += 1
         dropped += drop
         links += tag == "a"
+        if tag in HEADINGS and dropped == 1 and not spared and in_article_header(stack):
+            spared = 1
+            dropped = 0
     flush()
     held: dict[int, int] = {}
     for b in out:
@@ -166,7 +195,7 @@ def extract(found: list[Block], path: str | None) -> str:
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, 1):
         rows = []
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1)):
             if best := best_container(blocks(page.as_py() or "")):
@@ -175,7 +204,7 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, 2):
         texts = [extract(blocks(page.as_py() or ""), path) for page, path in zip(batch.column(2), batch.column(3).to_pylist())]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

@@ -6,7 +6,9 @@ valid media found further in is carved out of whatever surrounds it. False hits
 media or plain bytes fall to the validators.
 
 Nulls: a null text counts as empty and is stored as one row of 255s. Equal texts give equal
-stored forms. Repeated rows are kept. An empty table gives no rows. Extra columns pass by.
+stored forms. Repeated rows are kept. Texts are worked on in slices of a few MB; a longer text is a
+slice alone and takes a few times its size. A stored form in which no valid medium is found ends the
+job. An empty table gives no rows. Extra columns pass by; only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, slices
 
 ROW = 576
 KINDS = ("wav", "au", "pgm", "bmp")
@@ -181,7 +183,7 @@ def features(samples: bytes) -> str:
 
 
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, 1):
         texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
         sums = [zlib.crc32(t) for t in texts]
         media = [store(pad(t), KINDS[c % 4]) for t, c in zip(texts, sums)]
@@ -193,13 +195,14 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [f.split()[0] for f in RESULT.split(", ")]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64()]
-    for batch in batches:
+    for batch in slices(batches, 3):
         rows = []
         for key, declared, n_bytes, media in zip(*(batch.column(i).to_pylist() for i in range(4))):
             hits = sniff(media)
             best = next((h for h in hits if h.samples[1]), None)
-            samples = media[slice(*best.samples)] if best else media
-            actual, offset = (best.kind, best.offset) if best else (None, None)
+            if best is None:
+                raise ValueError(f"no valid 8-bit media in the stored form of document {key}")
+            samples, actual, offset = media[slice(*best.samples)], best.kind, best.offset
             said = f"type={actual};declared={declared};corrected={int(actual != declared)};carved={int(bool(offset))};media={len(hits)};"
             rows.append((key, n_bytes, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-32:]), len(media), hashlib.sha256(media).hexdigest(), said + features(samples), declared, actual, offset))
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * len(names), kinds)], names=names)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small
+from .common import materialize, slices, small
 from .shingling import shingle_hashes, word_hashes
 
 SIZE = 5
@@ -38,7 +38,7 @@ DF_BUCKETS = 1 << 20
 DF_BLOCK = 1 << 14
 LEVELS = 32
 POOL = 1 << 16
-PIECE = 800
+PIECE_BYTES = 2 << 20
 SHINGLE_BITS = 44
 
 
@@ -122,17 +122,10 @@ def bucket_of(ids: np.ndarray) -> np.ndarray:
     return (ids >> np.uint64(SHINGLE_BITS - 20)).astype(np.int64)
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    for a in range(0, batch.num_rows, PIECE):
-        yield batch.slice(a, PIECE)
-    pa.default_memory_pool().release_unused()
-
-
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = np.zeros(DF_BUCKETS, np.int64)
-    for batch in batches:
-        for part in _slices(batch):
-            held += np.bincount(bucket_of(profile(part.column(0))[0]), minlength=DF_BUCKETS)
+    for part in slices(batches, 0, PIECE_BYTES):
+        held += np.bincount(bucket_of(profile(part.column(0))[0]), minlength=DF_BUCKETS)
     if held.any():
         blocks = held.astype("<u4").reshape(-1, DF_BLOCK)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(blocks), dtype=np.int32)), pa.array([b.tobytes() for b in blocks], pa.binary())], names=["block", "counts"])
@@ -165,33 +158,31 @@ def idf_levels(docs: DataFrame) -> np.ndarray:
 def _signed(batches: Iterator[pa.RecordBatch], levels) -> Iterator[pa.RecordBatch]:
     table = levels.value
     mix = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
-    for batch in batches:
-        for part in _slices(batch):
-            ids, tf, n = profile(part.column(2))
-            has = np.flatnonzero(n)
-            bands = np.zeros((len(n), BANDS), np.int64)
-            if len(has):
-                sig = sampler().signatures(ids, tf, table[bucket_of(ids)], (np.cumsum(n) - n)[has])
-                rows = sig.reshape(len(has), BANDS, ROWS)
-                rows = (rows ^ (rows >> np.uint64(31))) * mix
-                bands[has] = np.bitwise_xor.reduce(rows ^ (rows >> np.uint64(29)), axis=2).view(np.int64)
-            offsets = np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands[n > 0].reshape(-1)))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], names=["doc_id", "digest", "bands"])
+    for part in slices(batches, 2, PIECE_BYTES):
+        ids, tf, n = profile(part.column(2))
+        has = np.flatnonzero(n)
+        bands = np.zeros((len(n), BANDS), np.int64)
+        if len(has):
+            sig = sampler().signatures(ids, tf, table[bucket_of(ids)], (np.cumsum(n) - n)[has])
+            rows = sig.reshape(len(has), BANDS, ROWS)
+            rows = (rows ^ (rows >> np.uint64(31))) * mix
+            bands[has] = np.bitwise_xor.reduce(rows ^ (rows >> np.uint64(29)), axis=2).view(np.int64)
+        offsets = np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands[n > 0].reshape(-1)))
+        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], names=["doc_id", "digest", "bands"])
 
 
 def _vectors(batches: Iterator[pa.RecordBatch], levels) -> Iterator[pa.RecordBatch]:
     table = levels.value
-    for batch in batches:
-        for part in _slices(batch):
-            ids, tf, n = profile(part.column(1))
-            weight = (tf * level_weight(table[bucket_of(ids)].astype(np.float64))).astype("<f4")
-            short = (ids & np.uint64(0xFFFFFFFF)).astype("<u4")
-            ends = np.cumsum(n).tolist()
-            begins = [0, *ends[:-1]]
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([short[a:b].tobytes() for a, b in zip(begins, ends)], pa.binary()), pa.array([weight[a:b].tobytes() for a, b in zip(begins, ends)], pa.binary())], names=["doc_id", "ids", "weights"]
-            )
+    for part in slices(batches, 1, PIECE_BYTES):
+        ids, tf, n = profile(part.column(1))
+        weight = (tf * level_weight(table[bucket_of(ids)].astype(np.float64))).astype("<f4")
+        short = (ids & np.uint64(0xFFFFFFFF)).astype("<u4")
+        ends = np.cumsum(n).tolist()
+        begins = [0, *ends[:-1]]
+        yield pa.RecordBatch.from_arrays(
+            [part.column(0), pa.array([short[a:b].tobytes() for a, b in zip(begins, ends)], pa.binary()), pa.array([weight[a:b].tobytes() for a, b in zip(begins, ends)], pa.binary())], names=["doc_id", "ids", "weights"]
+        )
 
 
 def weighted_jaccard(ids_a: np.ndarray, w_a: np.ndarray, ids_b: np.ndarray, w_b: np.ndarray) -> float:
@@ -234,19 +225,18 @@ def _prefixes(batches: Iterator[pa.RecordBatch], levels, threshold: float) -> It
     that they share, in any order common to all texts, is among these of both.
     """
     table = levels.value
-    for batch in batches:
-        for part in _slices(batch):
-            ids, tf, n = profile(part.column(1))
-            level = table[bucket_of(ids)]
-            weight = tf * level_weight(level.astype(np.float64))
-            owner = np.repeat(np.arange(len(n)), n)
-            order = np.lexsort((ids * np.uint64(0x9E3779B97F4A7C15), LEVELS - level.astype(np.int64), owner))
-            weight, ids = weight[order], ids[order]
-            total = np.bincount(owner, weights=weight, minlength=len(n))
-            before = np.cumsum(weight) - weight - np.repeat(np.cumsum(total) - total, n)
-            kept = before <= (1 - threshold + 1e-4) * total[owner]
-            offsets = np.concatenate([[0], np.cumsum(np.bincount(owner[kept], minlength=len(n)))]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids[kept].view(np.int64)))], names=["node", "shingles"])
+    for part in slices(batches, 1, PIECE_BYTES):
+        ids, tf, n = profile(part.column(1))
+        level = table[bucket_of(ids)]
+        weight = tf * level_weight(level.astype(np.float64))
+        owner = np.repeat(np.arange(len(n)), n)
+        order = np.lexsort((ids * np.uint64(0x9E3779B97F4A7C15), LEVELS - level.astype(np.int64), owner))
+        weight, ids = weight[order], ids[order]
+        total = np.bincount(owner, weights=weight, minlength=len(n))
+        before = np.cumsum(weight) - weight - np.repeat(np.cumsum(total) - total, n)
+        kept = before <= (1 - threshold + 1e-4) * total[owner]
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(owner[kept], minlength=len(n)))]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids[kept].view(np.int64)))], names=["node", "shingles"])
 
 
 def _active(members: DataFrame, labels: DataFrame | None, leaders: int) -> DataFrame:

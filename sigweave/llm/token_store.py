@@ -4,8 +4,10 @@ A file row is a frame: the keys and lengths of some documents in a row, and thei
 end id) as Simple-8b words with block offsets. Frames of a partition are numbered, partitions are
 ranges of the key, so file order is key order.
 
-A null or empty text is its end id alone. Repeated keys keep a row each, in order of key and text.
-A null key sorts first. An empty table gives no frames. Extra columns pass by.
+A null or empty text is its end id alone. Repeated keys keep a row each, in order of key, a hash of
+the text, and place in the input, so a key that many rows have is split over partitions. A null key
+sorts first. A very long text is encoded in parts and makes a frame of its own. An empty table gives
+no frames. Extra columns pass by; only the key and the text are read.
 """
 
 from __future__ import annotations
@@ -21,9 +23,10 @@ from pyspark.sql import functions as F
 
 from . import simple8b
 from .bpe import encoder
-from .common import buckets_for, new_path, utf8_size
+from .common import materialize, new_path, partitions_for, slices, small, utf8_size
 
-PARTITION_BYTES = 24 << 20
+#: Partitions are numbered in groups of so many for their prefix sums.
+GROUP = 4096
 #: A frame is closed once it holds so many ids.
 FRAME_IDS = 1 << 20
 FRAME = "part int, frame int, n_docs int, n_ids int, keys binary, lengths binary, words binary, first_word binary, escapes binary, first_escape binary"
@@ -42,7 +45,7 @@ def append_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.nda
 
 def _frames(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
     part, frame = TaskContext.get().partitionId(), 0
-    for batch in batches:
+    for batch in slices(batches, 1):
         ids, counts = append_end(*encoder(path).encode(batch.column(1)), end_id)
         keys = batch.column(0)
         missing = np.array(keys.is_null())
@@ -62,9 +65,9 @@ def _frames(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterat
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = 0) -> str:
     total = docs.agg(F.sum(utf8_size(text) + 1)).first()[0]
-    parts = buckets_for(total, PARTITION_BYTES)
-    ranged = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).repartitionByRange(parts, "key")
-    ordered = ranged.sortWithinPartitions("key", "text")
+    order = ["key", "mixed", "place"]
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("mixed"), F.monotonically_increasing_id().alias("place"))
+    ordered = rows.repartitionByRange(partitions_for(docs.sparkSession, total), *order).sortWithinPartitions(*order).select("key", "text")
     ordered.mapInArrow(lambda it: _frames(it, tokenizer, end_id), FRAME).write.option("compression", "zstd").parquet(path)
     return path
 
@@ -72,7 +75,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, key: str = "do
 def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["part", "frame", "key", "rel", "n_tokens", "ids_crc32"]
     for batch in batches:
-        for r in batch.to_pylist():
+        for i in range(batch.num_rows):
+            (r,) = batch.slice(i, 1).to_pylist()
             words, escapes = np.frombuffer(r["words"], "<u8"), np.frombuffer(r["escapes"], "<u8")
             ids = simple8b.decode(words, np.frombuffer(r["first_word"], "<i4"), escapes, r["n_ids"]).astype("<u4")
             lengths = np.frombuffer(r["lengths"], "<i4").astype(np.int64)
@@ -89,13 +93,17 @@ def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_token_files(frames: DataFrame) -> DataFrame:
     """A row per document from its files: key, start (ids before it), n_tokens, ids_crc32."""
     sizes = frames.select("part", "frame", "n_ids")
-    inside = Window.partitionBy("part").orderBy("frame").rowsBetween(Window.unboundedPreceding, -1)
-    over = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", F.coalesce(F.sum("n").over(over), F.lit(0)).alias("before_part"))
-    first = sizes.select("part", "frame", F.coalesce(F.sum("n_ids").over(inside), F.lit(0)).alias("before_frame")).join(parts, "part")
+    before, zero = (Window.unboundedPreceding, -1), F.lit(0).cast("long")
+    inside = Window.partitionBy("part").orderBy("frame").rowsBetween(*before)
+    parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("n")).withColumn("group", F.expr(f"part div {GROUP}"))
+    groups = parts.groupBy("group").agg(F.sum("n").alias("n")).select("group", F.coalesce(F.sum("n").over(Window.orderBy("group").rowsBetween(*before)), zero).alias("before_group"))
+    over = Window.partitionBy("group").orderBy("part").rowsBetween(*before)
+    parts = parts.select("part", "group", F.coalesce(F.sum("n").over(over), zero).alias("before_own")).join(groups, "group").select("part", (F.col("before_group") + F.col("before_own")).alias("before_part"))
+    first = sizes.select("part", "frame", F.coalesce(F.sum("n_ids").over(inside), zero).alias("before_frame")).join(parts, "part")
+    first = materialize(first, "frame-starts")
     rows = frames.mapInArrow(_decoded, "part int, frame int, key long, rel long, n_tokens long, ids_crc32 long")
     start = (F.col("before_part") + F.col("before_frame") + F.col("rel")).alias("start")
-    return rows.join(first, ["part", "frame"]).select("key", start, "n_tokens", "ids_crc32")
+    return rows.join(small(first, first.count()), ["part", "frame"]).select("key", start, "n_tokens", "ids_crc32")
 
 
 def op10_simple8b(docs: DataFrame, tokenizer: str) -> DataFrame:

@@ -60,6 +60,15 @@ def test_bpe_equals_the_tokenizer():
         assert ids[e - n : e].tolist() == tk.encode(t, add_special_tokens=False).ids, t
 
 
+def test_bpe_cuts_long_texts_and_reads_slices(monkeypatch):
+    monkeypatch.setattr(bpe, "LONG", 300)
+    texts = ["a", sentence(900, 3) + "  x \n " + sentence(200, 4), None, "é" * 2000, "漢字 " * 400, "it's " * 300]
+    tk = Tokenizer.from_file(BPE)
+    ids, counts = bpe.BpeEncoder(BPE).encode(pa.array(["skip", *texts]).slice(1))
+    for t, e, n in zip(texts, np.cumsum(counts), counts):
+        assert ids[e - n : e].tolist() == tk.encode(t or "", add_special_tokens=False).ids
+
+
 def expected_ids(end):
     tk = Tokenizer.from_file(BPE)
     return [np.array([*tk.encode(t or "", add_special_tokens=False).ids, end], "<u4") for t in TEXTS]
@@ -90,10 +99,49 @@ def test_packing(docs, empty):
     assert packing.op3_drr_packing(empty, BPE).count() == 0
 
 
+def by_windows(rows, source_of):
+    """Tokens of each source in each window."""
+    held = {}
+    for r in rows:
+        held.setdefault(r["sequence_id"], Counter())[source_of[r["doc_id"]]] += r["length"]
+    return [held[i] for i in range(len(held))]
+
+
+def test_packing_keeps_to_targets_unlike_the_natural_shares(spark):
+    """Over many frames, while all queues hold text, no source is more than two runs off its target in all windows so far."""
+    rows = [(i, f"s{i % 2}" if i % 7 else None, sentence(40 + i % 150, 300 + i)) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(5)
+    out = packing.pack(df, BPE, targets={"s0": 0.7, "s1": 0.2, None: 0.1}, window=512, frame_ids=1 << 14).collect()
+    source_of = {i: s for i, s, _ in rows}
+    tokens = Counter()
+    for r in out:
+        tokens[source_of[r["doc_id"]]] += r["length"]
+    whole = min(tokens["s0"] / 0.7, tokens["s1"] / 0.2, tokens[None] / 0.1)
+    held, so_far, at = by_windows(out, source_of), Counter(), 0
+    assert whole > 5 * (1 << 14)
+    for own in held[: int(whole) // 512 - 2]:
+        so_far.update(own)
+        at += 512
+        for s, share in (("s0", 0.7), ("s1", 0.2), (None, 0.1)):
+            assert abs(so_far[s] - share * at) <= 2 * packing.RUN, (at, s)
+    assert all(sum(own.values()) == 512 for own in held[:-1]) and sum(tokens.values()) == sum(sum(o.values()) for o in held)
+    # Pieces of a document follow each other without gap.
+    for i in range(600):
+        mine = sorted((r["start"], r["length"], r["doc_tokens"]) for r in out if r["doc_id"] == i)
+        assert [m[0] for m in mine] == [sum(x[1] for x in mine[:k]) for k in range(len(mine))] and sum(m[1] for m in mine) == mine[0][2]
+
+
+def test_packing_serves_untargeted_sources_last(spark):
+    rows = [(i, f"s{i % 3}", sentence(200, 400 + i)) for i in range(90)]
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, source string, text string"), BPE, targets={"s0": 1.0}, window=512, frame_ids=1 << 14).collect()
+    order = [f"s{r['doc_id'] % 3}" for r in sorted(out, key=lambda r: (r["sequence_id"], r["offset"]))]
+    assert "s0" not in order[order.index("s1") + 60 :] and set(order) == {"s0", "s1", "s2"}
+
+
 def test_schedule_keeps_to_the_shares():
     lengths = [300] * 200
     queue = [0] * 100 + [1] * 60 + [2] * 40
-    pieces = packing.schedule(lengths, queue, [0.5, 0.3, 0.2], [0.0, 0.0, 0.0], 0)
+    pieces = packing.schedule(lengths, queue, lambda a, b: [s * (b - a) for s in (0.5, 0.3, 0.2)], [0.0, 0.0, 0.0], 0)
     for stop in range(2048, 50_000, 2048):
         served = Counter()
         for d, _, n, at in pieces:
@@ -113,15 +161,16 @@ def test_shards(docs, empty, spark):
         b = (TEXTS[r["doc_id"]] or "").encode()
         assert (r["size"], r["text_crc32"]) == (len(b) + 1, zlib.crc32(b))
     assert shard_shuffle.op2_external_shuffle(empty).count() == 0
-    with pytest.raises(ValueError):
-        shard_shuffle.external_shuffle(docs.withColumn("Shard", F.lit(1)))
+    clash = docs.withColumn("Shard", F.col("doc_id") + 100).withColumn("row", F.lit(1)).withColumn("bucket", F.lit(1))
+    for r in shard_shuffle.external_shuffle(clash).collect():
+        assert (r["Shard_"], r["row"], r["bucket"]) == (r["doc_id"] + 100, 1, 1) and 0 <= r["shard"] < 8
     assert shard_shuffle.external_shuffle(docs.union(docs), bucket_bytes=2000).count() == 2 * len(TEXTS)
 
 
 def test_shards_of_a_repeated_key(spark, monkeypatch):
     rows = spark.range(600).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 6 == 0, "same").otherwise(F.concat(F.lit("x"), "id")).alias("text"))
-    copies = shard_shuffle.numbered(rows, 17).filter("doc_id is null and text = 'same'").select("_copy").collect()
-    assert sorted(r["_copy"] for r in copies) == list(range(100))
+    copies = shard_shuffle.numbered(rows.select(F.struct("*").alias("row")), 17).filter("row.doc_id is null and row.text = 'same'").select("copy").collect()
+    assert sorted(r["copy"] for r in copies) == list(range(100))
     monkeypatch.setattr(shard_shuffle, "RUN", 7)
     monkeypatch.setattr(shard_shuffle, "MIN_CHECKED", 1)
     out = shard_shuffle.external_shuffle(rows, n_shards=1, bucket_bytes=100).collect()
@@ -131,6 +180,17 @@ def test_shards_of_a_repeated_key(spark, monkeypatch):
     assert len(places) == 200 and max(places) - min(places) > 500
 
 
+def test_shards_do_not_depend_on_partitions(spark):
+    rows = [(i if i % 3 else None, "same" if i % 6 == 0 else sentence(20, i)) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = set()
+    for n in (1, 3, 7):
+        out = shard_shuffle.external_shuffle(df.orderBy(F.xxhash64("text", F.lit(n))).repartition(n), bucket_bytes=3_000).collect()
+        seen.add(tuple(sorted((r["shard"], r["slot"], r["doc_id"] or -1, r["text"]) for r in out)))
+    assert len(seen) == 1
+    assert seen != {tuple(sorted((r["shard"], r["slot"], r["doc_id"] or -1, r["text"]) for r in shard_shuffle.external_shuffle(df, seed=18, bucket_bytes=3_000).collect()))}
+
+
 def test_media(docs, empty):
     for r in media.op5_signature_sniffing(docs).collect():
         b = (TEXTS[r["doc_id"]] or "").encode()
@@ -154,14 +214,20 @@ def test_url_rules_and_cascade(pages, spark):
     assert rows[1]["rule"] == "example.org/es/" and rows[2]["rule"] == "org/" and rows[2]["verdict"] == "allow"
     assert rows[6]["host"] == rows[6]["path"] == rows[7]["host"] == "" and rows[9]["path"] == "" and rows[9]["rule"] is None
     assert url_cascade.op8_url_cascade(pages.limit(0)).count() == 0
-    keys = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("key"), (F.col("id") % 7 == 0).alias("listed"))
-    for literal in (url_cascade.LITERAL_WORDS, 0):
-        old, url_cascade.LITERAL_WORDS = url_cascade.LITERAL_WORDS, literal
-        try:
-            got = url_cascade.with_membership(keys, "key", url_cascade.build_cascade(keys), "found")
-            assert got.filter("found <> listed").count() == 0 and got.count() == 3000
-        finally:
-            url_cascade.LITERAL_WORDS = old
+    assert rows[8]["verdict"] == ("block" if hashlib.md5(b"a.net/x").hexdigest()[0] in "01" else "allow")
+
+
+@pytest.mark.parametrize("every, pass_keys", [(7, 10_000), (500, 10_000), (3, 200)])
+def test_cascades_are_exact(spark, every, pass_keys):
+    """With few and many listed keys, in one pass and in several; rows repeat, and have null keys and a column of the new one's name."""
+    keys = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("key"), (F.col("id") % every == 0).alias("listed"))
+    cascades = url_cascade.build_cascades(keys, pass_keys)
+    assert len(cascades) == -(-3000 // every // pass_keys) or every == 3 and len(cascades) == 5
+    rows = keys.union(keys).withColumn("found", F.lit("x"))
+    got = url_cascade.with_membership(rows, "key", cascades, "found")
+    assert got.filter("found <> listed").count() == 0 and got.count() == 6000
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
 
 
 def test_html(pages):
@@ -187,6 +253,25 @@ def test_html_keeps_the_whole_article(spark):
     assert got == {0: f"{lead}\n{body}", 1: f"{lead}\n{body}", 2: body, 3: body, 4: lead, 5: lead}
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<body><article class='related-work'><p>one two three four</p></article></body>", "one two three four"),
+        ("<body><div class='search-engines post'><p>one two three four</p></div></body>", "one two three four"),
+        ("<body><article><p>one two<button>three<p>four five</article></body>", "one two three\nfour five"),
+        ("<body><article><p>one two<button>press</button> three</article></body>", "one two three"),
+        ("<body><article><p class='x>one two</p><p id=y>three four</p></article></body>", "one two\nthree four"),
+        ("<body><article><p class=\"x>one two</p><p class=\"y\">three four</p></article></body>", "one two\nthree four"),
+        ("<body><header>site</header><article><header><h1>Head <b>line</b></h1><span>by me</span></header><p>one two three four</p></article></body>", "Head line\none two three four"),
+        ("<body><article><p title='a > b'>one</p><script>if (a < b) '<p>x'</script><p>two &amp; three</p><!-- <p>no</p> --></article>", "one\ntwo & three"),
+        ("<body><article><p>one two three<p>four</article><div class='comments'><p>nice</div><script>open", "one two three\nfour"),
+    ],
+)
+def test_html_pages(page, text):
+    found = html_consensus.blocks(page)
+    assert html_consensus.extract(found, None) == text
+
+
 def plain_similarity(a, b):
     words = lambda t: [w for w in (re.sub(r"^\W+|\W+$", "", x) for x in t.lower().split()) if w]
     grams = lambda w: Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
