@@ -426,11 +426,11 @@ def test_attention_gradients():
     m = attention_lm.Attention(np.zeros(attention_lm.CLASSES, np.float32))
     m.p = {k: v.astype(np.float64) for k, v in m.p.items()}
     rng = np.random.default_rng(1)
-    x, y = rng.integers(0, 50, (3, 8)), rng.integers(0, 50, (3, 8))
-    w = np.ones((3, 8))
+    x, y = rng.integers(0, 50, (2, 3, attention_lm.WINDOW)), rng.integers(0, 50, (3, attention_lm.STRIDE))
+    w = (rng.random(y.shape) < 0.8).astype(float)
     _, g = m.step(x, y, w)
-    for name in ("q", "k", "v", "o", "up", "down", "out", "pos"):
-        i = tuple(rng.integers(0, s) for s in m.p[name].shape) if name != "pos" else (2, 3)
+    for name in m.p:
+        i = tuple(rng.integers(0, min(40, s)) for s in m.p[name].shape)
         old = m.p[name][i]
         m.p[name][i] = old + 1e-5
         up = m.step(x, y, w)[0]
@@ -442,21 +442,99 @@ def test_attention_gradients():
 
 def test_windows_score_each_place_once():
     sizes = np.array([1, 0, 16, 17, 40, 5])
-    places, scored = attention_lm.windows(sizes)
-    assert sorted(places[scored].tolist()) == list(range(sizes.sum()))
-
-
-def test_scores(docs, empty, monkeypatch):
-    monkeypatch.setattr(attention_lm, "STEPS", 30)
-    rows = {r["doc_id"]: r for r in attention_lm.op6_attention_scores(docs, BPE).collect()}
-    words = {i: [w for w in re.split(r"[\x20\x09-\x0D]+", (t or "").translate({c: c + 32 for c in range(65, 91)})) if w] for i, t in enumerate(TEXTS)}
+    before, own = attention_lm.windows(sizes)
+    assert sorted(own[own >= 0].tolist()) == list(range(sizes.sum()))
+    begin = np.repeat(np.cumsum(sizes) - sizes, sizes)
+    for b, o in zip(before, own):
+        for k, at in enumerate(o.tolist()):  # the last places read are those before the ones scored
+            if at >= 0:
+                want = [p if p >= begin[at] else -1 for p in range(at - (attention_lm.WINDOW - attention_lm.STRIDE) - k - 1, at)]
+                assert b[: len(want)].tolist() == want
+
+
+def split_words(text):
+    return [w for w in re.split(r"[\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)})) if w]
+
+
+def test_words_of():
+    texts = ["skip me", *TEXTS, "A\x0bB\x1cC É", " lead", "x "]
+    flat, sizes = attention_lm.words_of(pa.array(texts).slice(1))
+    want = [split_words(t) for t in texts[1:]]
+    assert flat.to_pylist() == [w for ws in want for w in ws] and sizes.tolist() == [len(w) for w in want]
+
+
+def brute_class_score(p, rows, target):
+    """log10 of the class probability of each token of a text, one at a time."""
+    w, s, total = attention_lm.WINDOW, attention_lm.STRIDE, 0.0
+    p = {k: v.astype(np.float64) for k, v in p.items()}
+    for t in range(len(target)):
+        k = w - s + t % s  # its place in its window
+        past = [rows[t - k + j - 1] if t - k + j > 0 else (2 * attention_lm.BUCKETS,) * 2 for j in range(k + 1)]
+        e = [p["emb"][a] + p["emb"][b] + p["pos"][j] for j, (a, b) in enumerate(past)]
+        q = e[-1] @ p["q"] / math.sqrt(attention_lm.WIDTH)
+        a = np.exp([q @ (x @ p["k"]) for x in e])
+        seen = sum(y * (x @ p["v"]) for x, y in zip(e, a)) / a.sum()
+        y = e[-1] + np.maximum(e[-1] @ p["own"] + seen @ p["seen"] + p["b"], 0) @ p["down"]
+        z = y @ p["out"] + p["bias"]
+        total += (z[target[t]] - np.log(np.exp(z).sum())) / math.log(10)
+    return total
+
+
+def test_scores(spark, docs, empty, monkeypatch):
+    monkeypatch.setattr(attention_lm, "START_STEPS", 30)
+    monkeypatch.setattr(attention_lm, "HEAD", 5)
+    monkeypatch.setattr(attention_lm, "STREAM_TOKENS", 300)
+    monkeypatch.setattr(attention_lm, "train", lambda streams, prior, own=attention_lm.train: models.append(own(streams, prior)) or models[-1])
+    texts, models = [*TEXTS, "zzqx unheard-of,", sentence(30, 77)], []
+    while not attention_lm.is_held_out(len(texts) - 2):
+        texts.insert(0, sentence(10, len(texts)))
+    rows = [(i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r for r in attention_lm.op6_attention_scores(df, BPE).collect()}
+    assert len(got) == len(texts)
+    words = {i: split_words(t) for i, t in rows}
     out = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in words}
     count = Counter(w for i, ws in words.items() if not out[i] for w in [*ws, None])
     n, v = sum(count.values()), len(count)
+    corpus = attention_lm.read_corpus(df, BPE)
+    enc = bpe.encoder(BPE)
     for i, ws in words.items():
         base = sum(math.log10((count[w] + 0.1) / (n + 0.1 * (v + 1))) for w in [*ws, None])
-        r = rows[i]
+        r = got[i]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (out[i], len(ws) + 1, sum(w in count for w in [*ws, None]), n)
         assert r["base_score"] == pytest.approx(base) and r["score"] < 0
-    assert rows[4]["score"] == pytest.approx(rows[5]["score"], rel=1e-4)
+    # The score is the context's part, computed token by token, and each word's part in its class.
+    streams = {}
+    for r in corpus.streams.collect():
+        at, flat = 0, np.frombuffer(r["rows"], "<u2").reshape(2, -1).T.tolist()
+        for key, size, inside in zip(r["keys"], r["sizes"], r["inside"]):
+            streams[key] = (flat[at : at + size], list(r["klass"][at : at + size]), inside)
+            at += size
+    for i, (read, klass, inside) in streams.items():
+        assert klass[-1] == attention_lm.END and got[i]["score"] == pytest.approx(brute_class_score(models[0].p, read, klass) + inside, rel=1e-4)
+        for w, (a, b) in zip(words[i], read):
+            ids = enc.whole.encode(" " + w, add_special_tokens=False).ids
+            assert (a, b) == (corpus.words.row[ids[0]], corpus.words.row[ids[-1]] + attention_lm.BUCKETS)
     assert attention_lm.op6_attention_scores(empty, BPE).count() == 0
+
+
+def test_shares_and_spellings():
+    """Known words' shares in their groups leave what unknown ones may have; spellings follow the counts of pairs."""
+    words = pa.array(["ab", "abc", "abd", "xy", "ab.", "zz"])
+    count, topic = np.array([5, 1, 2, 1, 3, 0]), np.zeros(6, np.int64)
+    ids, n = np.array([0, 0, 2, 0, 3, 4, 0, 5, 4, 4]), np.array([1, 2, 2, 1, 2, 2])
+    batch = pa.RecordBatch.from_arrays([words, pa.array(count), pa.array(topic), pa.ListArray.from_arrays(pa.array([0, *np.cumsum(n)], pa.int32()), pa.array(ids))], names=["word", "count", "topic", "ids"])
+    found = [b.to_pydict() for b in attention_lm._statistics(iter([batch]), pa.array(["xy"], pa.string()), 6)]
+    kind, key, number = (np.array([x for f in found for x in f[c]]) for c in ("kind", "key", "n"))
+    pair = kind == attention_lm.PAIR
+    assert dict(zip(key[pair].tolist(), number[pair].tolist())) == {0 * 7 + 6: 1, 0 * 7 + 2: 1, 2 * 7 + 6: 1, 0 * 7 + 3: 1, 3 * 7 + 6: 1, 4 * 7 + 6: 1, 0 * 7 + 5: 1, 5 * 7 + 6: 1}
+    w = attention_lm.Words(pa.array(["xy"], pa.string()), (kind, key, number), (key[pair], number[pair]), 6)
+    klass, a, b, inside = w.features(words, count, topic, ids, n)
+    assert klass[3] == 0 and inside[3] == 0 and klass[0] == klass[1] == klass[2] == attention_lm.GROUPS + 2 and klass[4] == attention_lm.GROUPS
+    novel = (1 + 0.5) / (8 + 1)
+    spelled = 10 ** w.spelled(ids, n).max(axis=1)
+    assert 10 ** inside[:3] == pytest.approx((1 - novel) * count[:3] / 8 + novel * 10 ** w.spelled(ids, n)[:3, 0])
+    # After id 0 stand four different ids, each once: each keeps a half, and the other halves go by the topic's shares.
+    later = w.later[:, 0]
+    assert 10 ** w.spelled(ids, n)[1, 0] == pytest.approx(w.first[0, 0] * (0.5 / 4 + 0.5 * later[2]) * (0.5 + 0.5 * later[6]), rel=1e-5)
+    assert sum(10 ** w.spelled(np.array([0, k, 0])[[0, 1]], np.array([2]))[0, 0] for k in range(6)) < 1 and (spelled < 1).all()
