@@ -69,6 +69,14 @@ def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, led by as many underscores as it takes to differ from all columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def utf8_size(text) -> F.Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 

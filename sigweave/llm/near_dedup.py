@@ -11,7 +11,8 @@ joined, and connected components are the classes. Equal texts are grouped first
 Nulls: a null text counts as empty; texts without words are grouped only with equal texts.
 Repeated rows get a row each, in one class. Texts count, not doc_ids: different texts of one doc_id
 are apart, and rows without doc_id have their text's class, null if nothing in it has a doc_id. An
-empty table gives no rows. Extra columns pass by.
+empty table gives no rows. A very long text is profiled alone, in memory of some times its size.
+Extra columns pass by, whatever their names. Of equal leaders and links the lesser node number comes first.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, small
+from .common import free_name, materialize, slices, small
 from .shingling import shingle_hashes, word_hashes
 
 SIZE = 5
@@ -177,11 +178,10 @@ def _vectors(batches: Iterator[pa.RecordBatch], levels) -> Iterator[pa.RecordBat
     for part in slices(batches, 1, PIECE_BYTES):
         ids, tf, n = profile(part.column(1))
         weight = (tf * level_weight(table[bucket_of(ids)].astype(np.float64))).astype("<f4")
-        short = (ids & np.uint64(0xFFFFFFFF)).astype("<u4")
         ends = np.cumsum(n).tolist()
         begins = [0, *ends[:-1]]
         yield pa.RecordBatch.from_arrays(
-            [part.column(0), pa.array([short[a:b].tobytes() for a, b in zip(begins, ends)], pa.binary()), pa.array([weight[a:b].tobytes() for a, b in zip(begins, ends)], pa.binary())], names=["doc_id", "ids", "weights"]
+            [part.column(0), pa.array([ids[a:b].astype("<u8").tobytes() for a, b in zip(begins, ends)], pa.binary()), pa.array([weight[a:b].tobytes() for a, b in zip(begins, ends)], pa.binary())], names=["doc_id", "ids", "weights"]
         )
 
 
@@ -199,7 +199,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sims = []
         for ia, wa, ib, wb in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5))):
-            sims.append(weighted_jaccard(np.frombuffer(ia, "<u4"), np.frombuffer(wa, "<f4"), np.frombuffer(ib, "<u4"), np.frombuffer(wb, "<f4")))
+            sims.append(weighted_jaccard(np.frombuffer(ia, "<u8"), np.frombuffer(wa, "<f4"), np.frombuffer(ib, "<u8"), np.frombuffer(wb, "<f4")))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims, pa.float64())], names=["a", "b", "similarity"])
 
 
@@ -264,10 +264,6 @@ def _pairs(active: DataFrame) -> DataFrame:
     return met.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
 
 
-def _digested(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_digest", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-
-
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """Each row's doc_id and digest; and each distinct text's digest and doc_id (its least), with its class's
     least doc_id (class_id) and the digest of the text that stands for the class (rep).
@@ -350,6 +346,8 @@ def op4_consistent_sampling(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of ``docs`` for each class: that of the least doc_id; one without doc_id if none has any."""
     _, texts = classes(docs)
-    kept = materialize(texts.filter("digest = rep").select(F.col("digest").alias("_digest"), F.col("doc_id").alias("_id")), "kept")
-    met = _digested(docs).join(kept, "_digest").filter(F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
-    return met.dropDuplicates(["_digest"]).select(*docs.columns)
+    key, digest = free_name(docs, "_id"), free_name(docs, "_digest")
+    kept = materialize(texts.filter("digest = rep").select(F.col("digest").alias(digest), F.col("doc_id").alias(key)), "kept")
+    digested = docs.withColumn(digest, F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    met = digested.join(kept, digest).filter(F.col("doc_id").cast("long").eqNullSafe(F.col(key)))
+    return met.dropDuplicates([digest]).select(*(f"`{c}`" for c in docs.columns))

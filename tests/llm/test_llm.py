@@ -359,6 +359,76 @@ def test_leaks(spark):
     assert decontaminate.op1_simhash_windows(df, bench.limit(0)).count() == 0
 
 
+def exhaustive_leaks(docs, items):
+    """(document, item): the best weighted similarity of any window of the item's size, from plain words."""
+    words_of = lambda t: [w for w in (re.sub(r"^\W+|\W+$", "", x) for x in (t or "").lower().split()) if w]
+    grams = lambda w, k: Counter(tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1)))
+    held = {i: words_of(t) for i, t in items}
+    held = {i: w for i, w in held.items() if w}
+    df = Counter(g for w in held.values() for g in grams(w, min(5, len(w))))
+    weight = lambda g: 1 + math.log((1 + len(held)) / (1 + df.get(g, 1)))
+    out = {}
+    for d, t in docs:
+        own = words_of(t)
+        for i, w in held.items() if own else ():
+            n, theirs = len(w), grams(w, min(5, len(w)))
+            for at in range(max(1, len(own) - n + 1)):
+                mine = grams(own[at : at + n], min(5, n))
+                total = lambda c: sum(v * weight(g) for g, v in c.items())
+                similarity = total(mine & theirs) / total(mine | theirs)
+                if similarity >= 0.8 and similarity > out.get((d, i), (0,))[0]:
+                    out[d, i] = (similarity, at)
+    return out
+
+
+def test_leaks_equal_an_exhaustive_search(spark):
+    """Items of many sizes in documents, whole, changed in the middle, cut, repeated, or near another item."""
+    rng, items, docs = random.Random(12), [], []
+    for i in range(14):
+        items.append((i, sentence(4 + 4 * i, 900 + i)))
+    items.append((14, " ".join([*items[9][1].split()[:-1], "else"])))
+    for i, t in items:
+        for change in range(4):
+            words = t.split()
+            if change == 1:
+                words[rng.randrange(len(words))] = "changed"
+            elif change == 2:
+                words = words[1:]
+            elif change == 3:
+                words[-1:] = ["x", "y"]
+            docs.append((len(docs), " ".join([sentence(rng.randrange(40), 50 + len(docs)), *words, sentence(rng.randrange(40), 150 + len(docs))])))
+    docs += [(len(docs), items[5][1] + " " + items[5][1]), (len(docs) + 1, None), (len(docs) + 2, "")]
+    want = exhaustive_leaks(docs, items)
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([*items, (50, None)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["similarity"], r["first_word"]) for r in decontaminate.op1_simhash_windows(df, bench).collect()}
+    assert len(want) > 40 and set(got) == set(want)
+    assert all(got[k][0] == pytest.approx(want[k][0], abs=1e-5) for k in want)
+    # Fingerprints within the radius are found whatever bits differ.
+    bits = np.array([rng.getrandbits(64) for _ in range(200)], np.uint64)
+    for one in bits:
+        other = one
+        for b in rng.sample(range(64), decontaminate.RADIUS):
+            other ^= np.uint64(1 << b)
+        near = decontaminate.blocks_of(np.array([one])) ^ decontaminate.blocks_of(np.array([other]))
+        assert min(int(x).bit_count() for x in near[0]) <= decontaminate.RADIUS // decontaminate.BLOCKS
+
+
+def test_clashing_columns(spark):
+    """Extra columns bear the names that operators use inside; stages return the documents' columns."""
+    names = "_id _digest digest row shard slot path bucket node label band value key keep batch block item"
+    texts = [sentence(60, 31), sentence(60, 32), None, ""]
+    df = spark.createDataFrame([(i, t, "en", f"s{i}") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    df = df.select("*", *(F.lit(7).alias(n) for n in names.split()))
+    bench, labels = spark.createDataFrame([(0, texts[1])], "item_id long, text string"), spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int")
+    for out, left in ((decontaminate.drop_leaked(df, bench), {0, 2, 3}), (near_dedup.keep_one(df), {0, 1, 2}), (quality_kn.keep_good(df, labels), {0, 1, 2, 3})):
+        assert out.columns == df.columns and {r["doc_id"] for r in out.collect()} == left
+    assert {r["doc_id"] for r in decontaminate.op1_simhash_windows(df, bench).collect()} == {1}
+    assert near_dedup.op4_consistent_sampling(df).count() == quality_kn.op7_kneser_ney(df, labels).count() == attention_lm.op6_attention_scores(df, BPE).count() == 4
+    assert packing.op3_drr_packing(df, BPE).count() == token_store.op10_simple8b(df, BPE).count() == media.op5_signature_sniffing(df).count() == 4
+    pages = spark.createDataFrame([(1, "http://a.org/x", "<p>one two")], "page_id long, url string, html string").select("*", *(F.lit(7).alias(n) for n in (names + " host text n_chars rule verdict listed _key").split()))
+    assert [r["text"] for r in html_consensus.op9_consensus_paths(pages).collect()] == ["one two"] and url_cascade.op8_url_cascade(pages).first()["verdict"] == "allow"
+
+
 def test_null_and_repeated_ids(spark):
     item, a, b, c = sentence(30, 500), sentence(90, 61), sentence(90, 62), sentence(90, 63)
     bench = spark.createDataFrame([(0, item)], "item_id long, text string")
@@ -375,7 +445,7 @@ def brute_kneser_ney(texts):
     """Probability function of an interpolated modified Kneser-Ney model over 4-grams of the same symbols."""
     grams = Counter()
     for t in texts:
-        keys, _ = quality_kn.grams(*quality_kn.symbols([t]))
+        keys, _ = quality_kn.grams(*quality_kn.symbols([t])[:2])
         grams.update(int(k) for k in keys)
     levels = {4: grams}
     for k in (3, 2, 1):
@@ -405,11 +475,47 @@ def test_kneser_ney_equals_brute_force(spark, monkeypatch):
     train = [sentence(30, 700 + i) + "." for i in range(6)]
     model = quality_kn.train(spark.createDataFrame([(t,) for t in train], "text string"))
     p = brute_kneser_ney(train)
-    asked = sorted({int(k) for k in quality_kn.grams(*quality_kn.symbols([train[0], "zq the then $$$ the the the", ""]))[0]})
+    asked = sorted({int(k) for k in quality_kn.grams(*quality_kn.symbols([train[0], "zq the then $$$ the the the", ""])[:2])[0]})
     got = {r["key"]: r["logp"] for r in quality_kn.resolve(spark.createDataFrame([(k,) for k in asked], "key long"), model).collect()}
     assert all(got[k] == pytest.approx(math.log10(p(k)), abs=1e-6) for k in asked)
 
 
+def test_perplexity_and_keep_equal_brute_force(spark, monkeypatch):
+    """Every document's perplexity, each symbol by itself, and the thresholds, by sorting."""
+    monkeypatch.setattr(quality_kn, "HEAD_BITS", 6)  # so that both the table and the join count
+    monkeypatch.setattr(quality_kn, "LEAST", 5)
+    rows = [(i, sentence(12, 600 + i), ["en", "el"][i % 2]) for i in range(40)]
+    rows = [(i, t.translate({97 + k: 0x3B1 + k for k in range(24)}) if g == "el" else t, g) for i, t, g in rows]
+    rows += [(50, "the the the thing", "en"), (51, None, "en"), (52, "zz $$$ zz", None), (53, rows[1][1], "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    sample = {r[0]: r[1] for r in labels.select("doc_id", F.pmod(F.xxhash64(F.lit(12), "doc_id"), F.lit(2))).collect()}
+    p = brute_kneser_ney([t for i, t, _ in rows if sample.get(i) == 0])
+    nll, size, seen = {}, {}, {}
+    for i, t, _ in rows:
+        sym, n, weight = quality_kn.symbols([t or ""])
+        keys = quality_kn.grams(sym, n)[0].tolist()
+        for k in keys:
+            seen.setdefault(k, math.log10(p(k)))
+        nll[i], size[i] = -sum(seen[k] * w for k, w in zip(keys, weight[3:].tolist())), int(weight[3:].sum())
+    assert size[50] == len("the the the thing") + 1
+    got = {r["doc_id"]: r for r in quality_kn.op7_kneser_ney(docs, labels).collect()}
+    calm = {g: [i for i, _, x in rows if x == g and sample.get(i) == 1] for g in ("en", "el")}
+    mean = {g: sum(nll[i] for i in ids) / sum(size[i] for i in ids) for g, ids in calm.items()}
+    every = [i for ids in calm.values() for i in ids]
+    steady = lambda i, m: (nll[i] + quality_kn.PRIOR * m) / (size[i] + quality_kn.PRIOR)
+    rank = lambda values: sorted(values)[math.ceil(quality_kn.QUANTILE * len(values)) - 1]
+    limit = {g: rank([steady(i, mean[g]) for i in ids]) if len(ids) >= 5 else None for g, ids in calm.items()}
+    overall = rank([steady(i, mean[g]) for g, ids in calm.items() for i in ids])
+    for i, _, g in rows:
+        m = mean.get(g, sum(nll[x] for x in every) / sum(size[x] for x in every))
+        assert math.log10(got[i]["perplexity"]) == pytest.approx(nll[i] / size[i], abs=1e-4)
+        assert math.log10(got[i]["threshold"]) == pytest.approx(limit.get(g) or overall, abs=1e-4)
+        if size[i] > 1 and abs(steady(i, m) - (limit.get(g) or overall)) > 1e-5:
+            assert got[i]["keep"] == (steady(i, m) <= (limit.get(g) or overall)), i
+    assert not got[52]["keep"] and got[51]["keep"]
+
+
 def test_quality_keeps_clean(spark):
     clean = [(i, sentence(80, 800 + i), "en") for i in range(200)]
     junk = [(1000 + i, " ".join(w + "$$$" for w in sentence(80, 900 + i).split()), "en") for i in range(20)] + [(2000, "thing " * 300, "en")]
@@ -538,3 +644,37 @@ def test_shares_and_spellings():
     later = w.later[:, 0]
     assert 10 ** w.spelled(ids, n)[1, 0] == pytest.approx(w.first[0, 0] * (0.5 / 4 + 0.5 * later[2]) * (0.5 + 0.5 * later[6]), rel=1e-5)
     assert sum(10 ** w.spelled(np.array([0, k, 0])[[0, 1]], np.array([2]))[0, 0] for k in range(6)) < 1 and (spelled < 1).all()
+
+
+def test_pipeline_stages(spark, tmp_path):
+    """Each stage works on what the one before it kept; junk, near copies and leaks go; all ids are packed."""
+    import corpus_pipeline
+
+    item, near = sentence(30, 500), lambda t: " ".join([*t.split()[:-1], "else"])
+    clean = [(i, sentence(80, 800 + i)) for i in range(120)]
+    copies = [(200 + i, near(clean[i][1])) for i in range(10)] + [(220, clean[3][1])]
+    junk = [(300 + i, " ".join(w + "$$$" for w in sentence(80, 900 + i).split())) for i in range(5)]
+    leaks = [(400, sentence(40, 77) + " " + item + " " + sentence(40, 78))]
+    rows = [*clean, *copies, *junk, *leaks, (500, None), (None, sentence(70, 79))]
+    docs = spark.createDataFrame([(i, t, "en", f"s{(i or 0) % 3}", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(120)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    seen, now = {}, spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, now, str(tmp_path))
+        assert out.columns == docs.columns
+        out.write.parquet(f"{tmp_path}/{name.replace(' ', '-')}")
+        now = spark.read.parquet(f"{tmp_path}/{name.replace(' ', '-')}")
+        seen[name] = {r["doc_id"] for r in now.collect()}
+    kept = {i for i, _ in clean} | {500, None}
+    dropped = kept - seen["quality classifier"]
+    assert len(dropped) <= 2 and not seen["quality classifier"] & {i for i, _ in junk}
+    assert not (seen["near-dedup"] & {i for i, _ in copies} - {200 + i for i in dropped if i} - {220}) and 400 in seen["near-dedup"]
+    assert seen["decontamination"] == seen["near-dedup"] - {400}
+    pieces = corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path)).collect()
+    texts, tk = dict(rows), Tokenizer.from_file(BPE)
+    held = Counter()
+    for r in pieces:
+        held[r["doc_id"]] += r["length"]
+    assert held == {i: len(tk.encode(texts[i] or "", add_special_tokens=False).ids) + 1 for i in seen["decontamination"]}
