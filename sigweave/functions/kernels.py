@@ -53,7 +53,8 @@ def simpson(y: np.ndarray, dx: float) -> np.ndarray:
 
 def fft_features(x: np.ndarray, fs: float) -> dict[str, np.ndarray]:
     """Two-sided spectral features of each row: total, mean, median and peak."""
-    power = np.abs(np.fft.fft(x, axis=1)) ** 2
+    half = np.abs(np.fft.rfft(x, axis=1)) ** 2
+    power = np.concatenate([half, half[:, 1 : (x.shape[1] + 1) // 2][:, ::-1]], axis=1)  # both sides exactly alike, so a peak is at its positive side
     freqs = np.fft.fftfreq(x.shape[1], 1 / fs)
     total = power.sum(axis=1)
     with np.errstate(invalid="ignore", divide="ignore"):

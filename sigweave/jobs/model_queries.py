@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import clean, labels, metrics, models, split
+from ..operators import align, clean, decoder, erp, features, labels, metrics, models, split
 from ..sources import io
 from ..sources import standins as src
 from ..streaming import streams
+from . import decoding, training
 from . import signal_queries as sig
-from . import training
 
 QUERIES: dict[str, sig.Query] = {}
 ORACLE: dict[str, str] = {}
@@ -31,10 +28,7 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A new folder below the shared checkpoint folder, or a temporary one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="sigweave-")
-    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+scratch = io.shared_folder
 
 
 def _hands(spark, d, channels: int = 4) -> DataFrame:
@@ -62,7 +56,7 @@ def m1(spark, d):
 def _run(model: str, features: str):
     def f(spark, d):
         train, test = _split(_hands(spark, d))
-        return _scored(training.fit_predict(train, test, features, model, FS, max_iter=30, **(BANDS if features == "bandpower" else {})), model)
+        return _scored(training.fit_predict(train, test, features, model, FS, max_iter=500, **(BANDS if features == "bandpower" else {})), model)
 
     return f
 
@@ -88,20 +82,20 @@ def m6(spark, d):
 
 @query("m8_training_run")
 def m8(spark, d):
-    out = training.run(_hands(spark, d), "bandpower", "logreg", FS, cv=3, ignore_groups=True, max_iter=30, outdir=scratch(spark, "run"), **BANDS)
+    out = training.run(_hands(spark, d), "bandpower", "logreg", FS, cv=3, ignore_groups=True, max_iter=500, outdir=scratch(spark, "run"), **BANDS)
     return sig.r6(out, "accuracy", "balanced_accuracy", "f1_macro")
 
 
 @query("m9_comparison")
 def m9(spark, d):
-    modes = labels.modes_table(spark, {k: labels.MODES[k] for k in ("hand_dir", "wrist_dir")})
-    return sig.r6(training.compare(src.embedding_epochs(spark, d, 4), modes, FS, max_iter=15, **{"bands": sig.EMB_BANDS, "nperseg": 16}), "accuracy", "balanced_accuracy", "f1_macro")
+    modes = labels.modes_table(spark, labels.MODES)
+    return sig.r6(training.compare(src.embedding_epochs(spark, d, 4), modes, FS, **BANDS), "accuracy", "balanced_accuracy", "f1_macro")
 
 
 @query("c4_ica")
 def c4(spark, d):
     samples = src.supplier_samples(spark, d)
-    ica = models.ICA(samples, list(src.CHANNELS), n=4, steps=20)
+    ica = models.ICA(samples, list(src.CHANNELS), n=4)
     out = ica.sources(samples, list(src.CHANNELS))
     return out.groupBy("recording_id").agg(*[F.round(F.stddev_pop(f"s{i}"), 4).alias(f"s{i}") for i in range(4)])
 
@@ -110,11 +104,63 @@ def _drained(spark, stream, tag):
     return streams.drained(stream, scratch(spark, tag), scratch(spark, f"{tag}-checkpoint"))
 
 
-@query("t1_online_decoding")
+def nearest_sql(names: list[str], keys: str) -> str:
+    """CTEs that predict, for the rows of f (keys, label, features, train), the label with the nearest mean of scaled features."""
+    sc = ", ".join(f"avg({n}) AS m_{n}, stddev_pop({n}) AS s_{n}" for n in names)
+    z = ", ".join(f"({n} - m_{n}) / s_{n} AS z_{n}" for n in names)
+    c = ", ".join(f"avg(z_{n}) AS c_{n}" for n in names)
+    far = " + ".join(f"(z_{n} - c_{n}) ** 2" for n in names)
+    return f"sc AS (SELECT {sc} FROM f WHERE train), g AS (SELECT f.*, {z} FROM f, sc), c AS (SELECT label AS name, {c} FROM g WHERE train GROUP BY 1), p AS (SELECT {keys}, arg_min(name, {far}) AS prediction FROM g, c GROUP BY {keys}), d AS (SELECT * FROM f JOIN p USING ({keys}))"
+
+
+OFFLINE = ["mav", "std", "maxav"]
+MS, STEP_MS = 1e9, 2.5e8
+
+
+@query("w3_offline_decoding", f"""WITH {sig.S}, r AS (SELECT 1 / avg(gap) AS fs FROM (SELECT (max(t) - min(t)) / (count(*) - 1) AS gap FROM s GROUP BY recording_id)), n AS (SELECT CAST(floor({MS / 1000} * fs) AS BIGINT) AS win, CAST(floor({STEP_MS / 1000} * fs) AS BIGINT) AS step FROM r),
+w AS (SELECT s.*, win, unnest(generate_series(greatest(0, CAST(ceil((sample_idx - (win - 1)) / CAST(step AS DOUBLE)) AS BIGINT)), sample_idx // step)) AS window_id FROM s, n),
+f AS (SELECT recording_id, window_id, arg_min(kind, sample_idx) AS label, avg(abs(value)) AS mav, stddev_pop(value) AS std, max(abs(value)) AS maxav, recording_id % 5 <> 0 AS train FROM w GROUP BY recording_id, window_id, win HAVING count(*) = win),
+{nearest_sql(OFFLINE, "recording_id, window_id")} SELECT label, prediction, count(*) AS n FROM d WHERE NOT train GROUP BY 1, 2""")
+def w3(spark, d):
+    """Windows sized by the measured rate, features, a scaler and a model fitted, saved, loaded and applied to other recordings."""
+    samples = sig._indexed(spark, d).select("recording_id", "sample_idx", "t", "value", F.col("kind").alias("label"))
+    rows = decoding.window_features(samples, OFFLINE, MS, STEP_MS)
+    rows = rows.withColumnsRenamed({f"value_{n}": n for n in OFFLINE})
+    fitted, _, _ = decoding.offline_decoding(rows, F.col("recording_id") % 5 == 0, lambda r: decoder.nearest_mean(r, OFFLINE))
+    path = scratch(spark, "decoder")
+    fitted.save(spark, path)
+    out = decoder.Decoder.load(spark, path).predict(rows.filter("recording_id % 5 = 0"))
+    return out.groupBy("label", "prediction").agg(F.count("*").alias("n"))
+
+
+@query("w3_offline_scores")
+def w3_scores(spark, d):
+    """Logistic regression instead, and the scores of all test windows."""
+    samples = sig._indexed(spark, d).select("recording_id", "sample_idx", "t", "value", F.col("kind").alias("label"))
+    names = [f"value_{n}" for n in OFFLINE]
+    rows = decoding.window_features(samples, OFFLINE, MS, STEP_MS)
+    _, _, scores = decoding.offline_decoding(rows, F.col("recording_id") % 5 == 0, lambda r: decoder.logistic(r, names))
+    return sig.r6(scores, "accuracy", "balanced_accuracy", "f1_macro")
+
+
+ONLINE = ["mav", "maxav", "rms"]
+
+
+@query("t1_online_decoding", f"""WITH e AS (SELECT user_id AS recording_id, ts, value, event_type AS kind FROM events WHERE event_type <> 'signup'), b AS (SELECT recording_id, avg(value) AS mean, stddev_pop(value) AS std FROM e WHERE kind = 'view' GROUP BY 1),
+v AS (SELECT recording_id, ts, kind, (value - mean) / nullif(std, 0) AS v, unnest(generate_series(0, 1)) AS k FROM e JOIN b USING (recording_id)),
+f AS (SELECT date_trunc('hour', ts) - k * INTERVAL 1 HOUR AS start, recording_id, count(*) AS n, arg_min(kind, ts) AS label, avg(abs(v)) AS mav, max(abs(v)) AS maxav, sqrt(avg(v * v)) AS rms, recording_id % 5 <> 0 AS train FROM v GROUP BY 1, 2),
+{nearest_sql(ONLINE, "start, recording_id")} SELECT epoch(start) AS start, recording_id, n, label, round(mav, 6) AS mav, prediction FROM d WHERE start + INTERVAL 2 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM e)""")
 def t1(spark, d):
+    """A decoder fitted to the table's windows, saved, loaded and applied to the stream."""
+    samples = src.event_samples(spark, d).withColumn("ts", F.timestamp_micros(F.round(F.col("t") * 1e6).cast("long")))
     baselines = clean.rest_baseline(src.event_samples(spark, d), F.col("kind") == "view", "recording_id")
-    out = streams.decode(streams.event_stream(spark, d), baselines, ["mav", "wl", "zc"], "2 hours", "1 hour", "1 hour", 0.8)
-    return sig.r6(_drained(spark, out, "t1"), "mav", "wl")
+    windows = ("2 hours", "1 hour", "1 hour")
+    rows = streams.window_features(samples.drop("t"), baselines, ONLINE, *windows)
+    path = scratch(spark, "decoder")
+    decoder.nearest_mean(rows.filter("recording_id % 5 <> 0"), ONLINE).save(spark, path)
+    out = streams.decode(streams.event_stream(spark, d), baselines, decoder.Decoder.load(spark, path), *windows)
+    out = _drained(spark, out, "t1").select(F.col("start").cast("double").alias("start"), "recording_id", F.col("n").cast("long").alias("n"), "label", "mav", "prediction")
+    return sig.r6(out, "mav")
 
 
 @query("t2_blinks")
@@ -165,3 +211,37 @@ def s7(spark, d):
     samples = src.event_samples(spark, d).withColumn("channel", F.lit("v"))
     out = io.registry(samples, src.event_markers(spark, d), src.order_streams(spark, d), "out")
     return out.withColumn("sfreq", F.round("sfreq", 9))
+
+
+@query("s2_emg_identity", "SELECT 'p' || (p_partkey % 7) AS participant, CASE WHEN p_size % 2 = 0 THEN 'left' ELSE 'right' END AS hand, CAST(p_size % 9 + 1 AS INT) AS channels, CAST(p_partkey % 4 AS INT) AS sequence, count(*) AS n FROM part GROUP BY 1, 2, 3, 4")
+def s2_emg(spark, d):
+    side = F.when(F.col("p_size") % 2 == 0, "left").otherwise("right")
+    name = F.format_string("/data/p%d_%s_ch%d_seq%d_2024-01-02.csv", F.col("p_partkey") % 7, side, F.col("p_size") % 9 + 1, F.col("p_partkey") % 4)
+    files = io.emg_identity(src.table(spark, d, "part").select(name.alias("path")))
+    return files.groupBy("participant", "hand", "channels", "sequence").agg(F.count("*").alias("n"))
+
+
+@query("j7_streams_by_name", "SELECT o_custkey AS recording_id, min(o_orderkey) FILTER (WHERE o_orderpriority = '1-URGENT') AS signal_stream, min(o_orderkey) FILTER (WHERE o_orderpriority = '5-LOW') AS trigger_stream FROM orders GROUP BY 1")
+def j7_names(spark, d):
+    streams_ = src.table(spark, d, "orders").select(F.col("o_custkey").alias("recording_id"), F.col("o_orderkey").alias("stream_id"), F.col("o_orderpriority").alias("name"))
+    return align.streams_by_name(streams_, "1-URGENT", "5-LOW")
+
+
+@query("s9_summaries", "SELECT l_returnflag AS mode, l_linestatus AS model, CAST(l_linenumber AS VARCHAR) AS features, round(avg(l_discount), 6) AS accuracy FROM lineitem GROUP BY 1, 2, 3")
+def s9(spark, d):
+    """Summaries written per mode and read back as one table."""
+    mean = src.table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("mode"), F.col("l_linestatus").alias("model"), F.col("l_linenumber").cast("string").alias("features")).agg(F.round(F.avg("l_discount"), 6).alias("accuracy"))
+    path = scratch(spark, "summaries")
+    io.write_summaries(mean, path)
+    return io.read_summaries(spark, f"{path}/mode=*").select("mode", "model", "features", F.col("accuracy").cast("double").alias("accuracy"))
+
+
+@query("s10_feature_frame", f"WITH {sig.X}, r AS (SELECT label, rel_idx // 16 AS c, rel_idx % 16 AS i, avg(value) AS value FROM x GROUP BY 1, 2, 3) SELECT 'mstd' AS section, 'c' || c AS item, CAST(label AS VARCHAR) AS task, i // 4 AS place, round(avg(value), 6) AS value FROM r GROUP BY 1, 2, 3, 4")
+def s10(spark, d):
+    """Segment means of each class and channel, written as a feature frame and read back."""
+    rows = erp.mean_response(erp.exploded(src.embedding_epochs(spark, d, 4)), "label", "channel", "rel_idx").withColumn("task", F.col("label").cast("string"))
+    parts = erp.segment_features(rows, 16, 4).groupBy("task", F.col("channel").alias("item")).agg(F.array_sort(F.collect_list(F.struct("segment", "mean")))["mean"].alias("values"))
+    path = scratch(spark, "frame")
+    io.write_feature_frame(features.feature_frame(None, None, parts), path)
+    back = spark.read.parquet(path)
+    return back.select("section", "item", "task", F.posexplode("values").alias("place", "value")).withColumn("place", F.col("place").cast("long")).withColumn("value", F.round("value", 6))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -224,10 +225,10 @@ def a6(spark, d):
     return r6(erp.at_times(response, (0.0, 0.1, 0.2, 0.3), 64).select("label", "time", "value"), "value")
 
 
-@query("a9_reject_artefacts", f"WITH {X}, t AS (SELECT avg(value) + 2.2 * stddev_pop(value) AS lim FROM x) SELECT epoch_id, label FROM x, t GROUP BY epoch_id, label, lim HAVING max(value) - min(value) <= lim")
+@query("a9_reject_artefacts", f"WITH {X}, t AS (SELECT avg(value) + 4.2 * stddev_pop(value) AS lim FROM x) SELECT epoch_id, label FROM x, t GROUP BY epoch_id, label, lim HAVING max(value) - min(value) <= lim")
 def a9(spark, d):
     epochs = src.embedding_epochs(spark, d)
-    return clean.reject_artefacts(epochs, clean.artefact_threshold(epochs, 2.2)).select("epoch_id", "label")
+    return clean.reject_artefacts(epochs, clean.artefact_threshold(epochs, 4.2)).select("epoch_id", "label")
 
 
 PAIRS = " UNION ALL ".join(f"SELECT gesture AS task, '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM l GROUP BY 1" for i, a in enumerate(CHANNELS) for b in CHANNELS[i + 1 :])
@@ -297,7 +298,7 @@ def w9(spark, d):
     return windows.window_hits(_hits(spark, d), 7200.0)
 
 
-@query("w10_refractory")
+@query("w10_refractory", f"WITH RECURSIVE {S}, {CAL}, h AS MATERIALIZED (SELECT recording_id, t FROM s JOIN q USING (recording_id) WHERE value - mean > threshold - mean), acc AS (SELECT recording_id, min(t) AS t FROM h GROUP BY 1 UNION ALL SELECT a.recording_id, min(h.t) AS t FROM acc a JOIN h ON h.recording_id = a.recording_id AND h.t > a.t + 5400 GROUP BY a.recording_id) SELECT recording_id, round(t, 6) AS t FROM acc")
 def w10(spark, d):
     return windows.accepted_hits(_hits(spark, d), 5400.0).select("recording_id", F.round("t", 6).alias("t"))
 
@@ -376,7 +377,7 @@ def f4(spark, d):
     return src.embedding_epochs(spark, d).select("epoch_id", F.round(features.total_power(x), 3).alias("total_power"), F.round(features.mean_freq(64)(x), 4).alias("mean_freq"), F.round(features.fft_feature(64, "median_freq")(x), 3).alias("median_freq"))
 
 
-@query("f4_peak_freq")
+@query("f4_peak_freq", f"WITH {DFT} SELECT epoch_id, CAST(arg_max(freq, p) AS DOUBLE) AS peak_freq FROM w WHERE freq >= 0 OR freq = -32 GROUP BY 1")
 def f4b(spark, d):
     return src.embedding_epochs(spark, d).select("epoch_id", features.fft_feature(64, "peak_freq")("x").alias("peak_freq"))
 
@@ -395,7 +396,9 @@ def f5(spark, d):
     return src.embedding_epochs(spark, d).select("epoch_id", F.posexplode(power("x")).alias("band", "power")).select("epoch_id", "band", F.round(F.col("power").cast("double"), 2).alias("power"))
 
 
-@query("f6_response_bands")
+@query("f6_response_bands", f"""WITH {X}, r AS (SELECT label, rel_idx, avg(value) AS value FROM x GROUP BY 1, 2), c AS (SELECT label, rel_idx, (value - avg(value) OVER (PARTITION BY label)) * (0.54 - 0.46 * cos(2 * pi() * rel_idx / 64)) AS v FROM r),
+p AS (SELECT label, q, 2 * (sum(v * cos(2 * pi() * q * rel_idx / 64)) ** 2 + sum(v * sin(2 * pi() * q * rel_idx / 64)) ** 2) / (64 * (64 * (0.54 * 0.54 + 0.46 * 0.46 / 2))) AS p FROM c, generate_series(4, 30) h(q) GROUP BY 1, 2),
+b(band, lo, hi) AS (VALUES (0, 4, 8), (1, 8, 12), (2, 13, 30)) SELECT label, band, round(avg(p), 6) AS power FROM p JOIN b ON q BETWEEN lo AND hi GROUP BY 1, 2""")
 def f6(spark, d):
     response = erp.mean_response(erp.exploded(src.embedding_epochs(spark, d)), "label", "channel", "rel_idx")
     arrays = response.groupBy("label", "channel").agg(F.array_sort(F.collect_list(F.struct("rel_idx", "value")))["value"].alias("x"))
@@ -407,7 +410,9 @@ def f7(spark, d):
     return src.embedding_epochs(spark, d).select("epoch_id", F.round(features.periodogram_power(64, 8, 12)("x"), 6).alias("power"))
 
 
-@query("f8_mean_psd")
+@query("f8_mean_psd", f"""WITH {X}, g AS (SELECT epoch_id, 'c' || (rel_idx // 16) AS channel, rel_idx % 16 AS i, value FROM x), c AS (SELECT epoch_id, channel, i, (value - avg(value) OVER (PARTITION BY epoch_id, channel)) * (0.54 - 0.46 * cos(2 * pi() * i / 16)) AS v FROM g),
+p AS (SELECT epoch_id, channel, q, 2 * (sum(v * cos(2 * pi() * q * i / 16)) ** 2 + sum(v * sin(2 * pi() * q * i / 16)) ** 2) / (64 * (16 * (0.54 * 0.54 + 0.46 * 0.46 / 2))) AS p FROM c, generate_series(1, 3) h(q) GROUP BY 1, 2, 3)
+SELECT epoch_id, channel, round(avg(p), 6) AS power FROM p GROUP BY 1, 2""")
 def f8(spark, d):
     return src.embedding_epochs(spark, d, 4).select("epoch_id", "channel", F.round(features.mean_psd(64, n_fft=16)("x"), 6).alias("power"))
 
@@ -416,9 +421,12 @@ def _supplier_long(spark, d):
     return _supplier(spark, d).unpivot(["recording_id", "sample_idx"], list(CHANNELS), "channel", "value")
 
 
-@query("f9_averaged_psd")
+@query("f9_averaged_psd", f"""WITH {L}, u AS (SELECT recording_id, channel, sample_idx // 64 AS seg, sample_idx % 64 AS i, CAST(v AS DOUBLE) AS v, count(*) OVER (PARTITION BY recording_id, channel, sample_idx // 64) AS n FROM l UNPIVOT (v FOR channel IN (quantity, extendedprice, discount, tax))),
+c AS (SELECT recording_id, channel, seg, i, (v - avg(v) OVER (PARTITION BY recording_id, channel, seg)) * (0.5 - 0.5 * cos(2 * pi() * i / 64)) AS v FROM u WHERE n = 64),
+p AS (SELECT recording_id, channel, seg, q, (sum(v * cos(2 * pi() * q * i / 64)) ** 2 + sum(v * sin(2 * pi() * q * i / 64)) ** 2) / (64 * 24.0) * (CASE WHEN q IN (0, 32) THEN 1 ELSE 2 END) AS p FROM c, generate_series(0, 32) h(q) GROUP BY 1, 2, 3, 4)
+SELECT channel, CAST(q AS DOUBLE) AS freq, round(ln(avg(p)), 6) AS power FROM p GROUP BY 1, 2""")
 def f9(spark, d):
-    return features.averaged_psd(_supplier_long(spark, d), 64, 64, 32).select("channel", "freq", F.round("power", 3).alias("power"))
+    return features.averaged_psd(_supplier_long(spark, d), 64, 64, 32).select("channel", "freq", F.round(F.log("power"), 6).alias("power"))
 
 
 def _task_means(spark, d, channels=1):
@@ -435,7 +443,8 @@ def f10(spark, d):
     return r6(_tf(spark, d), "power")
 
 
-@query("f11_envelope")
+@query("f11_envelope", f"""WITH {X}, y AS (SELECT a.epoch_id, a.rel_idx, any_value(a.value) AS value, sum(CASE WHEN (a.rel_idx - b.rel_idx) % 2 <> 0 THEN b.value * 2 / 64 / tan(pi() * (a.rel_idx - b.rel_idx) / 64) ELSE 0 END) AS h FROM x a JOIN x b USING (epoch_id) GROUP BY 1, 2)
+SELECT epoch_id, round(avg(sqrt(value * value + h * h)), 6) AS mean, round(max(sqrt(value * value + h * h)), 6) AS top FROM y GROUP BY 1""")
 def f11(spark, d):
     return src.embedding_epochs(spark, d).select("epoch_id", F.posexplode(features.envelope("x")).alias("rel_idx", "value")).groupBy("epoch_id").agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.max("value"), 6).alias("top"))
 
@@ -450,26 +459,26 @@ def f12(spark, d):
     return features.feature_frame(power, corr, mstd).withColumn("values", F.transform("values", lambda v: F.round(v, 6)))
 
 
-@query("c1_fir_small", f"WITH {L}, k(j, h) AS (VALUES (-1, 0.25), (0, 0.5), (1, 0.25)), z AS (SELECT recording_id, max(sample_idx) AS top FROM l GROUP BY 1) SELECT a.recording_id, a.sample_idx, round(sum(h * b.quantity), 6) AS value FROM l a JOIN z USING (recording_id), k JOIN l b ON b.recording_id = a.recording_id AND b.sample_idx = a.sample_idx + j WHERE a.sample_idx BETWEEN 1 AND top - 1 GROUP BY 1, 2")
+@query("c1_fir_small", f"WITH {L}, u AS (SELECT recording_id, channel, sample_idx, CAST(v AS DOUBLE) AS v, max(sample_idx) OVER (PARTITION BY recording_id) AS top FROM l UNPIVOT (v FOR channel IN (quantity, extendedprice, discount, tax))), f AS (SELECT recording_id, channel, sample_idx, top, 0.25 * lag(v) OVER w + 0.5 * v + 0.25 * lead(v) OVER w AS value FROM u WINDOW w AS (PARTITION BY recording_id, channel ORDER BY sample_idx)) SELECT recording_id, channel, sample_idx, round(value, 6) AS value FROM f WHERE sample_idx BETWEEN 1 AND top - 1")
 def c1_small(spark, d):
-    long = _supplier_long(spark, d).filter("channel = 'quantity'")
+    long = _supplier_long(spark, d)
     top = long.groupBy("recording_id").agg(F.max("sample_idx").alias("top"))
     out = clean.fir_filter(long, [0.25, 0.5, 0.25], chunk=100).join(top, "recording_id").filter("sample_idx between 1 and top - 1")
-    return out.select("recording_id", "sample_idx", F.round("value", 6).alias("value"))
+    return out.select("recording_id", "channel", "sample_idx", F.round("value", 6).alias("value"))
 
 
 @query("c1_c2_band_pass_notch")
 def c1(spark, d):
     from ..functions import kernels
 
-    long = _supplier_long(spark, d).filter("channel in ('quantity', 'discount')")
-    passed = clean.fir_filter(long, kernels.fir_taps(300, 8, 50), chunk=4096)
-    return clean.fir_filter(passed, kernels.notch_taps(300, 50, 2, 6), chunk=4096).groupBy("recording_id", "channel").agg(F.count("*").alias("n"), F.round(F.stddev_pop("value"), 6).alias("std"))
+    # Both filters in one pass: their taps are convolved.
+    taps = np.convolve(kernels.fir_taps(300, 8, 50), kernels.notch_taps(300, 50, 2, 6))
+    return clean.fir_filter(_supplier_long(spark, d), taps, chunk=4096).groupBy("recording_id", "channel").agg(F.count("*").alias("n"), F.round(F.stddev_pop("value"), 6).alias("std"))
 
 
 @query("c3_iir")
 def c3(spark, d):
-    return clean.iir_filter(_supplier_long(spark, d).filter("channel = 'quantity'"), 300, 1, 45).groupBy("recording_id").agg(F.count("*").alias("n"), F.round(F.stddev_pop("value"), 6).alias("std"))
+    return clean.iir_filter(_supplier_long(spark, d), 300, 1, 45).groupBy("recording_id", "channel").agg(F.count("*").alias("n"), F.round(F.stddev_pop("value"), 6).alias("std"))
 
 
 MD5 = "md5(concat('42|', CAST({0} AS VARCHAR)))"

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import features as feats
 from ..operators import labels, metrics, models, split
+from ..sources import io
 
 FEATURES, MODELS = ("none", "bandpower"), ("logreg", "lsvm", "csp_lda")
 #: Combinations of features and model that make no sense: spatial patterns take raw epochs only.
@@ -37,7 +38,7 @@ def fit_predict(train: DataFrame, test: DataFrame, features: str, model: str, fs
         csp = models.CSP(models.channels_array(train), components)
         one, two = csp.transform(models.channels_array(train)), csp.transform(models.channels_array(test))
         return models.LDA(one).predict(two).select("epoch_id", "label", "prediction")
-    one, two = feature_rows(train, features, fs, **options).cache(), feature_rows(test, features, fs, **options)
+    one, two = feature_rows(train, features, fs, **options), feature_rows(test, features, fs, **options)
     mean, std = models.scaler(one)
     fit = models.logistic if model == "logreg" else models.linear_svm
     out = models.predict(fit(models.scaled(one, mean, std), c, max_iter), models.scaled(two, mean, std)).select("epoch_id", "label", "prediction")
@@ -57,8 +58,7 @@ def with_split(epochs: DataFrame, cv: int = 0, ignore_groups: bool = False, test
 def run(epochs: DataFrame, features: str, model: str, fs: float, cv: int = 0, ignore_groups: bool = False, outdir: str | None = None, seed: int = 42, **options) -> DataFrame:
     """Metrics of each fold; with ``outdir``, also written as JSON with the run's settings."""
     folds, n = with_split(epochs, cv, ignore_groups, seed=seed)
-    dealt = epochs.join(folds, "epoch_id").cache()
-    out = None
+    dealt, out = epochs.join(folds, "epoch_id"), None
     for k in range(n):
         train, test = dealt.filter(F.col("fold") != k).drop("fold"), dealt.filter(F.col("fold") == k).drop("fold")
         if train.isEmpty() or test.isEmpty():
@@ -73,8 +73,9 @@ def run(epochs: DataFrame, features: str, model: str, fs: float, cv: int = 0, ig
     return out
 
 
-def compare(epochs: DataFrame, modes: DataFrame, fs: float, cv: int = 0, ignore_groups: bool = False, **options) -> DataFrame:
-    """All label modes x configurations: mode, model, features, status and mean metrics; a run that fails keeps a row with nulls."""
+def compare(epochs: DataFrame, modes: DataFrame, fs: float, cv: int = 0, ignore_groups: bool = False, outdir: str | None = None, **options) -> DataFrame:
+    """All label modes x configurations: mode, model, features, status and mean metrics; a run that fails keeps a row with nulls.
+    With ``outdir``, each mode's rows are also written as CSV."""
     spark: SparkSession = epochs.sparkSession
     rows = []
     relabelled = labels.simplify_labels(epochs, modes).drop("name").cache()
@@ -87,7 +88,11 @@ def compare(epochs: DataFrame, modes: DataFrame, fs: float, cv: int = 0, ignore_
                 try:
                     m = run(mine, features, model, fs, cv, ignore_groups, **options).agg(F.avg("accuracy"), F.avg("balanced_accuracy"), F.avg("f1_macro")).first()
                     rows.append((mode, model, features, "ok", *m))
-                except ValueError:
+                except Exception as e:  # a failed run, whatever its cause, keeps a row and doesn't end the others
+                    print(f"{mode}, {model}, {features}: {e}")
                     rows.append((mode, model, features, "failed", None, None, None))
     relabelled.unpersist()
-    return spark.createDataFrame(rows, "mode string, model string, features string, status string, accuracy double, balanced_accuracy double, f1_macro double")
+    out = spark.createDataFrame(rows, "mode string, model string, features string, status string, accuracy double, balanced_accuracy double, f1_macro double")
+    if outdir:
+        io.write_summaries(out, outdir)
+    return out

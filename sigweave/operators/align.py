@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET_SECONDS = 30 * 86_400.0
+#: At 1 kHz, 3.6 million samples.
+BUCKET_SECONDS = 3_600.0
 
 
 def _offsets(samples: DataFrame, bucket_seconds: float) -> DataFrame:
@@ -71,6 +72,12 @@ def stream_roles(streams: DataFrame) -> DataFrame:
     return streams.groupBy("recording_id").agg(most, least)
 
 
+def streams_by_name(streams: DataFrame, signal: str, trigger: str) -> DataFrame:
+    """recording_id, signal_stream, trigger_stream: the first stream of each recording whose ``name`` is as given; null if none is."""
+    of = lambda name: F.min(F.when(F.col("name") == name, F.col("stream_id")))
+    return streams.groupBy("recording_id").agg(of(signal).alias("signal_stream"), of(trigger).alias("trigger_stream"))
+
+
 def streams_with_channels(streams: DataFrame, expected: int) -> DataFrame:
     """The first stream of each recording with exactly ``expected`` channels."""
     return streams.filter(F.col("channel_count") == expected).groupBy("recording_id").agg(F.min("stream_id").alias("stream_id"))

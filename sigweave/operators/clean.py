@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels
+from . import windows
 
 MICROVOLT = 1e-6
 #: Fixed values of the converter: 5 V full scale over 2^31 - 1 counts, amplifier gain 256.
@@ -90,14 +91,15 @@ def reject_artefacts(epochs: DataFrame, threshold: Column) -> DataFrame:
 def hampel(samples: DataFrame, window: int = 3, sigmas: float = 3.0) -> DataFrame:
     """``samples`` (recording_id, sample_idx, value) plus ``cleaned``: a value off its centred rolling median
     by more than ``sigmas`` scaled rolling median deviations becomes the median. Incomplete frames change nothing."""
-    w = Window.partitionBy("recording_id").orderBy("sample_idx").rowsBetween(-window, window)
+    w = Window.partitionBy("recording_id", "chunk").orderBy("sample_idx").rowsBetween(-window, window)
     full = 2 * window + 1
     med = F.when(F.count("value").over(w) == full, F.percentile("value", 0.5).over(w))
-    first = samples.withColumn("med", med).withColumn("dev", F.abs(F.col("value") - F.col("med")))
+    # A deviation needs its own frame's median, so the halo is twice the frame's reach.
+    first = windows.haloed(samples, windows.CHUNK, 2 * window).withColumn("med", med).withColumn("dev", F.abs(F.col("value") - F.col("med")))
     mad = F.when(F.count("dev").over(w) == full, F.lit(1.4826) * F.percentile("dev", 0.5).over(w))
     out = first.withColumn("mad", mad)
     off = F.col("dev") > F.lit(sigmas) * F.col("mad")
-    return out.withColumn("cleaned", F.when(off, F.col("med")).otherwise(F.col("value"))).drop("med", "dev", "mad")
+    return windows.own_rows(out.withColumn("cleaned", F.when(off, F.col("med")).otherwise(F.col("value"))).drop("med", "dev", "mad"), windows.CHUNK)
 
 
 def downsample(samples: DataFrame, bin_seconds: float) -> DataFrame:
@@ -122,14 +124,6 @@ def resample(samples: DataFrame, points_per_second: float) -> DataFrame:
     return samples.groupBy("recording_id", "channel").applyInPandas(run, schema)
 
 
-def _haloed(samples: DataFrame, chunk: int, halo: int) -> DataFrame:
-    """Each sample in its own chunk and, near an edge, in its neighbours' halo."""
-    at = F.col("sample_idx")
-    first, last = F.floor((at - halo) / chunk), F.floor((at + halo) / chunk)
-    spread = F.explode(F.sequence(F.greatest(first, F.lit(0).cast("long")), last)).alias("chunk")
-    return samples.select("*", spread)
-
-
 def fir_filter(samples: DataFrame, taps, chunk: int = 65_536) -> DataFrame:
     """Zero-phase FIR filtering of long samples (recording_id, channel, sample_idx, value).
 
@@ -140,7 +134,7 @@ def fir_filter(samples: DataFrame, taps, chunk: int = 65_536) -> DataFrame:
     taps = np.asarray(taps, float)
     half = len(taps) // 2
     ends = samples.groupBy("recording_id", "channel").agg(F.max("sample_idx").alias("top"))
-    cut = _haloed(samples.join(ends, ["recording_id", "channel"]), max(chunk, len(taps)), half)
+    cut = windows.haloed(samples.join(ends, ["recording_id", "channel"]), max(chunk, len(taps)), half)
     size = max(chunk, len(taps))
     schema = "recording_id long, channel string, sample_idx long, value double"
 

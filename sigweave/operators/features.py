@@ -251,4 +251,4 @@ def flattened(epochs: DataFrame) -> DataFrame:
 
 def feature_names(channels: int, bands=BANDS) -> list[str]:
     """Channel-major names of band power features."""
-    return [f"ch{c}_bp_{lo}-{hi}Hz" for c in range(channels) for lo, hi in bands]
+    return [f"ch{c}_bp_{lo:g}-{hi:g}Hz" for c in range(channels) for lo, hi in bands]

@@ -79,6 +79,23 @@ def forest(train: DataFrame, trees: int = 100, depth: int = 10, leaf: int = 1, s
     return RandomForestClassifier(featuresCol="vector", labelCol="label", numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, seed=seed).fit(train.withColumn("vector", array_to_vector("features")))
 
 
+def _merged(parts: DataFrame) -> DataFrame:
+    """Sums of numbers and float64 arrays (as binary) by ``label``, in a second step of as many tasks as there are cores."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for batch in batches:
+            for label, *values in zip(*(c.to_pylist() for c in batch.columns)):
+                values = [np.frombuffer(v) if isinstance(v, bytes) else v for v in values]
+                held[label] = [a + b for a, b in zip(held[label], values)] if label in held else values
+            schema = batch.schema
+        if held:
+            columns = zip(*[(k, *[v.tobytes() if isinstance(v, np.ndarray) else v for v in vs]) for k, vs in held.items()])
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    return parts.repartition(parts.sparkSession.sparkContext.defaultParallelism).mapInArrow(add, parts.schema)
+
+
 def _sums(rows: DataFrame, centre: dict[int, np.ndarray] | None, scale: dict[int, np.ndarray] | None) -> dict[int, tuple[int, np.ndarray, np.ndarray, float]]:
     """Per label: n, sum x, sum x x^T and sum |x|^4 of (centred, scaled) features, added in two steps."""
 
@@ -98,8 +115,8 @@ def _sums(rows: DataFrame, centre: dict[int, np.ndarray] | None, scale: dict[int
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows_) if rows_ else [()] * 5, kinds)], names=["label", "n", "s", "ss", "q"])
 
     out: dict[int, tuple[int, np.ndarray, np.ndarray, float]] = {}
-    parts = rows.select(F.col("label").cast("int").alias("label"), F.col("features").cast("array<double>").alias("features")).coalesce(64).mapInArrow(part, "label int, n long, s binary, ss binary, q double")
-    for r in parts.toLocalIterator():  # at most 64 small matrices a class
+    parts = rows.select(F.col("label").cast("int").alias("label"), F.col("features").cast("array<double>").alias("features")).mapInArrow(part, "label int, n long, s binary, ss binary, q double")
+    for r in _merged(parts).toLocalIterator():
         s = np.frombuffer(r["s"])
         add = (r["n"], s, np.frombuffer(r["ss"]).reshape(len(s), len(s)), r["q"])
         out[r["label"]] = tuple(a + b for a, b in zip(out[r["label"]], add)) if r["label"] in out else add
@@ -154,7 +171,8 @@ class CSP:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 4, kinds)], names=["label", "ss", "n", "q"])
 
         sums: dict[int, list] = {}
-        for r in epochs.select(F.col("label").cast("int").alias("label"), "x").coalesce(64).mapInArrow(part, "label int, ss binary, n long, q double").toLocalIterator():
+        parts = epochs.select(F.col("label").cast("int").alias("label"), "x").mapInArrow(part, "label int, ss binary, n long, q double")
+        for r in _merged(parts).toLocalIterator():
             add = [np.frombuffer(r["ss"]).reshape(self.channels, self.channels), r["n"], r["q"]]
             sums[r["label"]] = [a + b for a, b in zip(sums[r["label"]], add)] if r["label"] in sums else add
         if len(sums) != 2:
@@ -199,10 +217,10 @@ class ICA:
                     z = (np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1) - mean) @ white.T
                     dg, db = kernels.infomax_step(w, bias, z)
                     g, b = g + dg, b + db
-                yield pa.RecordBatch.from_arrays([pa.array([g.tobytes()], pa.binary()), pa.array([b.tobytes()], pa.binary())], names=["g", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([g.tobytes()], pa.binary()), pa.array([b.tobytes()], pa.binary())], names=["label", "g", "b"])
 
             g, b = np.zeros((m, m)), np.zeros(m)
-            for r in x.coalesce(64).mapInArrow(part, "g binary, b binary").toLocalIterator():
+            for r in _merged(x.mapInArrow(part, "label int, g binary, b binary")).toLocalIterator():
                 g, b = g + np.frombuffer(r["g"]).reshape(m, m), b + np.frombuffer(r["b"])
             w = w + rate * (np.eye(m) + g / rows) @ w
             bias = bias + rate * b / rows

@@ -10,6 +10,22 @@ from pyspark.sql import functions as F
 from ..functions import kernels
 
 
+#: Samples of a recording that one window task orders; a halo of its neighbours' samples is added.
+CHUNK = 1 << 16
+
+
+def haloed(samples: DataFrame, chunk: int, halo: int) -> DataFrame:
+    """Each sample in its own ``chunk`` and, near an edge, in its neighbours' halo."""
+    at = F.col("sample_idx")
+    first, last = F.floor((at - halo) / chunk), F.floor((at + halo) / chunk)
+    return samples.select("*", F.explode(F.sequence(F.greatest(first, F.lit(0).cast("long")), last)).alias("chunk"))
+
+
+def own_rows(cut: DataFrame, chunk: int) -> DataFrame:
+    """The rows of ``haloed`` samples in their own chunks."""
+    return cut.filter(F.col("chunk") == F.floor(F.col("sample_idx") / chunk)).drop("chunk")
+
+
 def window_samples(milliseconds: float, fs: float) -> int:
     return int(milliseconds / 1000 * fs)
 
@@ -60,8 +76,10 @@ def pane_features(samples: DataFrame, window: int, step: int, channels: tuple[st
 
 def running_mean(samples: DataFrame, window: int) -> DataFrame:
     """``samples`` plus ``running``: mean of the last ``window`` values, null until there are as many."""
-    w = Window.partitionBy("recording_id").orderBy("sample_idx").rowsBetween(-(window - 1), 0)
-    return samples.withColumn("running", F.when(F.count("*").over(w) == window, F.avg("value").over(w)))
+    w = Window.partitionBy("recording_id", "chunk").orderBy("sample_idx").rowsBetween(-(window - 1), 0)
+    cut = haloed(samples, max(CHUNK, window), window - 1)
+    out = cut.withColumn("running", F.when(F.count("*").over(w) == window, F.avg("value").over(w)))
+    return own_rows(out, max(CHUNK, window))
 
 
 def stretched(running: DataFrame) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import io
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +27,23 @@ def run_group(path: Column) -> Column:
     return F.when(found == "", 0).otherwise(F.try_to_number(found, F.lit("999999999")).cast("int"))
 
 
+def shared_folder(spark: SparkSession, tag: str) -> str:
+    """A new folder below ``spark.checkpoint.dir``, which driver and executors share; a temporary one only where they are one process."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="sigweave-")
+    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def emg_identity(files: DataFrame) -> DataFrame:
+    """``files(path, ...)`` plus what names like ``participant_hand_ch4_seq2_stamp`` say: participant, hand, channels, sequence, stamp; nulls for other names."""
+    part = lambda i: F.nullif(F.regexp_extract("path", r"([^/_]+)_([^/_]+)_ch(\d+)_seq(\d+)_([^/.]+)[^/]*$", i), F.lit(""))
+    number = lambda i: F.try_to_number(part(i), F.lit("999999999")).cast("int")
+    return files.select("*", part(1).alias("participant"), part(2).alias("hand"), number(3).alias("channels"), number(4).alias("sequence"), part(5).alias("stamp"))
+
+
 def identity(files: DataFrame) -> DataFrame:
     """``files(path, ...)`` plus subject, session, task, run and the label mode of the name, ``default`` if none."""
     part = lambda k: F.nullif(F.regexp_extract("path", rf"{k}-([^_/]+)", 1), F.lit(""))
@@ -73,10 +92,20 @@ def registry(samples: DataFrame, markers: DataFrame, streams: DataFrame, output:
     return out.select("recording_id", "sfreq", "n_channels", F.coalesce("n_events", F.lit(0)).alias("n_events"), F.concat(F.lit(output + "/recording_id="), F.col("recording_id").cast("string")).alias("output_path"))
 
 
+def write_feature_frame(frame: DataFrame, path: str) -> None:
+    """A feature frame (section, item, task, values), one folder for each section."""
+    frame.write.partitionBy("section").mode("overwrite").parquet(path)
+
+
+def write_summaries(rows: DataFrame, path: str) -> None:
+    """A comparison's rows as CSV, one folder for each label mode; ``read_summaries`` of the folders gives the combined table."""
+    rows.repartition("mode").write.partitionBy("mode").mode("overwrite").option("header", True).csv(path)
+
+
 def read_summaries(spark: SparkSession, pattern: str, latest: bool = False) -> DataFrame:
     """All summary CSV files of a glob; a missing mode comes from the folder. ``latest``: the last file's row of each run."""
     rows = spark.read.option("header", True).option("mergeSchema", True).csv(pattern).select("*", F.col("_metadata.file_path").alias("_file"))
-    folder = F.regexp_extract("_file", r"([^/]+)/[^/]+$", 1)
+    folder = F.regexp_extract("_file", r"(?:mode=)?([^/]+)/[^/]+$", 1)
     rows = rows.withColumn("mode", F.coalesce("mode", folder) if "mode" in rows.columns else folder)
     if latest:
         w = Window.partitionBy("mode", "model", "features").orderBy(F.col("_file").desc())

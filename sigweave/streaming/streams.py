@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import features
+from ..operators.decoder import Decoder
 
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -26,17 +27,21 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def windowed(stream: DataFrame, length: str, step: str, delay: str) -> DataFrame:
-    """Each recording's values, in order of time, in sliding windows: start, end, recording_id, x."""
+    """Each recording's values, in order of time, in sliding windows: start, end, recording_id, x, and the first sample's kind as label."""
     w = stream.withWatermark("ts", delay).groupBy(F.window("ts", length, step), "recording_id")
-    return w.agg(F.array_sort(F.collect_list(F.struct("ts", "value")))["value"].alias("x")).select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "recording_id", "x")
+    return w.agg(F.array_sort(F.collect_list(F.struct("ts", "value")))["value"].alias("x"), F.min_by("kind", "ts").alias("label")).select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "recording_id", "x", "label")
 
 
-def decode(stream: DataFrame, baselines: DataFrame, names: list[str], length: str, step: str, delay: str, limit: float) -> DataFrame:
-    """Baseline scaling, window features, and a rule on the first: a model's ``predict`` may follow instead."""
-    scaled = stream.join(F.broadcast(baselines), "recording_id").withColumn("value", F.try_divide(F.col("value") - F.col("mean"), F.col("std"))).drop("mean", "std")
+def window_features(stream: DataFrame, baselines: DataFrame, names: list[str], length: str, step: str, delay: str) -> DataFrame:
+    """start, end, recording_id, n, label and features of baseline-scaled windows, of a stream or a table. The join's side is left to Spark."""
+    scaled = stream.join(baselines, "recording_id").withColumn("value", F.try_divide(F.col("value") - F.col("mean"), F.col("std"))).drop("mean", "std")
     x = windowed(scaled, length, step, delay)
-    cols = [features.BUILT_IN[n]("x").cast("double").alias(n) for n in names]
-    return x.select("start", "recording_id", F.size("x").alias("n"), *cols).withColumn("prediction", (F.col(names[0]) > limit).cast("int"))
+    return x.select("start", "end", "recording_id", "label", F.size("x").alias("n"), *[features.BUILT_IN[n]("x").cast("double").alias(n) for n in names])
+
+
+def decode(stream: DataFrame, baselines: DataFrame, decoder: Decoder, length: str, step: str, delay: str) -> DataFrame:
+    """Baseline scaling, window features, the fitted scaler and the model's prediction."""
+    return decoder.predict(window_features(stream, baselines, decoder.features, length, step, delay))
 
 
 def band_power(stream: DataFrame, fs: float, length: str, step: str, delay: str, low: float, high: float) -> DataFrame:
@@ -86,10 +91,14 @@ def blinks(stream: DataFrame, calibration: float, sigmas: float, gap: float, del
 
 
 def label_changes(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """recording_id, ts, label wherever a recording's label differs from its last one. State: the last label."""
+    """recording_id, ts, label wherever a recording's label differs from its last one; rows later than the
+    watermark are dropped. State, for good: each recording's last label."""
 
     def run(key, batches, state):
         data = pd.concat(list(batches)).sort_values("ts")
+        data = data[data["ts"] >= pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms")]
+        if not len(data):
+            return
         last = state.get[0] if state.exists else None
         before = data["kind"].shift(1)
         before.iloc[0] = last
