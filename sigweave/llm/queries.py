@@ -12,9 +12,12 @@ from .common import table
 from .decontaminate import op1_simhash_windows
 from .html_consensus import op9_consensus_paths
 from .media import op5_signature_sniffing
+from .merkle import ORACLE_OP13, op13_merkle_manifest
 from .near_dedup import op4_consistent_sampling
 from .packing import op3_drr_packing
+from .pigeonring import op11_pigeonring
 from .quality_kn import op7_kneser_ney
+from .resampling import ORACLE_OP12, op12_importance_resampling
 from .shard_shuffle import op2_external_shuffle
 from .token_store import op10_simple8b
 from .url_cascade import ORACLE_OP8, op8_url_cascade
@@ -33,6 +36,9 @@ QUERIES: dict[str, Query] = {
     "op8_url_cascade": lambda s, d: op8_url_cascade(table(s, d, "pages")),
     "op9_consensus_paths": lambda s, d: op9_consensus_paths(table(s, d, "pages")),
     "op10_simple8b": lambda s, d: op10_simple8b(table(s, d, "documents"), BPE),
+    "op11_pigeonring": lambda s, d: op11_pigeonring(table(s, d, "documents")),
+    "op12_importance_resampling": lambda s, d: op12_importance_resampling(table(s, d, "documents"), table(s, d, "benchmark")),
+    "op13_merkle_manifest": lambda s, d: op13_merkle_manifest(table(s, d, "documents")),
 }
 
-ORACLE: dict[str, str] = {"op8_url_cascade": ORACLE_OP8}
+ORACLE: dict[str, str] = {"op8_url_cascade": ORACLE_OP8, "op12_importance_resampling": ORACLE_OP12, "op13_merkle_manifest": ORACLE_OP13}
