@@ -9,7 +9,8 @@ Nulls: a null html gives an empty text, a null url the host ``''``. Empty pages
 Repeated rows are kept and vote each; of paths with equal votes the one of the higher score, then the
 later in order wins. Tags with unmatched quotes end at the next ``>``. A very long page is parsed whole,
 alone, in memory of a few times its size. An empty table gives no rows. Extra columns pass by; only
-page_id, url and html are read.
+page_id, url and html are read. Boilerplate is told by tags and names, never by its length, where a page
+has an article, main or h1 element.
 """
 
 from __future__ import annotations
@@ -37,11 +38,18 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTAINERS = frozenset("html body main article section div td blockquote center".split())
 #: Elements that end an open one of the same group.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
-#: Words in a class, id or role that mark what is not the article.
+#: Words in a class, id or role that mark what is not the article; the last group also with more letters behind.
 BOILERPLATE = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|sidebar|side|footer|header|masthead|banner|cookies?|consent|notices?|alert|gdpr|ads?|advert|adverts|advertisement|sponsor|sponsored|promo|comments?|respond|disqus|share|sharing|social|related|recommended|newsletter|subscribe|subscription|signup|popup|modal|overlay|breadcrumbs?|pagination|pager|widget|toolbar|search|login|complementary|contentinfo)(?:$|[\s_-])",
+    r"nav|navbar|navigation|menu|sidebar|side|footer|header|masthead|banner|notices?|alert|gdpr|ads?|promo|respond|disqus|share|sharing|social|related|recommended|subscribe|subscription|signup|popup|modal|overlay|pagination|pager|widget|toolbar|search|login|complementary|contentinfo"
+    r"|(?:cookie|consent|advert|sponsor|comment|newsletter|breadcrumb)\w*",
     re.I,
 )
+#: Words that may stand beside those without naming anything else.
+NEUTRAL = re.compile(r"box|area|list|block|container|wrapper|wrap|section|bar|top|bottom|left|right|main|primary|secondary|inner|outer|", re.I)
+#: Elements that tell where the article is.
+ANCHORS = frozenset("article main h1".split())
+#: How an element is named: like boilerplate among other words, or like nothing else.
+PARTLY, WHOLLY = 1, 2
 #: A comment or declaration; a tag with whole attributes; a tag whose quotes don't match, up to the next ``>``.
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"'<]|\"[^\"<]*\"|'[^'<]*')*+|[^>]*)(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
@@ -53,14 +61,26 @@ class Block(NamedTuple):
     text: str
     linked: int  # characters inside links
     marks: tuple[int, ...] = ()  # numbers of the elements around it that are named like boilerplate
+    wholly: bool = False  # whether one of them is named like nothing else
+    holders: tuple[int, ...] = ()  # those of ``marks`` that hold an anchor around it, or are one
+    anchored: bool = False  # whether there is an anchor around it
 
 
-def label(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """Generalised name of an element, whether its tag is dropped, and whether it is named like boilerplate."""
+def named(marks: str) -> int:
+    """Whether the words of class, id and role name boilerplate: 0, ``PARTLY`` or ``WHOLLY``."""
+    parts = [[re.sub(r"\d+", "", x) for x in re.split(r"[_-]+", token)] for token in marks.split()]
+    hits = [any(BOILERPLATE.fullmatch(x) for x in token) for token in parts]
+    if not any(hits):
+        return 0
+    return WHOLLY if all(h and all(BOILERPLATE.fullmatch(x) or NEUTRAL.fullmatch(x) for x in token) for h, token in zip(hits, parts)) else PARTLY
+
+
+def label(tag: str, attributes: str) -> tuple[str, bool, int]:
+    """Generalised name of an element, whether its tag is dropped, and how it is named like boilerplate."""
     found = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)} if "=" in attributes else {}
     marks = " ".join(found.get(k, "") for k in ("class", "id", "role"))
     name = ".".join([tag, *sorted(set(re.sub(r"\d+", "0", found.get("class", "")).lower().split()))])
-    return name, tag in DROPPED, bool(marks.strip() and tag not in ("html", "body") and BOILERPLATE.search(marks))
+    return name, tag in DROPPED, named(marks) if marks.strip() and tag not in ("html", "body") else 0
 
 
 def in_article_header(stack: list) -> bool:
@@ -70,10 +90,9 @@ def in_article_header(stack: list) -> bool:
 
 
 def blocks(page: str) -> list[Block]:
-    """Blocks of text outside boilerplate, in page order. A name makes boilerplate only of what holds
-    no more than half of the page's text outside links. Of an article's own header the headings stay."""
+    """Blocks of text outside boilerplate, in page order (see ``kept``). Of an article's own header the headings stay."""
     out: list[Block] = []
-    stack: list[tuple[str, str, bool, int, bool]] = []  # tag, label, dropped, number, named like boilerplate
+    stack: list[tuple[str, str, bool, int, int]] = []  # tag, label, dropped, number, how it is named
     words: list[str] = []
     linked, links, dropped, numbers, at = 0, 0, 0, 0, 0
     last_end: dict[str, int] = {}  # where each inline element that is dropped is closed last
@@ -86,7 +105,10 @@ def blocks(page: str) -> list[Block]:
             words.clear()
             if text:
                 around = [(x[1], x[3]) for x in stack if x[0] in CONTAINERS]
-                out.append(Block(tuple(x for x, _ in around), tuple(n for _, n in around), text, linked, tuple(x[3] for x in stack if x[4])))
+                last = max((i for i, x in enumerate(stack) if x[0] in ANCHORS), default=-1)
+                marks = [(i, x[3]) for i, x in enumerate(stack) if x[4]]
+                wholly = any(x[4] == WHOLLY for x in stack)
+                out.append(Block(tuple(x for x, _ in around), tuple(n for _, n in around), text, linked, tuple(n for _, n in marks), wholly, tuple(n for i, n in marks if i <= last), last >= 0))
         linked = 0
 
     def close(to: int):
@@ -155,23 +177,44 @@ def blocks(page: str) -> list[Block]:
             spared = 1
             dropped = 0
     flush()
+    return kept(out)
+
+
+def kept(found: list[Block]) -> list[Block]:
+    """``found`` without what is named like boilerplate, whatever its length.
+
+    If an article, main or h1 element outside elements named wholly so holds text, an element named so is
+    spared only if it holds such a one. On other pages what is named partly so is spared if it
+    holds most of the text that is not named wholly so; and if nothing is left, what is in an article or main.
+    """
+    told = [b for b in found if b.anchored and not b.wholly]
+    if told:
+        spared = {n for b in told for n in b.holders}
+        return [b for b in found if all(n in spared for n in b.marks)]
+    free = [b for b in found if not b.wholly]
     held: dict[int, int] = {}
-    for b in out:
+    for b in free:
         for n in b.marks:
             held[n] = held.get(n, 0) + max(0, len(b.text) - b.linked)
-    half = sum(max(0, len(b.text) - b.linked) for b in out) / 2
-    return [b for b in out if all(held[n] > half for n in b.marks)]
+    half = sum(max(0, len(b.text) - b.linked) for b in free) / 2
+    out = [b for b in free if all(held[n] > half for n in b.marks)]
+    if out:
+        return out
+    spared = {n for b in found for n in b.holders}
+    return [b for b in found if in_main(b) and all(n in spared for n in b.marks)]
+
+
+def in_main(block: Block) -> bool:
+    return any(x.split(".")[0] in ("main", "article") for x in block.path)
 
 
 def best_container(found: list[Block]) -> tuple[int, str, float] | None:
     """Number, path and score of the smallest container that holds all blocks that are not mostly links.
 
-    Where main and article elements hold most of that text, blocks outside them don't count.
+    Where main or article elements hold such blocks, those outside them don't count.
     """
     own = [b for b in found if len(b.text) > 2 * b.linked] or found
-    named = [b for b in own if any(x.split(".")[0] in ("main", "article") for x in b.path)]
-    if 2 * sum(len(b.text) for b in named) > sum(len(b.text) for b in own):
-        own = named
+    own = [b for b in own if in_main(b)] or own
     if not own:
         return None
     depth = 0

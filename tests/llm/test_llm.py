@@ -265,6 +265,14 @@ def test_html_keeps_the_whole_article(spark):
         ("<body><header>site</header><article><header><h1>Head <b>line</b></h1><span>by me</span></header><p>one two three four</p></article></body>", "Head line\none two three four"),
         ("<body><article><p title='a > b'>one</p><script>if (a < b) '<p>x'</script><p>two &amp; three</p><!-- <p>no</p> --></article>", "one\ntwo & three"),
         ("<body><article><p>one two three<p>four</article><div class='comments'><p>nice</div><script>open", "one two three\nfour"),
+        ("<body><div class='ad'>" + "buy this now. " * 30 + "</div><article><h1>One</h1><p><b>two.<br></article>", "One\ntwo."),
+        ("<body><article><p>one two</p><div class='ad-box'>" + "buy. " * 30 + "</div><p>three</article>", "one two\nthree"),
+        ("<body><article><p>one two</article><div id='comments'><article class='comment'>" + "nice. " * 30 + "</article></div>", "one two"),
+        ("<body><div class='layout with-sidebar'><article><p>one two</article><div class='sidebar'>" + "more. " * 30 + "</div></div>", "one two"),
+        ("<body><div class='cookiebar'>we use them, all of them, day by day</div><div class='post'><p>one two</div>", "one two"),
+        ("<body><div class='ad'>" + "buy. " * 30 + "</div><div class='post'><p>one two</div>", "one two"),
+        ("<body><div class='comments'>nothing but talk</div>", ""),
+        ("<body><div class='widget'><article>all there is</article></div>", "all there is"),
     ],
 )
 def test_html_pages(page, text):
@@ -272,6 +280,17 @@ def test_html_pages(page, text):
     assert html_consensus.extract(found, None) == text
 
 
+def test_html_of_short_articles_has_no_adverts(spark):
+    """On each page of the given table the text is all that its article element holds, and no advert's."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r["page_id"]: r["text"] for r in html_consensus.op9_consensus_paths(pages).collect()}
+    bare = lambda part: " ".join(html.unescape(re.sub(r"<[^>]*>", " ", part)).split())
+    for r in pages.collect():
+        article = re.search(r"<article>(.*)</article>", r["html"], re.S)
+        if article:
+            assert got[r["page_id"]].split() == bare(article[1]).split(), r["page_id"]
+
+
 def plain_similarity(a, b):
     words = lambda t: [w for w in (re.sub(r"^\W+|\W+$", "", x) for x in t.lower().split()) if w]
     grams = lambda w: Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
