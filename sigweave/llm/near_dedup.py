@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, materialize, slices, small
+from .common import free_name, materialize, release, slices, small
 from .shingling import shingle_hashes, word_hashes
 
 SIZE = 5
@@ -204,20 +204,57 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, label: the least node of its component. Labels spread over links and jump along labels until none changes."""
-    both = materialize(links.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(links.select(F.col("b").alias("x"), F.col("a").alias("y"))), "edges")
-    labels = materialize(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.col("x")).alias("label")), "labels")
+    """node, label: the least node of its component, for each node of ``links(a, b)``.
+
+    Each node hooks on to its least neighbour, if that is less; hooks are followed to their ends, and the
+    links between different ends are the next round's, so dense components shrink to a node at once.
+    """
+    links, labels = materialize(links.select("a", "b").filter("a <> b").distinct(), "edges"), None
     while True:
-        seen = both.join(labels, both["y"] == labels["node"]).groupBy("x").agg(F.min("label").alias("near"))
-        spread = labels.join(seen, labels["node"] == seen["x"]).select("node", "label", F.least("label", "near").alias("new"))
-        at = labels.select(F.col("node").alias("at"), F.col("label").alias("jump"))
-        moved = materialize(spread.join(at, spread["new"] == at["at"], "left").select("node", F.col("label").alias("old"), F.least("new", "jump").alias("label")), "labels")
-        changed = moved.filter("old <> label").limit(1).count()
-        labels = moved.select("node", "label")
-        if not changed:
+        ends = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        hooks = materialize(ends.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label")), "hooks")
+        while True:  # of each node the hook's hook
+            on = hooks.select(F.col("node").alias("at"), F.col("label").alias("end"))
+            moved = materialize(hooks.join(on, hooks["label"] == on["at"]).select("node", F.col("label").alias("old"), F.col("end").alias("label")), "hooks")
+            changed = not moved.filter("old <> label").isEmpty()
+            release(hooks)
+            hooks = moved
+            if not changed:
+                break
+        hooks_now = hooks.select("node", "label")
+        rest = materialize(contracted(links, hooks_now), "edges")
+        release(links)
+        links = rest
+        labels = hooks_now if labels is None else followed(labels, hooks_now)
+        if links.isEmpty():
             return labels
 
 
+def contracted(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """The distinct links between different components of ``labels``, from label to label."""
+    one, two = (labels.select(F.col("node").alias(f"node_{k}"), F.col("label").alias(f"label_{k}")) for k in "ab")
+    met = links.join(one, F.col("a") == F.col("node_a"), "left").join(two, F.col("b") == F.col("node_b"), "left")
+    return met.select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b")).filter("a <> b").distinct()
+
+
+def followed(labels: DataFrame, up: DataFrame) -> DataFrame:
+    """``labels`` with each label replaced by its own in ``up``, written."""
+    ends = up.select(F.col("node").alias("at"), F.col("label").alias("end"))
+    return materialize(labels.join(ends, labels["label"] == ends["at"], "left").select("node", F.coalesce("end", "label").alias("label")), "labels")
+
+
+def joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``labels`` (None: each node alone) after ``links`` have joined components; only new links are read."""
+    if labels is None:
+        return components(links)
+    between = materialize(contracted(links, labels), "edges")
+    if between.isEmpty():
+        return labels
+    up = components(between)
+    fresh = up.join(labels.select("node"), "node", "left_anti")
+    return materialize(followed(labels, up).unionByName(fresh.select("node", "label")), "labels")
+
+
 def _prefixes(batches: Iterator[pa.RecordBatch], levels, threshold: float) -> Iterator[pa.RecordBatch]:
     """Each text's rarest shingles, up to 1 - ``threshold`` of its weight and one more.
 
@@ -286,11 +323,12 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, D
         """node, text: once for each of ``nodes``."""
         wanted = texts.join(small(nodes, nodes.count()), "node", "left_semi").select("node", "digest", F.col("doc_id").alias("_id"))
         wanted = materialize(wanted, "wanted")
-        met = rows.join(small(wanted, wanted.count()), "digest").filter(F.col("doc_id").eqNullSafe(F.col("_id")))
+        # By both, so that the rows of a text that is repeated often don't meet in one place.
+        met = rows.join(small(wanted.withColumnRenamed("digest", "_digest"), wanted.count()), (F.col("digest") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("_id")))
         return met.select("node", "text").dropDuplicates(["node"])
 
     members = texts.select("node", F.posexplode("bands").alias("band", "value"))
-    links, labels, tested, turn = None, None, None, 0
+    labels, tested, turn = None, None, 0
     while True:
         active = materialize(_active(members, labels, 1 << turn), "members")
         if turn == SPLIT:
@@ -318,12 +356,12 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, D
         compared = pairs.join(one, "a").join(two, "b").select("a", "b", "ids_a", "weights_a", "ids_b", "weights_b").mapInArrow(_compared, "a long, b long, similarity double")
         found = materialize(compared.filter(F.col("similarity") >= threshold), "links")
         if not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
-            labels = components(links)
+            labels = joined(labels, found)
         elif labels is None:
             labels = spark.createDataFrame([], "node long, label long")
+        release(vectors)
     out = texts.select("digest", "doc_id", "node")
-    if links is None:
+    if labels is None:
         return signed, out.select("digest", "doc_id", F.col("doc_id").alias("class_id"), F.col("digest").alias("rep"))
     # Texts without doc_id come last in their class.
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")).alias("m")
@@ -348,6 +386,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     _, texts = classes(docs)
     key, digest = free_name(docs, "_id"), free_name(docs, "_digest")
     kept = materialize(texts.filter("digest = rep").select(F.col("digest").alias(digest), F.col("doc_id").alias(key)), "kept")
-    digested = docs.withColumn(digest, F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-    met = digested.join(kept, digest).filter(F.col("doc_id").cast("long").eqNullSafe(F.col(key)))
+    mine = free_name(docs.withColumn(digest, F.lit(0)).withColumn(key, F.lit(0)), "_mine")
+    digested = docs.withColumn(mine, F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    met = digested.join(kept, (F.col(mine) == F.col(digest)) & F.col("doc_id").cast("long").eqNullSafe(F.col(key)))
     return met.dropDuplicates([digest]).select(*(f"`{c}`" for c in docs.columns))

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from .common import materialize, release, slices
-from .near_dedup import components
+from .near_dedup import joined
 
 SHINGLE = 3
 SEED = 42
@@ -134,15 +134,14 @@ def links_of(active: DataFrame) -> DataFrame:
 def components_of(prints: DataFrame) -> DataFrame | None:
     """node, label (its component's least fingerprint) of each of the distinct ``prints`` that has a link; None if none has."""
     members = keys(prints).withColumn("label", F.col("print"))
-    links, labels, leaders = None, None, 1
+    labels, leaders = None, 1
     while True:
         active = materialize(meeting(members, leaders), "key-members")
         if active.isEmpty():
             return labels
         found = materialize(links_of(active), "print-links")
         if not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
-            labels = components(links)
+            labels = joined(labels, found)
         left = active.filter("h > cut").select("start", "key", "print", "label")
         if labels is not None:
             left = left.drop("label").join(labels, left["print"] == labels["node"], "left").select("start", "key", "print", F.coalesce("label", "print").alias("label"))
