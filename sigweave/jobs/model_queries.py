@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +10,7 @@ from ..operators import align, clean, decoder, erp, features, labels, metrics, m
 from ..sources import io
 from ..sources import standins as src
 from ..streaming import streams
-from . import decoding, training
+from . import decoding, pipelines, training
 from . import signal_queries as sig
 
 QUERIES: dict[str, sig.Query] = {}
@@ -73,6 +74,29 @@ def m4(spark, d):
     return _scored(models.LDA(train).predict(test), "lda")
 
 
+_CLASS_SUMS = "n, n / sum(n) OVER () AS prior, ma, mb, sa, sb, r, least(greatest((q / n - 2 - 2 * r * r) / (n * 2), 0), r * r) AS beta"
+
+
+@query("m7_pipeline", f"""WITH e AS (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b, vec_id % 5 = 0 AS test FROM embeddings),
+m AS (SELECT label, count(*) AS n, avg(a) AS ma, avg(b) AS mb, stddev_pop(a) AS sa, stddev_pop(b) AS sb, corr(a, b) AS r FROM e WHERE NOT test GROUP BY 1),
+q AS (SELECT label, sum((((a - ma) / sa) ** 2 + ((b - mb) / sb) ** 2) ** 2) AS q FROM e JOIN m USING (label) WHERE NOT test GROUP BY 1),
+k AS (SELECT label, {_CLASS_SUMS} FROM m JOIN q USING (label)),
+c AS (SELECT sum(prior * sa * sa) AS aa, sum(prior * sb * sb) AS bb, sum(prior * (1 - CASE WHEN r = 0 THEN 0 ELSE beta / (r * r) END) * r * sa * sb) AS ab FROM k),
+w AS (SELECT label, prior, ma, mb, (bb * ma - ab * mb) / (aa * bb - ab * ab) AS wa, (aa * mb - ab * ma) / (aa * bb - ab * ab) AS wb FROM k, c),
+p AS (SELECT vec_id, e.label, arg_max(w.label, a * wa + b * wb - (ma * wa + mb * wb) / 2 + ln(prior)) AS prediction FROM e, w WHERE test GROUP BY 1, 2)
+SELECT label, prediction, count(*) AS n FROM p GROUP BY 1, 2""")
+def m7(spark, d):
+    """A pipeline of flat epochs, scaler and discriminant fitted, saved, loaded and applied to other groups; each epoch of two samples."""
+    epochs = src.embedding_epochs(spark, d).withColumn("x", F.slice("x", 1, 2))
+    path = scratch(spark, "pipeline")
+    pipelines.pipeline("none", "lda").fit(epochs.filter("group_id <> 0")).write().save(path)
+    out = PipelineModel.load(path).transform(epochs.filter("group_id = 0"))
+    return out.groupBy("label", "prediction").agg(F.count("*").alias("n"))
+
+
+QUERIES["m7_lda_bandpower"] = _run("lda", "bandpower")
+
+
 @query("m6_forest_grid")
 def m6(spark, d):
     train, test = (training.feature_rows(x, "bandpower", FS, **BANDS) for x in _split(_hands(spark, d)))

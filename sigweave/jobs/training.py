@@ -3,25 +3,17 @@
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import features as feats
-from ..operators import labels, metrics, models, split
+from ..operators import labels, metrics, split
 from ..sources import io
-
-FEATURES, MODELS = ("none", "bandpower"), ("logreg", "lsvm", "csp_lda")
-#: Combinations of features and model that make no sense: spatial patterns take raw epochs only.
-REFUSED = {("bandpower", "csp_lda")}
-
-
-def check(features: str, model: str, fs: float | None) -> None:
-    if features not in FEATURES or model not in MODELS or (features, model) in REFUSED:
-        raise ValueError(f"no such combination: {features}, {model}")
-    if features == "bandpower" and not fs:
-        raise ValueError("band power takes a sampling frequency")
-
+from . import pipelines
+from .pipelines import FEATURES, REFUSED
 
 def feature_rows(epochs: DataFrame, features: str, fs: float, bands=feats.BANDS, nperseg: int = 256) -> DataFrame:
     """One row per epoch: epoch_id, group_id, label, features."""
@@ -31,18 +23,9 @@ def feature_rows(epochs: DataFrame, features: str, fs: float, bands=feats.BANDS,
     return feats.flattened(epochs)
 
 
-def fit_predict(train: DataFrame, test: DataFrame, features: str, model: str, fs: float, c: float = 1.0, components: int = 4, max_iter: int = 100, **options) -> DataFrame:
-    """Predictions (epoch_id, label, prediction) for the test epochs of a model fitted to the training epochs."""
-    check(features, model, fs)
-    if model == "csp_lda":
-        csp = models.CSP(models.channels_array(train), components)
-        one, two = csp.transform(models.channels_array(train)), csp.transform(models.channels_array(test))
-        return models.LDA(one).predict(two).select("epoch_id", "label", "prediction")
-    one, two = feature_rows(train, features, fs, **options), feature_rows(test, features, fs, **options)
-    mean, std = models.scaler(one)
-    fit = models.logistic if model == "logreg" else models.linear_svm
-    out = models.predict(fit(models.scaled(one, mean, std), c, max_iter), models.scaled(two, mean, std)).select("epoch_id", "label", "prediction")
-    return out
+def fit_predict(train: DataFrame, test: DataFrame, features: str, model: str, fs: float, **options) -> DataFrame:
+    """Predictions (epoch_id, label, prediction) for the test epochs of a pipeline fitted to the training epochs."""
+    return pipelines.pipeline(features, model, fs, **options).fit(train).transform(test).select("epoch_id", "label", "prediction")
 
 
 def with_split(epochs: DataFrame, cv: int = 0, ignore_groups: bool = False, test_size: float = 0.2, seed: int = 42) -> tuple[DataFrame, int]:
@@ -55,44 +38,84 @@ def with_split(epochs: DataFrame, cv: int = 0, ignore_groups: bool = False, test
     return split.stratified_split(ids, "label", "epoch_id", test_size, seed).select("epoch_id", (F.col("is_test").cast("int") - 1).alias("fold")), 1
 
 
-def run(epochs: DataFrame, features: str, model: str, fs: float, cv: int = 0, ignore_groups: bool = False, outdir: str | None = None, seed: int = 42, **options) -> DataFrame:
-    """Metrics of each fold; with ``outdir``, also written as JSON with the run's settings."""
-    folds, n = with_split(epochs, cv, ignore_groups, seed=seed)
-    dealt, out = epochs.join(folds, "epoch_id"), None
-    for k in range(n):
-        train, test = dealt.filter(F.col("fold") != k).drop("fold"), dealt.filter(F.col("fold") == k).drop("fold")
-        if train.isEmpty() or test.isEmpty():
-            raise ValueError("an empty side of the split")
-        row = metrics.scores(fit_predict(train, test, features, model, fs, **options)).withColumn("fold", F.lit(k))
-        out = row if out is None else out.unionByName(row)
-    if outdir:
+def prepared(epochs: DataFrame, features: str, model: str, fs: float, **options) -> tuple[list, list, DataFrame]:
+    """Stages that learn nothing, the others, and the rows of ``epochs`` (one each) behind the former."""
+    stages = pipelines.pipeline(features, model, fs, **options).getStages()
+    n = next(i for i, s in enumerate(stages) if isinstance(s, Estimator))
+    for stage in stages[:n]:
+        epochs = stage.transform(epochs)
+    return stages[:n], stages[n:], epochs
+
+
+def run(epochs: DataFrame, features: str, model: str, fs: float, cv: int = 0, ignore_groups: bool = False, outdir: str | None = None, seed: int = 42, rows: DataFrame | None = None, **options) -> DataFrame:
+    """Metrics of each fold; with ``outdir``, also written as JSON with the run's settings, the names of its
+    features, and each fold's fitted pipeline (``model/fold=k``; read with ``PipelineModel.load``). ``rows``: what
+    ``prepared`` gives for the epochs, where runs share it."""
+    first, rest, made = prepared(epochs, features, model, fs, **options)
+    folds, n = with_split(made if rows is None else rows, cv, ignore_groups, seed=seed)
+    dealt, out = (made if rows is None else rows).join(folds, "epoch_id").cache(), None
+    try:
+        for k in range(n):
+            train, test = dealt.filter(F.col("fold") != k).drop("fold"), dealt.filter(F.col("fold") == k).drop("fold")
+            if train.isEmpty() or test.isEmpty():
+                raise ValueError("an empty side of the split")
+            fitted = Pipeline(stages=rest).fit(train)
+            if outdir:
+                PipelineModel([*first, *fitted.stages]).write().overwrite().save(f"{outdir}/model/fold={k}")
+            row = metrics.scores(fitted.transform(test).select("epoch_id", "label", "prediction")).withColumn("fold", F.lit(k))
+            out = row if out is None else out.unionByName(row)
         spark = epochs.sparkSession
-        out.write.mode("overwrite").json(f"{outdir}/metrics")
-        config = json.dumps({"features": features, "model": model, "fs": fs, "cv": cv, "seed": seed})
-        spark.createDataFrame([(config,)], "value string").coalesce(1).write.mode("overwrite").text(f"{outdir}/config")
-    return out
-
-
-def compare(epochs: DataFrame, modes: DataFrame, fs: float, cv: int = 0, ignore_groups: bool = False, outdir: str | None = None, **options) -> DataFrame:
+        out = spark.createDataFrame(out.collect(), out.schema)  # a row a fold
+        if outdir:
+            out.write.mode("overwrite").json(f"{outdir}/metrics")
+            held = {r["fold"]: r["count"] for r in dealt.groupBy("fold").count().collect()}
+            whole = sum(held.values())
+            tests = {k: held.get(k, 0) for k in range(n)}
+            config = {"features": features, "model": model, "fs": fs, "cv": cv, "seed": seed, "n_samples": whole, "n_test": tests, "n_train": {k: whole - v for k, v in tests.items()}, **options}
+            names = pipelines.names_of(PipelineModel(first), epochs.select("channel").distinct().count())
+            for name, value in (("config", config), *((("feature_names", names),) if names else ())):
+                spark.createDataFrame([(json.dumps(value),)], "value string").coalesce(1).write.mode("overwrite").text(f"{outdir}/{name}")
+        return out
+    finally:
+        dealt.unpersist()
+
+
+#: Models of the comparison grid.
+COMPARED = ("logreg", "lsvm", "csp_lda")
+
+
+def compare(epochs: DataFrame, modes: DataFrame, fs: float, cv: int = 0, ignore_groups: bool = False, outdir: str | None = None, compared: tuple[str, ...] = COMPARED, parallelism: int = 4, **options) -> DataFrame:
     """All label modes x configurations: mode, model, features, status and mean metrics; a run that fails keeps a row with nulls.
-    With ``outdir``, each mode's rows are also written as CSV."""
+    Runs of one mode share their feature rows and go side by side. With ``outdir``, each mode's rows are also written as CSV."""
     spark: SparkSession = epochs.sparkSession
-    rows = []
     relabelled = labels.simplify_labels(epochs, modes).drop("name").cache()
+
+    def one(mode: str, mine: DataFrame, model: str, features: str, rows: DataFrame) -> tuple:
+        try:
+            m = run(mine, features, model, fs, cv, ignore_groups, rows=rows, **options).agg(F.avg("accuracy"), F.avg("balanced_accuracy"), F.avg("f1_macro")).first()
+            return (mode, model, features, "ok", *m)
+        except Exception as e:  # a failed run, whatever its cause, keeps a row and doesn't end the others
+            print(f"{mode}, {model}, {features}: {e}")
+            return (mode, model, features, "failed", None, None, None)
+
+    tasks, shared = [], []
     for mode in [r[0] for r in modes.select("mode").distinct().orderBy("mode").collect()]:
         mine = relabelled.filter(F.col("mode") == mode).drop("mode")
-        for model in MODELS:
+        made: dict[tuple[str, bool], DataFrame] = {}
+        for model in compared:
             for features in FEATURES:
                 if (features, model) in REFUSED:
                     continue
-                try:
-                    m = run(mine, features, model, fs, cv, ignore_groups, **options).agg(F.avg("accuracy"), F.avg("balanced_accuracy"), F.avg("f1_macro")).first()
-                    rows.append((mode, model, features, "ok", *m))
-                except Exception as e:  # a failed run, whatever its cause, keeps a row and doesn't end the others
-                    print(f"{mode}, {model}, {features}: {e}")
-                    rows.append((mode, model, features, "failed", None, None, None))
-    relabelled.unpersist()
-    out = spark.createDataFrame(rows, "mode string, model string, features string, status string, accuracy double, balanced_accuracy double, f1_macro double")
+                key = (features, model == "csp_lda")
+                if key not in made:
+                    made[key] = prepared(mine, features, model, fs, **options)[2].cache()
+                tasks.append((mode, mine, model, features, made[key]))
+        shared += made.values()
+    with ThreadPoolExecutor(parallelism) as pool:
+        found = list(pool.map(lambda t: one(*t), tasks))
+    for df in (relabelled, *shared):
+        df.unpersist()
+    out = spark.createDataFrame(found, "mode string, model string, features string, status string, accuracy double, balanced_accuracy double, f1_macro double")
     if outdir:
         io.write_summaries(out, outdir)
     return out

@@ -1,7 +1,7 @@
 """Scalers, classifiers and decompositions: MLlib where it fits, else distributed sums and a small solve.
 
-MLlib differs from the usual Python estimators in places: its linear SVM has hinge loss and an
-unpenalised intercept, its forest no minimal split size, its scaler the sample deviation (rescaled here).
+MLlib differs from the usual Python estimators in places: its linear SVM has hinge loss (so the one
+here is not MLlib's), its forest no minimal split size, its scaler the sample deviation (not used here).
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.ml import Model
-from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -51,13 +51,116 @@ def logistic(train: DataFrame, c: float = 1.0, max_iter: int = 500) -> Model:
     return LogisticRegression(featuresCol="vector", labelCol="label", weightCol="weight", regParam=1.0 / (c * total), elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-5).fit(rows)
 
 
-def linear_svm(train: DataFrame, c: float = 1.0, max_iter: int = 100) -> Model:
-    rows = balanced_weights(train).withColumn("vector", array_to_vector("features"))
-    total = rows.agg(F.sum("weight")).first()[0]
-    one = LinearSVC(featuresCol="vector", labelCol="label", weightCol="weight", regParam=1.0 / (c * total), standardization=False, maxIter=max_iter, tol=1e-4)
-    if rows.select("label").distinct().count() <= 2:
-        return one.fit(rows)
-    return OneVsRest(classifier=one, featuresCol="vector", labelCol="label", weightCol="weight").fit(rows)
+def logistic_weights(train: DataFrame, c: float = 1.0, max_iter: int = 500) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """Labels, weights [label, feature] and offsets of ``logistic``. Labels need not be 0, 1, ..."""
+    labels = [r[0] for r in train.select("label").distinct().orderBy("label").collect()]  # one row a class
+    if len(labels) < 2:
+        raise ValueError("a classifier takes two classes at least")
+    numbered = train.withColumn("label", (F.array_position(F.lit(labels), F.col("label")) - 1).cast("int"))
+    fitted = logistic(numbered, c, max_iter)
+    weights, offsets = fitted.coefficientMatrix.toArray(), fitted.interceptVector.toArray()
+    if len(labels) == 2 and len(weights) == 1:  # MLlib keeps the second class's alone
+        weights, offsets = np.vstack([0 * weights, weights]), np.append(0.0, offsets)
+    return labels, weights, offsets
+
+
+#: Features up to which steps are Newton's (a matrix of 8 p^2 bytes a class in each task: 2 MB), and the steps that
+#: limited-memory BFGS remembers beyond that.
+NEWTON, MEMORY = 512, 10
+
+
+def squared_hinge(train: DataFrame, c: float = 1.0, max_iter: int = 1000, tol: float = 1e-5) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """Labels, weights [label, feature] and offsets of linear support vector machines, one class against the rest.
+
+    Minimises |w|^2 / 2 + c * sum of weight * max(0, 1 - y (w x + b))^2 with balanced class weights and the
+    offset penalised as a weight, by Newton's steps, or limited-memory BFGS beyond ``NEWTON`` features: each step is
+    one pass that adds up, over all tasks, the losses, gradients and curvatures of all classes at once. It ends when each
+    gradient's norm is below ``tol`` times the first."""
+    labels = [r[0] for r in train.select("label").distinct().orderBy("label").collect()]
+    if len(labels) < 2:
+        raise ValueError("a classifier takes two classes at least")
+    targets = labels[1:] if len(labels) == 2 else labels
+    counts = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}
+    each = np.array([sum(counts.values()) / (len(labels) * counts[k]) for k in labels])
+    rows = train.select(F.col("label").cast("int").alias("label"), F.col("features").cast("array<double>").alias("features")).cache()
+    p = rows.select(F.size("features")).first()[0]
+
+    second = p <= NEWTON
+
+    def passed(w: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Loss, gradient and (for Newton's steps) curvature of each class at ``w`` [class, feature + 1]."""
+        shapes = (w.shape[:1], w.shape, (*w.shape, w.shape[1] if second else 0))
+
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            loss, grad, curve = map(np.zeros, shapes)
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x = np.column_stack([batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1), np.ones(batch.num_rows)])
+                own = batch.column(0).to_numpy()
+                y = np.where(own[:, None] == np.array(targets), 1.0, -1.0)
+                s = each[np.searchsorted(labels, own)][:, None]
+                gap = np.maximum(0.0, 1 - y * (x @ w.T))
+                loss += (s * gap**2).sum(axis=0)
+                grad += (-2 * s * y * gap).T @ x
+                if second:
+                    for k in range(len(w)):
+                        on = gap[:, k] > 0
+                        curve[k] += 2 * (x[on].T * s[on, 0]) @ x[on]
+            held = [pa.array([v.tobytes()], pa.binary()) for v in (loss, grad, curve)]
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), *held], names=["label", "loss", "grad", "curve"])
+
+        sums = [np.zeros(shape) for shape in shapes]
+        for r in _merged(rows.mapInArrow(part, "label int, loss binary, grad binary, curve binary")).toLocalIterator():
+            sums = [a + np.frombuffer(r[c]).reshape(a.shape) for a, c in zip(sums, ("loss", "grad", "curve"))]
+        loss, grad, curve = sums
+        return (w**2).sum(axis=1) / 2 + c * loss, w + c * grad, c * curve
+
+    w = np.zeros((len(targets), p + 1))
+    loss, grad, curve = passed(w)
+    first = np.linalg.norm(grad, axis=1)
+    kept: list[tuple[np.ndarray, np.ndarray]] = []  # steps and gradient changes, of all classes
+    for _ in range(max_iter):
+        if (np.linalg.norm(grad, axis=1) <= tol * np.maximum(first, 1e-12)).all():
+            break
+        size = np.ones(len(w))
+        if second:
+            step = -np.linalg.solve(curve + np.eye(p + 1), grad[..., None])[..., 0]
+        else:
+            step = -_inverse_product(kept, grad)
+            size /= 1.0 if kept else np.maximum(first, 1.0)
+        slope = (grad * step).sum(axis=1)
+        for _ in range(40):  # each class halves its own step until it descends enough
+            new = w + size[:, None] * step
+            new_loss, new_grad, new_curve = passed(new)
+            short = new_loss > loss + 1e-4 * size * slope + 1e-12 * np.abs(loss)
+            if not short.any():
+                break
+            size = np.where(short, size / 2, size)
+        kept = [*kept[1 - MEMORY :], (new - w, new_grad - grad)] if len(kept) >= MEMORY else [*kept, (new - w, new_grad - grad)]
+        w, loss, grad, curve = new, new_loss, new_grad, new_curve
+    rows.unpersist()
+    if len(labels) == 2:
+        w = np.vstack([-w, w])
+    return labels, w[:, :-1], w[:, -1]
+
+
+def _inverse_product(kept: list[tuple[np.ndarray, np.ndarray]], grad: np.ndarray) -> np.ndarray:
+    """The two-loop product of limited-memory BFGS, class by class."""
+    out, held = grad.copy(), []
+    for s, y in reversed(kept):
+        sy = (s * y).sum(axis=1)
+        rho = np.where(sy > 1e-300, 1 / np.where(sy > 1e-300, sy, 1), 0.0)
+        a = rho * (s * out).sum(axis=1)
+        out -= a[:, None] * y
+        held.append((s, y, rho, a))
+    if kept:
+        s, y = kept[-1]
+        yy = (y * y).sum(axis=1)
+        out *= np.where(yy > 1e-300, (s * y).sum(axis=1) / np.where(yy > 1e-300, yy, 1), 1.0)[:, None]
+    for s, y, rho, a in reversed(held):
+        out += (a - rho * (y * out).sum(axis=1))[:, None] * s
+    return out
 
 
 def predict(model: Model, rows: DataFrame) -> DataFrame:
@@ -123,6 +226,18 @@ def _sums(rows: DataFrame, centre: dict[int, np.ndarray] | None, scale: dict[int
     return out
 
 
+def class_scores(weights: np.ndarray, offsets: np.ndarray, x: Column | str = "features") -> Column:
+    """Array of class scores, as dot products."""
+    dot = [F.aggregate(F.zip_with(x, F.lit(w.tolist()), lambda a, b: a * b), F.lit(float(b)), lambda s, v: s + v) for w, b in zip(np.atleast_2d(weights), offsets)]
+    return F.array(*dot)
+
+
+def best_label(rows: DataFrame, labels: list[int], scores: Column) -> DataFrame:
+    """``rows`` plus ``prediction``: the label of the highest score, the first of equal ones."""
+    held = rows.withColumn("_s", scores)
+    return held.withColumn("prediction", F.element_at(F.lit(labels), F.array_position("_s", F.array_max("_s")).cast("int")).cast("int")).drop("_s")
+
+
 class LDA:
     """Linear discriminant analysis by least squares, with Ledoit-Wolf shrinkage inside each class."""
 
@@ -141,14 +256,8 @@ class LDA:
         cov = sum(w * kernels.ledoit_wolf(second[k][0], second[k][2], second[k][3]) * np.outer(scale[k], scale[k]) for k, w in zip(self.labels, priors))
         self.coef, self.offset = kernels.lda_from_sums(priors, means, cov)
 
-    def scores(self, x: Column | str = "features") -> Column:
-        """Array of class scores, as dot products."""
-        dot = [F.aggregate(F.zip_with(x, F.lit(w.tolist()), lambda a, b: a * b), F.lit(float(b)), lambda s, v: s + v) for w, b in zip(self.coef, self.offset)]
-        return F.array(*dot)
-
     def predict(self, rows: DataFrame) -> DataFrame:
-        scores = rows.withColumn("_s", self.scores())
-        return scores.withColumn("prediction", F.element_at(F.lit(self.labels), F.array_position("_s", F.array_max("_s")).cast("int")).cast("int")).drop("_s")
+        return best_label(rows, self.labels, class_scores(self.coef, self.offset))
 
 
 class CSP:
@@ -180,6 +289,12 @@ class CSP:
         c1, c2 = (kernels.ledoit_wolf(v[1], v[0], v[2]) for _, v in sorted(sums.items()))
         self.filters = kernels.csp_filters(c1, c2, n)
 
+    @classmethod
+    def of(cls, filters: np.ndarray) -> CSP:
+        out = cls.__new__(cls)
+        out.filters, out.channels = filters, filters.shape[1]
+        return out
+
     def transform(self, epochs: DataFrame) -> DataFrame:
         """``epochs`` with ``features`` in place of x."""
         filters = self.filters
@@ -188,7 +303,13 @@ class CSP:
         def power(x):
             import pandas as pd
 
-            return pd.Series([np.log((filters @ np.stack([np.asarray(c, float) for c in m])) ** 2 @ np.ones(len(m[0])) / len(m[0]) + 1e-300) for m in x])
+            out = np.zeros((len(x), len(filters)))
+            sizes = np.array([len(m[0]) for m in x])
+            for n in np.unique(sizes):  # epochs of one length at once
+                at = np.flatnonzero(sizes == n)
+                held = np.stack([np.stack(m) for m in x.iloc[at]]).astype(float)
+                out[at] = np.log((np.einsum("fc,ect->eft", filters, held) ** 2).mean(axis=2) + 1e-300)
+            return pd.Series(list(out))
 
         return epochs.withColumn("features", power("x")).drop("x")
 

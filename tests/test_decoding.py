@@ -1,9 +1,8 @@
 import numpy as np
 import pytest
-from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
-from sigweave.jobs import decoding, pipelines, training
+from sigweave.jobs import decoding, training
 from sigweave.operators import clean, decoder, features, labels, models, split, windows
 from sigweave.sources import io
 from sigweave.streaming import streams
@@ -33,20 +32,6 @@ def test_offline_decoding_and_saved_decoder(spark, tmp_path, fit):
         assert got["prediction"] == made.labels[int(np.argmax(np.array(made.weights) @ x + made.bias))]
 
 
-def test_pipeline_is_saved_and_loaded(spark, tmp_path):
-    rng = np.random.default_rng(2)
-    rows = [(e, e % 4, e % 2, f"c{c}", (rng.standard_normal(64) * (1 + 3 * (e % 2) * c)).tolist()) for e in range(40) for c in range(2)]
-    epochs = spark.createDataFrame(rows, "epoch_id long, group_id int, label int, channel string, x array<double>")
-    for kind in ("logreg", "lsvm"):
-        fitted = pipelines.pipeline("bandpower", kind, 64, ((4, 8), (8, 12)), 32).fit(epochs)
-        fitted.write().overwrite().save(f"{tmp_path}/{kind}")
-        want = {r["epoch_id"]: r["prediction"] for r in fitted.transform(epochs).collect()}
-        got = {r["epoch_id"]: r["prediction"] for r in PipelineModel.load(f"{tmp_path}/{kind}").transform(epochs).collect()}
-        assert got == want and sum(want[e] == e % 2 for e in range(40)) > 30
-    with pytest.raises(ValueError):
-        pipelines.pipeline("bandpower", "csp_lda", 64)
-
-
 def test_failed_runs_keep_a_row_and_summaries_are_written(spark, tmp_path):
     epochs = spark.createDataFrame([(e, 0, 1, "c0", [1.0] * 16) for e in range(6)], "epoch_id long, group_id int, label int, channel string, x array<double>")
     modes = labels.modes_table(spark, {"hand_dir": labels.MODES["hand_dir"]})
