@@ -140,18 +140,78 @@ def fft_convolve(x: np.ndarray, taps: np.ndarray) -> np.ndarray:
     return full[:, half : half + x.shape[1]]
 
 
-def butterworth_zero_phase(x: np.ndarray, fs: float, low: float, high: float, order: int) -> np.ndarray:
-    """Forward-backward Butterworth band-pass as its squared magnitude on the odd-padded spectrum."""
-    pad = min(x.shape[1] - 1, int(3 * fs / low))
-    ext = np.stack([reflect(r, pad, pad) for r in x])
-    f = np.fft.rfftfreq(ext.shape[1], 1 / fs)
-    warp = np.tan(np.pi * np.minimum(f, fs / 2 * (1 - 1e-9)) / fs)
+def butterworth_sections(fs: float, low: float, high: float, order: int) -> np.ndarray:
+    """Second-order sections [order, (gain, a1, a2)] of a Butterworth band-pass: (gain - gain z^-2) / (1 + a1 z^-1 + a2 z^-2) each."""
     lo, hi = np.tan(np.pi * low / fs), np.tan(np.pi * high / fs)
-    with np.errstate(divide="ignore"):
-        u = (warp**2 - lo * hi) / (np.maximum(warp, 1e-12) * (hi - lo))
-    gain = 1 / (1 + np.minimum(np.abs(u), 1e6) ** (2 * order)) if order < 20 else (np.abs(u) <= 1).astype(float)
-    out = np.fft.irfft(np.fft.rfft(ext, axis=1) * gain, ext.shape[1], axis=1)
-    return out[:, pad : pad + x.shape[1]]
+    proto = np.exp(1j * np.pi * (2 * np.arange(order) + order + 1) / (2 * order))
+    half = proto * (hi - lo) / 2
+    root = np.sqrt(half**2 - lo * hi + 0j)
+    s = np.concatenate([half + root, half - root])
+    z = (1 + s) / (1 - s)
+    turning, real = z[z.imag > 1e-12], np.sort(z[np.abs(z.imag) <= 1e-12].real)
+    poles = [(-2 * p.real, abs(p) ** 2) for p in turning] + [(-(a + b), a * b) for a, b in zip(real[::2], real[1::2])]
+    poles.sort(key=lambda p: p[1])  # poles near the circle last
+    at = np.exp(-2j * np.arctan(np.sqrt(lo * hi)))  # the band's centre
+    return np.array([(abs((1 + a1 * at + a2 * at**2) / (1 - at**2)), a1, a2) for a1, a2 in poles])
+
+
+def cascade(sections: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """State-space form (A, B, C, D) of sections in a row, two states each."""
+    n = 2 * len(sections)
+    a, b, c, d = np.zeros((n, n)), np.zeros(n), np.zeros(n), 1.0
+    for k, (g, a1, a2) in enumerate(sections):
+        own = slice(2 * k, 2 * k + 2)
+        inside, enter = np.array([[-a1, 1.0], [-a2, 0.0]]), np.array([-a1 * g, -g - a2 * g])
+        a[own, own] = inside
+        a[own, : 2 * k] = np.outer(enter, c[: 2 * k])
+        b[own] = enter * d
+        c, d = c * g, d * g
+        c[2 * k] += 1
+    return a, b, c, d
+
+
+class SectionFilter:
+    """A cascade of sections run over blocks: within blocks by matrices, across them by the state."""
+
+    def __init__(self, sections: np.ndarray, block: int = 64):
+        a, b, c, d = cascade(sections)
+        self.block, self.order = block, len(b)
+        self.a = a
+        powers = [np.eye(self.order)]
+        for _ in range(block):
+            powers.append(a @ powers[-1])
+        self.over = powers[block]
+        self.out = np.stack([c @ p for p in powers[:block]])  # of the state at a block's begin, on its outputs
+        self.into = np.stack([p @ b for p in powers[block - 1 :: -1]], axis=1)  # of a block's inputs, on the state at its end
+        response = np.concatenate([[d], [c @ p @ b for p in powers[: block - 1]]])
+        lag = np.subtract.outer(np.arange(block), np.arange(block))
+        self.inside = np.where(lag >= 0, response[np.maximum(lag, 0)], 0.0)
+        self.rest = np.zeros(self.order)  # the state, for an input of one for ever, at rest
+        self.rest[:2] = -sections[0][0]
+
+    def states(self, x: np.ndarray, state: np.ndarray) -> np.ndarray:
+        """States at the begin of each whole block, and at the end of ``x``."""
+        m = len(x) // self.block
+        enter = x[: m * self.block].reshape(m, self.block) @ self.into.T
+        held = np.empty((m + 2, self.order))
+        held[0] = state
+        for i in range(m):
+            held[i + 1] = self.over @ held[i] + enter[i]
+        r = len(x) - m * self.block
+        held[m + 1] = np.linalg.matrix_power(self.a, r) @ held[m] + self.into[:, self.block - r :] @ x[len(x) - r :]
+        return held
+
+    def end(self, x: np.ndarray) -> np.ndarray:
+        """The state behind ``x``, from a state of zeros."""
+        return self.states(x, np.zeros(self.order))[-1]
+
+    def run(self, x: np.ndarray, state: np.ndarray) -> np.ndarray:
+        held = self.states(x, state)
+        m = len(x) // self.block
+        whole = x[: m * self.block].reshape(m, self.block) @ self.inside.T + held[:m] @ self.out.T
+        r = len(x) - m * self.block
+        last = self.inside[:r, :r] @ x[len(x) - r :] + self.out[:r] @ held[m]
+        return np.concatenate([whole.reshape(-1), last])
 
 
 def multitaper_power(x: np.ndarray, fs: float, freqs: np.ndarray, n_tapers: int = 3) -> np.ndarray:

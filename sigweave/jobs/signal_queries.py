@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import kernels
 from ..operators import align, clean, erp, features, labels, metrics, split, windows
 from ..sources import standins as src
 
@@ -469,13 +470,39 @@ def c1_small(spark, d):
 
 @query("c1_c2_band_pass_notch")
 def c1(spark, d):
-    from ..functions import kernels
-
     # Both filters in one pass: their taps are convolved.
     taps = np.convolve(kernels.fir_taps(300, 8, 50), kernels.notch_taps(300, 50, 2, 6))
     return clean.fir_filter(_supplier_long(spark, d), taps, chunk=4096).groupBy("recording_id", "channel").agg(F.count("*").alias("n"), F.round(F.stddev_pop("value"), 6).alias("std"))
 
 
+def _sections_sql(sections, source: str, name: str) -> str:
+    """A recursive CTE ``name`` (recording_id, channel, n, p, i, y) that runs sections over the list x of each row of ``source``, sample by sample."""
+    k = range(len(sections))
+    g = sections[0][0]
+    inputs, outputs = ["x[i + 1]"], []
+    for j in k:
+        outputs.append(f"({sections[j][0]!r} * {inputs[j]} + a{j})")
+        inputs.append(outputs[j])
+    first = ", ".join(f"{-g!r} * x[1] AS a0, {-g!r} * x[1] AS b0" if j == 0 else f"0.0::DOUBLE AS a{j}, 0.0::DOUBLE AS b{j}" for j in k)
+    step = ", ".join(f"{-sections[j][1]!r} * {outputs[j]} + b{j}, {-sections[j][0]!r} * {inputs[j]} - {sections[j][2]!r} * {outputs[j]}" for j in k)
+    return f"{name} AS (SELECT recording_id, channel, n, p, x, 0 AS i, NULL::DOUBLE AS y, {first} FROM {source} UNION ALL SELECT recording_id, channel, n, p, x, i + 1, {outputs[-1]}, {step} FROM {name} WHERE i < len(x))"
+
+
+_SECTIONS = kernels.butterworth_sections(300, 8, 45, 2).tolist()
+
+
+@query("c3_iir_sections", f"""WITH RECURSIVE {L}, u AS (SELECT recording_id, channel, list(CAST(v AS DOUBLE) ORDER BY sample_idx) AS x, count(*) AS n, least(count(*) - 1, 112) AS p FROM l UNPIVOT (v FOR channel IN (quantity, extendedprice, discount, tax)) GROUP BY 1, 2),
+e AS (SELECT recording_id, channel, n, p, list_concat(list_concat(list_transform(range(p, 0, -1), lambda i: 2 * x[1] - x[i + 1]), x), list_transform(range(1, p + 1), lambda i: 2 * x[n] - x[n - i])) AS x FROM u),
+{_sections_sql(_SECTIONS, "e", "f")},
+r AS (SELECT recording_id, channel, n, p, list(y ORDER BY i DESC) AS x FROM f WHERE i > 0 GROUP BY ALL),
+{_sections_sql(_SECTIONS, "r", "b")}
+SELECT recording_id, channel, count(*) AS n, round(stddev_pop(y), 4) AS std, round(max(abs(y)), 4) AS peak FROM b WHERE i > p AND i <= p + n GROUP BY 1, 2""")
+def c3_sections(spark, d):
+    """Two sections, in chunks of 256 samples."""
+    out = clean.iir_filter(_supplier_long(spark, d), 300, 8, 45, order=2, chunk=256)
+    return out.groupBy("recording_id", "channel").agg(F.count("*").alias("n"), F.round(F.stddev_pop("value"), 4).alias("std"), F.round(F.max(F.abs("value")), 4).alias("peak"))
+
+
 @query("c3_iir")
 def c3(spark, d):
     return clean.iir_filter(_supplier_long(spark, d), 300, 1, 45).groupBy("recording_id", "channel").agg(F.count("*").alias("n"), F.round(F.stddev_pop("value"), 6).alias("std"))

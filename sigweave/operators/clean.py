@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from ..functions import kernels
 from . import windows
@@ -129,8 +131,6 @@ def fir_filter(samples: DataFrame, taps, chunk: int = 65_536) -> DataFrame:
 
     Recordings are cut into chunks with a halo of half the filter, so no task holds a recording and
     the result equals the unchunked one; at the recording's ends the signal is reflected."""
-    import numpy as np
-
     taps = np.asarray(taps, float)
     half = len(taps) // 2
     ends = samples.groupBy("recording_id", "channel").agg(F.max("sample_idx").alias("top"))
@@ -155,13 +155,52 @@ def fir_filter(samples: DataFrame, taps, chunk: int = 65_536) -> DataFrame:
     return cut.groupBy("recording_id", "channel", "chunk").applyInPandas(run, schema)
 
 
-def iir_filter(samples: DataFrame, fs: float, low: float, high: float, order: int = 4) -> DataFrame:
-    """Zero-phase Butterworth band-pass by its magnitude response on the padded spectrum; a whole channel in one task."""
-    schema = "recording_id long, channel string, sample_idx long, value double"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sample_idx")
-        y = kernels.butterworth_zero_phase(pdf["value"].to_numpy()[None, :], fs, low, high, order)[0]
-        return pdf[["recording_id", "channel", "sample_idx"]].assign(value=y)
-
-    return samples.select("recording_id", "channel", "sample_idx", "value").groupBy("recording_id", "channel").applyInPandas(run, schema)
+def iir_filter(samples: DataFrame, fs: float, low: float, high: float, order: int = 4, chunk: int | None = None) -> DataFrame:
+    """Zero-phase Butterworth band-pass of long samples (recording_id, channel, sample_idx, value), forward and backward.
+
+    Chunks of a channel are filtered apart: the state behind a chunk is an affine map of the state before
+    it, so the maps of all chunks, a few numbers each, give every chunk's own first state, and then each is filtered with
+    that. No task holds a channel, only one row for each of its chunks; the result is the sequential filter's. At both ends
+    the signal goes on reflected, for three periods of ``low`` or as far as it reaches, from a state at rest."""
+    size = chunk or windows.CHUNK
+    made = kernels.SectionFilter(kernels.butterworth_sections(fs, low, high, order))
+    edges = samples.groupBy("recording_id", "channel").agg(F.max("sample_idx").alias("top"), F.min_by("value", "sample_idx").alias("x0"), F.max_by("value", "sample_idx").alias("x1"))
+    at, top, pad, v = F.col("sample_idx"), F.col("top"), F.col("pad"), F.col("value")
+    edges = edges.withColumn("pad", F.least("top", F.lit(int(3 * fs / low)).cast("long")))
+    place = lambda where, value: F.struct(where.alias("at"), value.cast("double").alias("v"))
+    before = F.when((at >= 1) & (at <= pad), place(pad - at, 2 * F.col("x0") - v))
+    after = F.when((at < top) & (at >= top - pad), place(2 * top - at + pad, 2 * F.col("x1") - v))
+    rows = samples.join(edges, ["recording_id", "channel"]).select("recording_id", "channel", "top", "pad", F.explode(F.array_compact(F.array(place(at + pad, v), before, after))).alias("e"))
+    chunks = rows.groupBy("recording_id", "channel", F.expr(f"e.at div {size}").alias("chunk")).agg(F.first("top").alias("top"), F.first("pad").alias("pad"), F.array_sort(F.collect_list("e"))["v"].alias("x"))
+    turned = F.expr(f"(top + 2 * pad) div {size}") - F.col("chunk")
+    for _ in range(2):
+        chunks = _filtered(chunks, made).withColumn("chunk", turned).withColumn("x", F.reverse("x"))
+    flat = chunks.select("recording_id", "channel", "top", "pad", "chunk", F.posexplode("x").alias("i", "value"))
+    flat = flat.withColumn("sample_idx", F.col("chunk") * size + F.col("i") - pad)
+    return flat.filter((at >= 0) & (at <= top)).select("recording_id", "channel", "sample_idx", "value")
+
+
+def _filtered(chunks: DataFrame, made: kernels.SectionFilter) -> DataFrame:
+    """``chunks`` (recording_id, channel, chunk, x, ...) with x filtered, each from the state behind the chunk before it."""
+
+    @pandas_udf("array<double>")
+    def end(x: pd.Series) -> pd.Series:
+        return pd.Series([made.end(np.asarray(v)) for v in x])
+
+    @pandas_udf("array<double>")
+    def run(x: pd.Series, state: pd.Series) -> pd.Series:
+        return pd.Series([made.run(np.asarray(v), np.asarray(s)) for v, s in zip(x, state)])
+
+    def states(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("chunk")
+        state, out, over = made.rest * pdf["head"].iloc[0], [], {}
+        for n, after in zip(pdf["n"], pdf["after"]):
+            out.append(state)
+            if n not in over:
+                over[n] = np.linalg.matrix_power(made.a, n)
+            state = over[n] @ state + np.asarray(after)
+        return pdf[["recording_id", "channel", "chunk"]].assign(state=out)
+
+    heads = chunks.select("recording_id", "channel", "chunk", F.size("x").alias("n"), F.col("x")[0].alias("head"), end("x").alias("after"))
+    first = heads.groupBy("recording_id", "channel").applyInPandas(states, "recording_id long, channel string, chunk long, state array<double>")
+    return chunks.join(first, ["recording_id", "channel", "chunk"]).withColumn("x", run("x", "state")).drop("state")
