@@ -187,9 +187,14 @@ def t1(spark, d):
     return sig.r6(out, "mav")
 
 
-@query("t2_blinks")
+@query("t2_blinks", f"""WITH RECURSIVE e AS (SELECT user_id AS recording_id, epoch_us(ts) AS us, value FROM events WHERE event_type <> 'signup'),
+s AS (SELECT recording_id, us / 1e6 AS t, value, min(us / 1e6) OVER (PARTITION BY recording_id) AS t0 FROM e WHERE us < ((SELECT max(us) FROM e) // 1000 - 3600000) * 1000),
+q AS (SELECT recording_id, avg(value) + {sig.SIGMAS} * stddev_pop(value) AS threshold FROM s WHERE t < t0 + {sig.DAYS10} GROUP BY 1),
+h AS MATERIALIZED (SELECT recording_id, t FROM s JOIN q USING (recording_id) WHERE t >= t0 + {sig.DAYS10} AND value > threshold),
+a AS (SELECT recording_id, min(t) AS t FROM h GROUP BY 1 UNION ALL SELECT a.recording_id, min(h.t) FROM a JOIN h ON h.recording_id = a.recording_id AND h.t > a.t + 5400 GROUP BY a.recording_id)
+SELECT recording_id, round(t, 3) AS t FROM a""")
 def t2(spark, d):
-    out = streams.blinks(streams.event_stream(spark, d), sig.DAYS10, sig.SIGMAS, 5400.0)
+    out = streams.blinks(streams.event_stream(spark, d), sig.DAYS10, sig.SIGMAS, 5400.0, "1 hour", idle=3e7)
     return _drained(spark, out, "t2").select("recording_id", F.round("t", 3).alias("t"))
 
 
@@ -207,12 +212,24 @@ def t4(spark, d):
     return sig.r6(out.withColumn("start", F.col("start").cast("double")), "running")
 
 
-@query("t5_label_changes", "WITH s AS (SELECT user_id AS recording_id, epoch_us(ts) / 1e6 AS t, event_type AS label, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events WHERE event_type <> 'signup') SELECT recording_id, round(t, 3) AS t, label FROM s WHERE before IS NULL OR before <> label")
+_CHANGES = "WITH s AS (SELECT user_id AS recording_id, epoch_us(ts) / 1e6 AS t, event_type AS label, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events WHERE event_type <> 'signup') SELECT recording_id, round(t, 3) AS t, label FROM s WHERE before IS NULL OR before <> label"
+
+
+@query("t5_label_changes", _CHANGES)
 def t5(spark, d):
     out = _drained(spark, streams.label_changes(streams.event_stream(spark, d)), "t5")
     return out.select("recording_id", F.round(F.unix_micros("ts") / F.lit(1e6), 3).alias("t"), "label")
 
 
+@query("t5_published_changes", _CHANGES)
+def t5_published(spark, d):
+    """The changes as a receiver of the announced batches reads them."""
+    changes, path = streams.label_changes(streams.event_stream(spark, d)), scratch(spark, "published")
+    streams.publish(changes, path, scratch(spark, "published-checkpoint")).awaitTermination()
+    out = streams.published(spark, path, changes.schema)
+    return out.select("recording_id", F.round(F.unix_micros("ts") / F.lit(1e6), 3).alias("t"), "label")
+
+
 @query("s2_identity", "SELECT o_custkey AS run, CASE WHEN o_custkey % 3 = 0 THEN 'hand_dir' WHEN o_custkey % 3 = 1 THEN 'wrist_dir' ELSE 'default' END AS mode, count(*) AS n FROM orders GROUP BY 1, 2")
 def s2(spark, d):
     mode = F.when(F.col("o_custkey") % 3 == 0, "/hand_dir").when(F.col("o_custkey") % 3 == 1, "/wrist_dir").otherwise("")

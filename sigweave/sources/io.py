@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import io
 import tempfile
 import uuid
-from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import bundles
+
 EMG_SCHEMA = "Timestamp double, {channels}, Action1 string, Action2 string"
 
 
@@ -52,23 +50,9 @@ def identity(files: DataFrame) -> DataFrame:
 
 
 def read_bundles(spark: SparkSession, path: str) -> DataFrame:
-    """Epochs of ``.npz`` bundles (X, y and maybe groups); without groups, a file's place in order of path."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").load(path)
-    order = files.select("path").distinct().withColumn("place", (F.row_number().over(Window.orderBy("path")) - 1).cast("int"))
-
-    def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for name, content, place in zip(batch["path"], batch["content"], batch["place"]):
-                with np.load(io.BytesIO(content), allow_pickle=False) as z:
-                    x, y = z["X"], z["y"]
-                    groups = z["groups"] if "groups" in z else np.full(len(y), place)
-                x = x[:, None, :] if x.ndim == 2 else x
-                if x.ndim != 3:
-                    raise ValueError(f"{name}: X has {x.ndim} dimensions")
-                n, c, _ = x.shape
-                yield pd.DataFrame({"recording_id": name, "epoch_id": np.repeat(np.arange(n), c), "group_id": np.repeat(groups, c), "label": np.repeat(y, c), "channel": np.tile([f"c{i}" for i in range(c)], n), "x": list(x.reshape(n * c, -1).astype(float))})
-
-    return files.join(F.broadcast(order), "path").select("path", "content", "place").mapInPandas(load, "recording_id string, epoch_id long, group_id int, label int, channel string, x array<double>")
+    """Epochs of ``.npz`` bundles (X, y and maybe groups) in a folder or file; without groups, a file's place in order of path."""
+    spark.dataSource.register(bundles.EpochBundles)
+    return spark.read.format("epoch_bundles").load(path)
 
 
 def read_emg(spark: SparkSession, path: str, channels: int, contains: str | None = None) -> DataFrame:

@@ -5,12 +5,12 @@ Every job has a watermark: rows later than that are dropped.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..operators import features
 from ..operators.decoder import Decoder
@@ -55,20 +55,48 @@ def running_state(stream: DataFrame, length: str, step: str, delay: str, thresho
 
 
 class Blinks(StatefulProcessor):
-    """Calibrates over a recording's first seconds, then emits hits above mean + sigmas * std outside the refractory gap."""
+    """Calibrates over a recording's first seconds, then emits hits above mean + sigmas * std outside the refractory gap.
 
-    def __init__(self, calibration: float, sigmas: float, gap: float):
-        self.calibration, self.sigmas, self.gap = calibration, sigmas, gap
+    Rows wait in state until the watermark has passed them and are then taken in order of time, so it is
+    of no matter in which batch they come. One timer stands for the earliest row that waits, or for the end of an idle recording."""
+
+    def __init__(self, calibration: float, sigmas: float, gap: float, idle: float | None):
+        self.calibration, self.sigmas, self.gap, self.idle = calibration, sigmas, gap, idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("blink", "t0 double, n long, s double, q double, last double")
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "us long, value double")
+        self.state = handle.getValueState("blink", "t0 double, n long, s double, q double, last double, seen double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        data = pd.concat(list(rows)).sort_values("ts")  # a key's rows of a batch come in any order
-        t0, n, s, q, last = self.state.get() if self.state.exists() else (None, 0, 0.0, 0.0, float("-inf"))
+        late = timerValues.getCurrentWatermarkInMs() * 1000
+        data = pd.concat(list(rows))
+        data = data[data["us"] >= late]
+        if len(data):
+            self.waiting.appendList([(int(u), float(v)) for u, v in zip(data["us"], data["value"])])
+            self.wake(int(data["us"].min()) // 1000 + 1)
+        yield pd.DataFrame({"recording_id": [], "t": []}).astype({"recording_id": "int64", "t": "float64"})
+
+    def wake(self, ms: int) -> None:
+        """A timer at ``ms``, unless one comes earlier."""
+        timers = list(self.handle.listTimers())
+        if not timers or ms < min(timers):
+            for t in timers:
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        waiting = sorted(self.waiting.get()) if self.waiting.exists() else []
+        ready = [(us / 1e6, v) for us, v in waiting if us < passed]
+        rest = waiting[len(ready) :]
+        new = (None, 0, 0.0, 0.0, float("-inf"), float("-inf"))
+        t0, n, s, q, last, seen = self.state.get() if self.state.exists() else new
         hits = []
-        for t, v in zip(data["ts"].astype("int64") / 1e9 if str(data["ts"].dtype).endswith("[ns]") else data["ts"].map(lambda x: x.timestamp()), data["value"]):
-            t0 = t if t0 is None else t0
+        for t, v in ready:
+            if self.idle is not None and t > seen + self.idle:
+                t0, n, s, q, last, seen = new
+            t0, seen = t if t0 is None else t0, t
             if t < t0 + self.calibration:
                 n, s, q = n + 1, s + v, q + v * v
                 continue
@@ -76,18 +104,31 @@ class Blinks(StatefulProcessor):
             if n and v > s / n + self.sigmas * std and t > last + self.gap:
                 hits.append(t)
                 last = t
-        self.state.update((t0, n, s, q, last))
-        yield pd.DataFrame({"recording_id": [key[0]] * len(hits), "t": hits})
+        end = None if self.idle is None else int((seen + self.idle) * 1000) + 1
+        if rest:
+            self.waiting.put(rest)
+        else:
+            self.waiting.clear()
+        if not rest and end is not None and end * 1000 <= passed:  # all that could come now is late or a new recording's begin
+            self.state.clear()
+        else:
+            self.state.update((t0, n, s, q, last, seen))
+            ms = rest[0][0] // 1000 + 1 if rest else end
+            if ms is not None:
+                self.handle.registerTimer(ms)
+        yield pd.DataFrame({"recording_id": [key[0]] * len(hits), "t": hits}).astype({"recording_id": "int64", "t": "float64"})
 
     def close(self) -> None:
         pass
 
 
-def blinks(stream: DataFrame, calibration: float, sigmas: float, gap: float, delay: str = "1 hour") -> DataFrame:
-    """recording_id, t of accepted hits. State per recording: five numbers."""
+def blinks(stream: DataFrame, calibration: float, sigmas: float, gap: float, delay: str = "1 hour", idle: float | None = None) -> DataFrame:
+    """recording_id, t (seconds) of accepted hits, each once the watermark has passed it, whatever order rows come in; rows
+    later than the watermark are dropped. State per recording: six numbers and the rows of the last ``delay``. A
+    recording without rows for more than ``idle`` seconds is forgotten, and calibrated anew if it goes on."""
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    keyed = stream.withWatermark("ts", delay).groupBy("recording_id")
-    return keyed.transformWithStateInPandas(statefulProcessor=Blinks(calibration, sigmas, gap), outputStructType="recording_id long, t double", outputMode="Append", timeMode="None")
+    rows = stream.withWatermark("ts", delay).select("recording_id", "ts", F.unix_micros("ts").alias("us"), "value")
+    return rows.groupBy("recording_id").transformWithStateInPandas(statefulProcessor=Blinks(calibration, sigmas, gap, idle), outputStructType="recording_id long, t double", outputMode="Append", timeMode="EventTime")
 
 
 def label_changes(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -110,6 +151,42 @@ def label_changes(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
     return keyed.applyInPandasWithState(run, "recording_id long, ts timestamp, label string", "last string", "append", "NoTimeout")
 
 
+def publisher(path: str, send: Callable[[Iterator[Row]], None] | None = None) -> Callable[[DataFrame, int], None]:
+    """A sink for ``foreachBatch`` that publishes each row once: a batch has a folder of its own, which a
+    repeated batch writes anew, and is announced by a marker once it is whole.
+
+    ``send``, if given, gets the rows of each partition on the executors before the batch is announced; a batch that
+    failed before that is sent again, so receivers tell rows apart by batch and key."""
+
+    def write(rows: DataFrame, batch: int) -> None:
+        fs_path = rows.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/done/{batch}")
+        fs = fs_path.getFileSystem(rows.sparkSession.sparkContext._jsc.hadoopConfiguration())
+        if fs.exists(fs_path):
+            rows.write.format("noop").mode("overwrite").save()  # nothing is published, but the state goes on
+            return
+        rows.write.mode("overwrite").parquet(f"{path}/rows/batch={batch}")
+        if send is not None:
+            rows.sparkSession.read.parquet(f"{path}/rows/batch={batch}").foreachPartition(send)
+        marker = fs.create(fs_path, True)
+        marker.write(49)  # readers skip empty files
+        marker.close()
+
+    return write
+
+
+def publish(stream: DataFrame, path: str, checkpoint: str, send: Callable[[Iterator[Row]], None] | None = None) -> StreamingQuery:
+    """Start publishing ``stream`` (all that its source holds now) into ``path``; after a failure, start it again with the same folders."""
+    return stream.writeStream.foreachBatch(publisher(path, send)).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
+def published(spark: SparkSession, path: str, schema) -> DataFrame:
+    """Rows of the announced batches, and their batch."""
+    rows = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{path}/rows")
+    rows = rows.withColumn("batch", F.regexp_extract(F.col("_metadata.file_path"), r"/batch=(\d+)/", 1).cast("long"))
+    done = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{path}/done").select(F.regexp_extract("path", r"/(\d+)$", 1).cast("long").alias("batch"))
+    return rows.join(done, "batch", "left_semi")
+
+
 def drained(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """Run ``stream`` over all that its source holds now, into Parquet, and read it."""
     query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
