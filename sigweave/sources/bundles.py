@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import zipfile
 from collections.abc import Iterator
+from contextlib import ExitStack
 from dataclasses import dataclass
 from math import prod
 
@@ -78,19 +79,21 @@ class BundleReader(DataSourceReader):
 
     def read(self, partition: Slice) -> Iterator[pa.RecordBatch]:
         system, _ = opened(self.path)
-        with system.open_input_file(partition.path) as file, zipfile.ZipFile(file) as archive:
-            x, y = Member(archive, "X"), Member(archive, "y")
-            groups = Member(archive, "groups") if "groups.npy" in archive.namelist() else None
+        with ExitStack() as held:
+            # Each array has a handle of its own, as members of one archive share its position.
+            archives = [held.enter_context(zipfile.ZipFile(held.enter_context(system.open_input_file(partition.path)))) for _ in range(3)]
+            x, y = Member(archives[0], "X"), Member(archives[1], "y")
+            groups = Member(archives[2], "groups") if "groups.npy" in archives[2].namelist() else None
             step = max(1, self.slice_bytes // max(1, x.row))
             for a in range(partition.start, partition.stop, step):
                 b = min(a + step, partition.stop)
-                held = x.rows(a, b).astype(float)
-                held = held[:, None, :] if held.ndim == 2 else held
-                n, c, t = held.shape
+                part = x.rows(a, b).astype(float)
+                part = part[:, None, :] if part.ndim == 2 else part
+                n, c, t = part.shape
                 of = groups.rows(a, b) if groups else np.full(n, partition.place)
                 arrays = [
                     pa.array([partition.path] * (n * c)), pa.array(np.repeat(np.arange(a, b), c)), pa.array(np.repeat(of, c).astype(np.int32)), pa.array(np.repeat(y.rows(a, b), c).astype(np.int32)),
-                    pa.array([f"c{i}" for i in range(c)] * n), pa.ListArray.from_arrays(pa.array(np.arange(n * c + 1) * t, pa.int32()), pa.array(held.reshape(-1))),
+                    pa.array([f"c{i}" for i in range(c)] * n), pa.ListArray.from_arrays(pa.array(np.arange(n * c + 1) * t, pa.int32()), pa.array(part.reshape(-1))),
                 ]
                 yield pa.RecordBatch.from_arrays(arrays, names=[f.split()[0] for f in SCHEMA.split(", ")])
 
