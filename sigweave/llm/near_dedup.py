@@ -39,7 +39,7 @@ DF_BUCKETS = 1 << 20
 DF_BLOCK = 1 << 14
 LEVELS = 32
 POOL = 1 << 16
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 SHINGLE_BITS = 44
 
 
