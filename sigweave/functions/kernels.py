@@ -229,10 +229,10 @@ def multitaper_power(x: np.ndarray, fs: float, freqs: np.ndarray, n_tapers: int
     return out / n_tapers
 
 
-def refractory(times: np.ndarray, gap: float) -> np.ndarray:
-    """Which of the sorted ``times`` are accepted: each more than ``gap`` after the last accepted one."""
+def refractory(times: np.ndarray, gap: float, last: float = -np.inf) -> np.ndarray:
+    """Which of the sorted ``times`` are accepted: each more than ``gap`` after the last accepted one, ``last`` at first."""
     accepted = np.zeros(len(times), bool)
-    at, last = 0, -np.inf
+    at = int(np.searchsorted(times, last + gap, side="right"))
     while at < len(times):
         accepted[at] = True
         last = times[at]
@@ -240,6 +240,20 @@ def refractory(times: np.ndarray, gap: float) -> np.ndarray:
     return accepted
 
 
+def refractory_steps(times: np.ndarray, gap: float) -> tuple[np.ndarray, np.ndarray]:
+    """The last accepted of the sorted ``times``, as a step function of the last one accepted before all of them:
+    for ``last``, that of the first step whose ``upto`` is above last + gap; past the steps, none is accepted."""
+    n = len(times)
+    after = np.searchsorted(times, times + gap, side="right")
+    end = np.where(after < n, after, np.arange(n))
+    while not np.array_equal(end, end[end]):  # jumps twice as far each time
+        end = end[end]
+    first = min(int(np.searchsorted(times, times[0] + gap, side="right")), n - 1)  # no later one can be accepted first
+    upto, last = times[: first + 1], times[end[: first + 1]]
+    edge = np.append(last[1:] != last[:-1], True)
+    return upto[edge], last[edge]
+
+
 def ledoit_wolf(n: int, scatter: np.ndarray, fourth: float) -> np.ndarray:
     """Shrunk covariance from centred sums: ``scatter`` = sum of x x^T, ``fourth`` = sum of |x|^4."""
     p = len(scatter)

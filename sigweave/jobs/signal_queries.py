@@ -294,6 +294,17 @@ def a15(spark, d):
     return r6(windows.calibration(src.event_samples(spark, d), DAYS10, SIGMAS), "mean", "std", "threshold")
 
 
+@query("a15_psd_calibration", f"""WITH {X}, c AS (SELECT epoch_id, label, 'c' || (rel_idx // 32) AS channel, rel_idx % 32 AS i, (value - avg(value) OVER (PARTITION BY epoch_id, rel_idx // 32)) * (0.54 - 0.46 * cos(2 * pi() * (rel_idx % 32) / 32)) AS v FROM x),
+f AS (SELECT epoch_id, label, channel, q, 2 * (sum(v * cos(2 * pi() * q * i / 32)) ** 2 + sum(v * sin(2 * pi() * q * i / 32)) ** 2) / (64 * (SELECT sum((0.54 - 0.46 * cos(2 * pi() * j / 32)) ** 2) FROM generate_series(0, 31) h(j))) AS p FROM c, generate_series(1, 7) g(q) GROUP BY 1, 2, 3, 4),
+m AS (SELECT epoch_id, label, channel, avg(p) AS p FROM f GROUP BY 1, 2, 3)
+SELECT label, channel, round(avg(p), 8) AS mean, round(stddev_pop(p), 8) AS std, round(avg(p) + 4 * stddev_pop(p), 8) AS threshold FROM m GROUP BY 1, 2""")
+def a15b(spark, d):
+    """A15 per channel: each label's two-channel epochs at 64 Hz stand for a recording's calibration windows."""
+    power = features.mean_psd(64, 1, 15, 32)("x")
+    out = windows.psd_calibration(src.embedding_epochs(spark, d, 2), power, "label", "channel")
+    return out.select("label", "channel", *[F.round(c, 8).alias(c) for c in ("mean", "std", "threshold")])
+
+
 @query("w9_crossings", f"WITH {S}, {CAL}, h AS (SELECT recording_id, CAST(floor(t / 7200) AS BIGINT) AS win, value - mean > threshold - mean AS hit FROM s JOIN q USING (recording_id)) SELECT recording_id, win AS \"window\", bool_or(hit) AS any_hit FROM h GROUP BY 1, 2")
 def w9(spark, d):
     return windows.window_hits(_hits(spark, d), 7200.0)
@@ -336,6 +347,14 @@ def w4(spark, d):
     return clean.hampel(_indexed(spark, d).select("recording_id", "sample_idx", "value"))
 
 
+WIDE = "(PARTITION BY recording_id ORDER BY sample_idx ROWS BETWEEN 20 PRECEDING AND 20 FOLLOWING)"
+
+
+@query("w4_hampel_wide", f"WITH {S}, a1 AS (SELECT *, CASE WHEN count(value) OVER {WIDE} = 41 THEN median(value) OVER {WIDE} END AS med FROM s), a2 AS (SELECT *, abs(value - med) AS dev FROM a1), a3 AS (SELECT *, CASE WHEN count(dev) OVER {WIDE} = 41 THEN 1.4826 * median(dev) OVER {WIDE} END AS mad FROM a2) SELECT recording_id, sample_idx, value, CASE WHEN dev > 3.0 * mad THEN med ELSE value END AS cleaned FROM a3")
+def w4b(spark, d):
+    return clean.hampel(_indexed(spark, d).select("recording_id", "sample_idx", "value"), 20)
+
+
 RUN = "r AS (SELECT recording_id, sample_idx, CASE WHEN count(*) OVER v = 10 THEN avg(value) OVER v END AS running FROM s WINDOW v AS (PARTITION BY recording_id ORDER BY sample_idx ROWS BETWEEN 9 PRECEDING AND CURRENT ROW))"
 
 
@@ -364,7 +383,7 @@ def w7(spark, d):
     return r6(clean.resample(long, 1 / 172_800), "value")
 
 
-@query("w8_transitions", f"WITH {S}, g AS (SELECT *, lag(kind) OVER (PARTITION BY recording_id ORDER BY t) AS before FROM s) SELECT recording_id, before, kind, count(*) AS n FROM g WHERE before <> kind GROUP BY 1, 2, 3")
+@query("w8_transitions", f"WITH {S}, g AS (SELECT *, lag(kind) OVER (PARTITION BY recording_id ORDER BY t, kind) AS before FROM s) SELECT recording_id, before, kind, count(*) AS n FROM g WHERE before <> kind GROUP BY 1, 2, 3")
 def w8(spark, d):
     return windows.transitions(src.event_samples(spark, d), "kind").groupBy("recording_id", "before", "kind").agg(F.count("*").alias("n"))
 

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from ..functions import kernels
@@ -90,18 +91,42 @@ def reject_artefacts(epochs: DataFrame, threshold: Column) -> DataFrame:
     return epochs.join(spread.filter(F.col("peak") <= threshold).select("epoch_id"), "epoch_id", "left_semi")
 
 
-def hampel(samples: DataFrame, window: int = 3, sigmas: float = 3.0) -> DataFrame:
+#: Frames of more samples than this take their medians from an ordered list that moves along, not frame by frame.
+NARROW = 31
+
+
+def hampel(samples: DataFrame, window: int = 3, sigmas: float = 3.0, chunk: int | None = None, narrow: int = NARROW) -> DataFrame:
     """``samples`` (recording_id, sample_idx, value) plus ``cleaned``: a value off its centred rolling median
-    by more than ``sigmas`` scaled rolling median deviations becomes the median. Incomplete frames change nothing."""
-    w = Window.partitionBy("recording_id", "chunk").orderBy("sample_idx").rowsBetween(-window, window)
-    full = 2 * window + 1
-    med = F.when(F.count("value").over(w) == full, F.percentile("value", 0.5).over(w))
+    by more than ``sigmas`` scaled rolling median deviations becomes the median. Incomplete frames, and those with a
+    value that is null or not finite, change nothing.
+
+    Frames of up to ``narrow`` samples are SQL frames. Of wider ones each chunk with its halo goes to a
+    task as Arrow batches, whose rolling medians take the logarithm of the frame's length a sample; the rows are the same,
+    but that a NaN comes back as null."""
     # A deviation needs its own frame's median, so the halo is twice the frame's reach.
-    first = windows.haloed(samples, windows.CHUNK, 2 * window).withColumn("med", med).withColumn("dev", F.abs(F.col("value") - F.col("med")))
+    size = max(chunk or windows.CHUNK, window)
+    cut = windows.haloed(samples, size, 2 * window)
+    full = 2 * window + 1
+    if full > narrow:
+        schema = T.StructType([*cut.schema.fields, T.StructField("cleaned", T.DoubleType())])
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("sample_idx")
+            value = pdf["value"].astype(float)
+            med = value.rolling(full, center=True).median()
+            dev = (value - med).abs()
+            off = dev > sigmas * (1.4826 * dev.rolling(full, center=True).median())
+            return pdf.assign(cleaned=med.where(off, value))
+
+        return windows.own_rows(cut.groupBy("recording_id", "chunk").applyInPandas(run, schema), size)
+    w = Window.partitionBy("recording_id", "chunk").orderBy("sample_idx").rowsBetween(-window, window)
+    known = F.when(F.abs("value") < F.lit(float("inf")), F.col("value"))
+    med = F.when(F.count(known).over(w) == full, F.percentile(known, 0.5).over(w))
+    first = cut.withColumn("med", med).withColumn("dev", F.abs(F.col("value") - F.col("med")))
     mad = F.when(F.count("dev").over(w) == full, F.lit(1.4826) * F.percentile("dev", 0.5).over(w))
     out = first.withColumn("mad", mad)
     off = F.col("dev") > F.lit(sigmas) * F.col("mad")
-    return windows.own_rows(out.withColumn("cleaned", F.when(off, F.col("med")).otherwise(F.col("value"))).drop("med", "dev", "mad"), windows.CHUNK)
+    return windows.own_rows(out.withColumn("cleaned", F.when(off, F.col("med")).otherwise(F.col("value"))).drop("med", "dev", "mad"), size)
 
 
 def downsample(samples: DataFrame, bin_seconds: float) -> DataFrame:

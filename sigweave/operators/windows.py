@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels
+from .align import BUCKET_SECONDS
 
 
 #: Samples of a recording that one window task orders; a halo of its neighbours' samples is added.
@@ -82,11 +83,22 @@ def running_mean(samples: DataFrame, window: int) -> DataFrame:
     return own_rows(out, max(CHUNK, window))
 
 
-def stretched(running: DataFrame) -> DataFrame:
-    """The full running means of each recording stretched to its length by linear interpolation: recording_id, sample_idx, stretched."""
+def _numbered(rows: DataFrame, chunk: int) -> DataFrame:
+    """``rows`` (recording_id, sample_idx, ...) plus ``k``, from 0 in order of sample_idx: ranks inside chunks, offset by the chunks' counts."""
+    cut = rows.withColumn("chunk", F.floor(F.col("sample_idx") / chunk))
+    rank = F.row_number().over(Window.partitionBy("recording_id", "chunk").orderBy("sample_idx"))
+    earlier = Window.partitionBy("recording_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = cut.groupBy("recording_id", "chunk").agg(F.count("*").alias("size"))
+    starts = sizes.select("recording_id", "chunk", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("before"))
+    joined = cut.withColumn("rank", rank).join(starts, ["recording_id", "chunk"])
+    return joined.withColumn("k", F.col("before") + F.col("rank") - 1).drop("chunk", "rank", "before")
+
+
+def stretched(running: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """The full running means of each recording stretched to its length by linear interpolation: recording_id,
+    sample_idx, stretched. Means are numbered by chunks, so no task orders a recording."""
     sizes = running.groupBy("recording_id").agg(F.count("*").alias("n"), F.count("running").alias("m"))
-    up = Window.partitionBy("recording_id").orderBy("sample_idx")
-    means = running.filter("running is not null").select("recording_id", (F.row_number().over(up) - 1).cast("long").alias("k"), "running")
+    means = _numbered(running.filter("running is not null").select("recording_id", "sample_idx", "running"), chunk)
     place = (F.col("sample_idx") * (F.col("m") - 1)) / F.greatest(F.col("n") - 1, F.lit(1))
     at = running.join(sizes.filter("m > 0"), "recording_id").select("recording_id", "sample_idx", place.alias("place"))
     at = at.withColumn("low", F.floor("place")).withColumn("high", F.ceil("place"))
@@ -102,10 +114,20 @@ def running_state(running: DataFrame) -> DataFrame:
     return running.join(limits, "recording_id").withColumn("above", F.col("running") > F.col("threshold"))
 
 
-def transitions(samples: DataFrame, label: str = "label", rising: tuple[str, str] | None = None) -> DataFrame:
-    """Samples whose label differs from the one before; with ``rising``, only changes from the first to the second."""
-    before = F.lag(label).over(Window.partitionBy("recording_id").orderBy("t"))
-    changed = samples.withColumn("before", before).filter(F.col("before").isNotNull() & (F.col("before") != F.col(label)))
+def transitions(samples: DataFrame, label: str = "label", rising: tuple[str, str] | None = None, bucket_seconds: float = BUCKET_SECONDS) -> DataFrame:
+    """Samples whose label differs from the one before, as ``before``; with ``rising``, only changes from the first to
+    the second. Of samples at one time the least label comes first; a null label is no change, on either side; samples
+    without a recording or a time are left out.
+
+    Labels are compared inside time buckets; only a bucket's first sample looks at an earlier bucket, by its last label."""
+    bucket = F.floor(F.col("t") / bucket_seconds).alias("bucket")
+    cut = samples.select("recording_id", bucket, "t", F.col(label).alias("own"), F.struct(*samples.columns).alias("row"))
+    inside = Window.partitionBy("recording_id", "bucket").orderBy("t", "own")
+    ends = cut.groupBy("recording_id", "bucket").agg(F.max_by("own", F.struct("t", "own")).alias("end"))
+    earlier = ends.select("recording_id", "bucket", F.lag("end").over(Window.partitionBy("recording_id").orderBy("bucket")).alias("end"))
+    ranked = cut.withColumn("before", F.lag("own").over(inside)).withColumn("rank", F.row_number().over(inside)).join(earlier, ["recording_id", "bucket"])
+    found = ranked.select("row", "own", F.when(F.col("rank") == 1, F.col("end")).otherwise(F.col("before")).alias("before"))
+    changed = found.filter(F.col("before").isNotNull() & (F.col("before") != F.col("own"))).select("row.*", "before")
     return changed if rising is None else changed.filter((F.col("before") == rising[0]) & (F.col(label) == rising[1]))
 
 
@@ -116,6 +138,13 @@ def calibration(samples: DataFrame, seconds: float, sigmas: float = 4.0) -> Data
     return early.groupBy("recording_id").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std")).withColumn("threshold", F.col("mean") + sigmas * F.col("std"))
 
 
+def psd_calibration(windows: DataFrame, power: Column, *keys: str, sigmas: float = 4.0) -> DataFrame:
+    """mean, std and threshold of each key (a recording's channel, say) over its calibration windows' ``power``, such as
+    ``features.mean_psd(fs)("x")``."""
+    means = windows.select(*keys, power.alias("power")).groupBy(*keys).agg(F.avg("power").alias("mean"), F.stddev_pop("power").alias("std"))
+    return means.withColumn("threshold", F.col("mean") + sigmas * F.col("std"))
+
+
 def crossings(samples: DataFrame, limits: DataFrame, two_sided: bool = False) -> DataFrame:
     """``samples`` plus ``hit``: value - mean above the calibrated threshold - mean (or beyond it on either side)."""
     joined = samples.join(limits, "recording_id")
@@ -129,28 +158,60 @@ def window_hits(hits: DataFrame, seconds: float) -> DataFrame:
     return hits.groupBy("recording_id", F.floor(F.col("t") / seconds).alias("window")).agg(F.bool_or("hit").alias("any_hit"))
 
 
-def accepted_hits(hits: DataFrame, gap: float) -> DataFrame:
-    """Hits of each recording more than ``gap`` seconds after the last accepted one. Only hit times are grouped."""
+def accepted_hits(hits: DataFrame, gap: float, bucket_seconds: float = BUCKET_SECONDS) -> DataFrame:
+    """Hits of each recording more than ``gap`` seconds after the last accepted one; a hit without a time is none.
+
+    Hits go in time buckets no shorter than the gap. What a bucket does depends on its first accepted hit alone,
+    and that lies within a gap of the bucket's first hit: the few hits that may be it give the bucket's step function from the last
+    accepted hit before it to the last one in it. A task composes these functions for a recording, and the buckets are then taken apart."""
+    size = max(bucket_seconds, gap)
+    times = hits.filter("hit and t is not null and not isnan(t)").select("recording_id", F.col("t").cast("double").alias("t"), F.floor(F.col("t") / size).alias("bucket"))
+
+    def steps(pdf: pd.DataFrame) -> pd.DataFrame:
+        upto, last = kernels.refractory_steps(np.sort(pdf["t"].to_numpy()), gap)
+        return pd.DataFrame({"recording_id": pdf["recording_id"].iloc[0], "bucket": pdf["bucket"].iloc[0], "upto": upto, "last": last})
+
+    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
+        at, buckets, entries = -np.inf, [], []
+        for bucket, own in pdf.sort_values(["bucket", "upto"]).groupby("bucket"):
+            buckets.append(bucket)
+            entries.append(at)
+            k = int(np.searchsorted(own["upto"].to_numpy(), at + gap, side="right"))
+            at = own["last"].iloc[k] if k < len(own) else at
+        return pd.DataFrame({"recording_id": pdf["recording_id"].iloc[0], "bucket": buckets, "entry": entries})
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         t = np.sort(pdf["t"].to_numpy())
-        return pd.DataFrame({"recording_id": pdf["recording_id"].iloc[0], "t": t[kernels.refractory(t, gap)]})
+        return pd.DataFrame({"recording_id": pdf["recording_id"].iloc[0], "t": t[kernels.refractory(t, gap, pdf["entry"].iloc[0])]})
 
-    return hits.filter("hit").select("recording_id", "t").groupBy("recording_id").applyInPandas(run, "recording_id long, t double")
+    keys = ["recording_id", "bucket"]
+    maps = times.groupBy(*keys).applyInPandas(steps, "recording_id long, bucket long, upto double, last double")
+    entries = maps.groupBy("recording_id").applyInPandas(compose, "recording_id long, bucket long, entry double")
+    return times.join(entries, keys).groupBy(*keys).applyInPandas(run, "recording_id long, t double")
 
 
 def rectify(x: Column, offset: float = 496.0) -> Column:
     return F.abs(x - F.lit(offset))
 
 
-def decode_frames(data: DataFrame) -> DataFrame:
+def decode_frames(data: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Values of two-byte frames in ``data`` (buffer, pos, byte): a byte above 127 starts a frame with the byte
     after it, which is not looked at again; the scan starts at position 1 and stops before the last. In a run of
-    high bytes only those at odd places start one."""
-    w = Window.partitionBy("buffer").orderBy("pos")
-    seen = data.withColumn("next", F.lead("byte").over(w)).filter("pos >= 1")
-    high = seen.withColumn("high", F.col("byte") > 127)
-    runs = high.withColumn("run", F.sum(F.when(~F.col("high"), 1).otherwise(0)).over(w))
-    place = F.row_number().over(Window.partitionBy("buffer", "run", "high").orderBy("pos"))
-    starts = runs.withColumn("place", place).filter("high and place % 2 = 1 and next is not null")
-    return starts.select("buffer", "pos", (F.col("byte").bitwiseAND(127) * 128 + F.col("next")).alias("frame"))
+    high bytes only those at odd places start one.
+
+    Chunks of a buffer are scanned apart. A chunk passes on one bit, whether its last byte started a frame: the parity
+    of the high bytes at its end, and where it is all high, of those before it too. One row for each chunk gives all of them theirs."""
+    inside = Window.partitionBy("buffer", "chunk").orderBy("pos")
+    high = F.col("byte") > 127
+    cut = data.filter("pos >= 1").withColumn("chunk", F.floor(F.col("pos") / chunk))
+    rows = cut.withColumn("rank", F.row_number().over(inside)).withColumn("next", F.lead("byte").over(inside))
+    rows = rows.withColumn("low", F.coalesce(F.max(F.when(~high, F.col("rank"))).over(inside.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
+    chunks = rows.groupBy("buffer", "chunk").agg(F.max("low").alias("mixed"), (F.max("rank") - F.max("low")).alias("tail"), F.min_by("byte", "rank").alias("head"))
+    order = Window.partitionBy("buffer").orderBy("chunk")
+    chunks = chunks.withColumn("group", F.sum(F.when(F.col("mixed") > 0, 1).otherwise(0)).over(order))
+    chunks = chunks.withColumn("after", F.sum("tail").over(Window.partitionBy("buffer", "group").orderBy("chunk")) % 2)
+    chunks = chunks.select("buffer", "chunk", F.coalesce(F.lag("after").over(order), F.lit(0)).alias("taken"), F.lead("head").over(order).alias("following"))
+    joined = rows.join(chunks, ["buffer", "chunk"])
+    place = F.col("rank") - F.col("low") + F.when(F.col("low") == 0, F.col("taken")).otherwise(0)
+    following = F.coalesce("next", "following")
+    return joined.filter(high & (place % 2 == 1) & following.isNotNull()).select("buffer", "pos", (F.col("byte").bitwiseAND(127) * 128 + following).alias("frame"))
