@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from .common import buckets_for, materialize, new_path, partitions_for, small, utf8_size
 
@@ -53,14 +54,18 @@ def external_shuffle(docs: DataFrame, n_shards: int = 8, text: str = "text", see
     """All columns of ``docs`` plus ``shard`` (int) and ``slot`` (long, gapless from 0 in a shard).
 
     The same rows and seed give the same result, however the input is partitioned and whatever task runs again.
+    Maps are neither hashed nor compared, so a map column travels as its sorted entries; maps inside other columns are refused by Spark.
     """
     taken = {c.lower() for c in docs.columns}
-    columns = []
+    columns, back = [], []
     for c in docs.columns:
         name = c
         while name.lower() in ("shard", "slot") or (name != c and name.lower() in taken):
             name += "_"
-        columns.append(F.col(f"`{c}`").alias(name))
+        is_map = isinstance(docs.schema[c].dataType, MapType)
+        columns.append((F.array_sort(F.map_entries(f"`{c}`")) if is_map else F.col(f"`{c}`")).alias(name))
+        own = F.col(f"row.`{name}`")
+        back.append((F.map_from_entries(own) if is_map else own).alias(name))
     size = utf8_size(F.col(f"row.`{text}`")) + 1
     rows = docs.select(F.struct(*columns).alias("row"))
     total = rows.agg(F.sum(size).alias("b"), F.count("*").alias("n")).first()
@@ -97,7 +102,7 @@ def external_shuffle(docs: DataFrame, n_shards: int = 8, text: str = "text", see
     shard = F.expr(f"((at + 1) * {n_shards} - 1) div {max(n_rows, 1)}").cast("int")
     placed = placed.select("at", shard.alias("own"), "row")
     slot = F.col("at") - F.expr(f"(own * {n_rows}L) div {n_shards}")
-    return placed.select("row.*", F.col("own").alias("shard"), slot.alias("slot"))
+    return placed.select(*back, F.col("own").alias("shard"), slot.alias("slot"))
 
 
 def write_shards(shuffled: DataFrame, path: str) -> str:

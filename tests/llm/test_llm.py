@@ -165,6 +165,11 @@ def test_shards(docs, empty, spark):
     for r in shard_shuffle.external_shuffle(clash).collect():
         assert (r["Shard_"], r["row"], r["bucket"]) == (r["doc_id"] + 100, 1, 1) and 0 <= r["shard"] < 8
     assert shard_shuffle.external_shuffle(docs.union(docs), bucket_bytes=2000).count() == 2 * len(TEXTS)
+    tags = F.when(F.col("doc_id") % 3 > 0, F.create_map(F.lit("z"), F.col("doc_id"), F.lit("a"), F.lit(None).cast("long")))
+    mapped = shard_shuffle.external_shuffle(docs.withColumn("tags", tags).union(docs.withColumn("tags", tags))).collect()
+    assert len(mapped) == 2 * len(TEXTS)
+    for r in mapped:
+        assert r["tags"] == ({"z": r["doc_id"], "a": None} if r["doc_id"] % 3 else None)
 
 
 def test_shards_of_a_repeated_key(spark, monkeypatch):
