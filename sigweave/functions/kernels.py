@@ -84,6 +84,49 @@ def fourier_resample(x: np.ndarray, n: int) -> np.ndarray:
     return np.fft.irfft(out, n, axis=1) * (n / old)
 
 
+class ChirpGrid:
+    """A transform of any ``period``, from values at 0 to ``have`` - 1 to bins 0 to ``want`` - 1, as a convolution with a
+    chirp over a grid of n1 rows and n2 columns; column blocks are ``broad`` and row blocks ``tall``."""
+
+    def __init__(self, period: int, have: int, want: int, chunk: int):
+        bits = max(1, (have + want - 2).bit_length())
+        self.period, self.have, self.want = period, have, want
+        self.n1, self.n2 = 1 << bits // 2, 1 << bits - bits // 2
+        self.broad, self.tall = min(self.n2, max(1, chunk // self.n1)), min(self.n1, max(1, chunk // self.n2))
+
+    def chirp(self, q: np.ndarray) -> np.ndarray:
+        """exp(i pi q^2 / period); q^2 is reduced as an integer, so large places lose nothing."""
+        q = q % (2 * self.period)
+        square = q * q if self.period < 1 << 30 else np.array([int(v) ** 2 % (2 * self.period) for v in q.ravel()]).reshape(q.shape)
+        return np.exp(1j * np.pi / self.period * (square % (2 * self.period)))
+
+    def places(self, block: int) -> np.ndarray:
+        return np.arange(self.n1)[:, None] * self.n2 + np.arange(block * self.broad, (block + 1) * self.broad)
+
+    def turn(self, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+        return np.exp(-2j * np.pi / (self.n1 * self.n2) * (rows[:, None] * cols))
+
+    def columns(self, block: int, at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The block's columns of the values and of the chirp, transformed along the columns and turned."""
+        a = np.zeros((self.n1, self.broad), complex)
+        a[at // self.n2, at % self.n2 - block * self.broad] = values * self.chirp(at).conj()
+        q, m = self.places(block), self.n1 * self.n2
+        b = np.where((q < self.want) | (q > m - self.have), self.chirp(np.where(q < self.want, q, m - q)), 0)
+        turn = self.turn(np.arange(self.n1), np.arange(block * self.broad, (block + 1) * self.broad))
+        return np.fft.fft(a, axis=0) * turn, np.fft.fft(b, axis=0) * turn
+
+    def lines(self, block: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The block's rows of the product, transformed back along the rows and turned back."""
+        turn = self.turn(np.arange(block * self.tall, (block + 1) * self.tall), np.arange(self.n2))
+        return np.fft.ifft(np.fft.fft(a, axis=1) * np.fft.fft(b, axis=1), axis=1) * turn.conj()
+
+    def ends(self, block: int, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bins of the block's columns and their values."""
+        q = self.places(block)
+        kept = q < self.want
+        return q[kept], np.fft.ifft(c, axis=0)[kept] * self.chirp(q[kept]).conj()
+
+
 def fir_taps(fs: float, low: float | None, high: float | None, stop: bool = False) -> np.ndarray:
     """Odd Hamming-windowed sinc taps; transitions of a quarter of the edge, at least 2 Hz and at most the edge."""
     nyquist = fs / 2

@@ -377,10 +377,25 @@ def w6(spark, d):
     return r6(clean.downsample(src.event_samples(spark, d).withColumnRenamed("kind", "label"), 86_400.0), "value")
 
 
-@query("w7_resample")
+RATE = 1 / 172_800
+
+
+@query("w7_resample", f"""WITH {S}, c AS (SELECT recording_id, count(*) AS old, greatest(1, CAST(floor((max(t) - min(t)) * {RATE!r}::DOUBLE) AS BIGINT)) AS new FROM s GROUP BY 1),
+k AS (SELECT recording_id, old, new, unnest(generate_series(0, least(old, new) // 2)) AS k FROM c),
+x AS (SELECT k.recording_id, k, any_value(old) AS old, any_value(new) AS new, sum(value * cos(2 * pi() * ((k * sample_idx) % old) / old)) AS re, -sum(value * sin(2 * pi() * ((k * sample_idx) % old) / old)) AS im FROM k JOIN s USING (recording_id) GROUP BY 1, 2),
+w AS (SELECT *, CASE WHEN k = 0 THEN 1 WHEN 2 * k = least(old, new) THEN CASE WHEN new < old THEN 2 ELSE 1 END ELSE 2 END AS weight FROM x),
+y AS (SELECT *, unnest(generate_series(0, new - 1)) AS j FROM w)
+SELECT recording_id, 'v' AS channel, j AS sample_idx, round(sum(weight * (re * cos(2 * pi() * ((k * j) % new) / new) - im * sin(2 * pi() * ((k * j) % new) / new))) / any_value(old) + 1e-9, 6) AS value FROM y GROUP BY recording_id, j""")
 def w7(spark, d):
     long = _indexed(spark, d).select("recording_id", F.lit("v").alias("channel"), "sample_idx", "t", "value")
-    return r6(clean.resample(long, 1 / 172_800), "value")
+    return clean.resample(long, RATE).withColumn("value", F.round(F.col("value") + 1e-9, 6))
+
+
+@query("w7_resample_chunked", ORACLE["w7_resample"])
+def w7_chunked(spark, d):
+    """The same in chunks shorter than the recordings, so that these are transformed over a grid."""
+    long = _indexed(spark, d).select("recording_id", F.lit("v").alias("channel"), "sample_idx", "t", "value")
+    return clean.resample(long, RATE, chunk=16).withColumn("value", F.round(F.col("value") + 1e-9, 6))
 
 
 @query("w8_transitions", f"WITH {S}, g AS (SELECT *, lag(kind) OVER (PARTITION BY recording_id ORDER BY t, kind) AS before FROM s) SELECT recording_id, before, kind, count(*) AS n FROM g WHERE before <> kind GROUP BY 1, 2, 3")

@@ -137,18 +137,89 @@ def downsample(samples: DataFrame, bin_seconds: float) -> DataFrame:
     return bins.withColumn("label", F.last("label", ignorenulls=True).over(w))
 
 
-def resample(samples: DataFrame, points_per_second: float) -> DataFrame:
-    """Fourier resampling of each channel (recording_id, channel, sample_idx, t, value) to the given rate.
-    A whole channel is held by one task: at 1 kHz an hour is 29 MB."""
-    schema = "recording_id long, channel string, sample_idx long, value double"
+def resample(samples: DataFrame, points_per_second: float, chunk: int | None = None) -> DataFrame:
+    """Fourier resampling of each channel (recording_id, channel, sample_idx, t, value; indices from 0 without gaps) to the
+    given rate: recording_id, channel, sample_idx, value. The spectrum is cut or padded, its middle bin halved or doubled.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sample_idx")
-        n = int((pdf["t"].iloc[-1] - pdf["t"].iloc[0]) * points_per_second)
-        y = kernels.fourier_resample(pdf["value"].to_numpy()[None, :], max(n, 1))[0]
+    A channel of at most ``chunk`` samples before and after is transformed whole by a task. Longer ones go twice through
+    ``transformed``, there to the kept bins and back to the new samples, where no task holds more than about ``chunk``
+    of them; the results agree. A value that is null or not a number makes its channel's values null."""
+    size = chunk or windows.CHUNK
+    keys = ["recording_id", "channel"]
+    ends = samples.groupBy(*keys).agg(F.count("*").alias("old"), F.min("t").alias("t0"), F.max("t").alias("t1"))
+    new = F.greatest(F.lit(1).cast("long"), ((F.col("t1") - F.col("t0")) * points_per_second).cast("long"))
+    ends = ends.select(*keys, "old", new.alias("new"))
+    rows = samples.select(*keys, "sample_idx", "value").join(ends, keys)
+    short = (F.col("old") <= size) & (F.col("new") <= size)
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.sort_values("sample_idx")["value"].to_numpy(float)
+        y = kernels.fourier_resample(x[None, :], int(pdf["new"].iloc[0]))[0]
         return pd.DataFrame({"recording_id": pdf["recording_id"].iloc[0], "channel": pdf["channel"].iloc[0], "sample_idx": range(len(y)), "value": y})
 
-    return samples.groupBy("recording_id", "channel").applyInPandas(run, schema)
+    at_once = rows.filter(short).groupBy(*keys).applyInPandas(whole, "recording_id long, channel string, sample_idx long, value double")
+    bins = F.expr("least(old, new) div 2 + 1")
+    shape = lambda period, have, want: [F.col("old"), F.col("new"), period.alias("period"), have.alias("have"), want.alias("want")]
+    there = rows.filter(~short).select(*keys, F.col("sample_idx").alias("at"), F.col("value").cast("double").alias("re"), F.lit(0.0).alias("im"), *shape(F.col("old"), F.col("old"), bins))
+    long = ends.filter(~short).select(*keys, *shape(F.col("old"), F.col("old"), bins))
+    kept = transformed(there, long, size)
+    # A bin stands for itself and its mirror image, but for the first and, of an even number, the middle one.
+    weight = F.when(F.col("at") == 0, 1).when(2 * F.col("at") == F.least("old", "new"), F.when(F.col("new") < F.col("old"), 2).otherwise(1)).otherwise(2)
+    back = kept.select(*keys, "at", (F.col("re") * weight).alias("re"), (-F.col("im") * weight).alias("im"), *shape(F.col("new"), bins, F.col("new")))
+    made = transformed(back, ends.filter(~short).select(*keys, *shape(F.col("new"), bins, F.col("new"))), size).select(*keys, F.col("at").alias("sample_idx"), (F.col("re") / F.col("old")).alias("value"))
+    return at_once.unionByName(made)
+
+
+def transformed(rows: DataFrame, channels: DataFrame, chunk: int) -> DataFrame:
+    """Discrete Fourier transforms of any ``period``: ``rows`` (recording_id, channel, at, re, im and the columns of ``channels``)
+    hold a channel's values at 0 to ``have`` - 1, those returned its bins 0 to ``want`` - 1. ``channels`` (recording_id,
+    channel, period, have, want, old, new) has one row each.
+
+    It is a convolution with a chirp, of a power of two that is set up as a matrix: blocks of columns are transformed and
+    turned, then blocks of rows, multiplied and transformed back, then blocks of columns again. Between these, tiles
+    travel. A block is of at most ``chunk`` values, or of one column or row where these are longer."""
+    keys, shape = ["recording_id", "channel"], ["old", "new", "period", "have", "want"]
+    chunk = 1 << (chunk.bit_length() - 1)
+    carried = "recording_id long, channel string, old long, new long, period long, have long, want long"
+    tile = f"{carried}, block long, part long, tile binary, chirp binary"
+    bits = F.length(F.bin(F.col("have") + F.col("want") - 2))
+    # The grid is of 2^(bits div 2) rows and 2^(bits - bits div 2) columns, as in ``kernels.ChirpGrid``.
+    wide = F.expr("shiftleft(1L, bits - bits div 2)")
+    broad = F.least(wide, F.greatest(F.lit(1).cast("long"), F.expr(f"{chunk}L div shiftleft(1L, bits div 2)")))
+    sized = lambda df: df.withColumn("bits", bits).withColumn("wide", wide).withColumn("broad", broad)
+    dealt = sized(rows).withColumn("block", F.expr("(at % wide) div broad")).select(*keys, *shape, "block", "at", "re", "im")
+    # Every block has a row, so that columns without values bring their part of the chirp.
+    nothing = F.lit(None)
+    every = sized(channels).withColumn("block", F.explode(F.expr("sequence(0L, wide div broad - 1)")))
+    every = every.select(*keys, *shape, "block", nothing.cast("long").alias("at"), nothing.cast("double").alias("re"), nothing.cast("double").alias("im"))
+
+    def grid_of(pdf: pd.DataFrame) -> tuple[kernels.ChirpGrid, int, dict]:
+        row = pdf.iloc[0]
+        return kernels.ChirpGrid(int(row["period"]), int(row["have"]), int(row["want"]), chunk), int(row["block"]), {c: row[c] for c in (*keys, *shape)}
+
+    def columns(pdf: pd.DataFrame) -> pd.DataFrame:
+        grid, block, held = grid_of(pdf)
+        known = pdf[pdf["at"].notna()]
+        a, b = grid.columns(block, known["at"].to_numpy(np.int64), known["re"].to_numpy(float) + 1j * known["im"].to_numpy(float))
+        cuts = range(0, grid.n1, grid.tall)
+        return pd.DataFrame([{**held, "block": i // grid.tall, "part": block, "tile": a[i : i + grid.tall].tobytes(), "chirp": b[i : i + grid.tall].tobytes()} for i in cuts])
+
+    def lines(pdf: pd.DataFrame) -> pd.DataFrame:
+        grid, block, held = grid_of(pdf)
+        pdf = pdf.sort_values("part")
+        a, b = (np.hstack([np.frombuffer(x, complex).reshape(grid.tall, grid.broad) for x in pdf[c]]) for c in ("tile", "chirp"))
+        c = grid.lines(block, a, b)
+        cuts = range(0, grid.n2, grid.broad)
+        return pd.DataFrame([{**held, "block": j // grid.broad, "part": block, "tile": c[:, j : j + grid.broad].tobytes(), "chirp": None} for j in cuts])
+
+    def ends(pdf: pd.DataFrame) -> pd.DataFrame:
+        grid, block, held = grid_of(pdf)
+        at, y = grid.ends(block, np.vstack([np.frombuffer(x, complex).reshape(grid.tall, grid.broad) for x in pdf.sort_values("part")["tile"]]))
+        return pd.DataFrame({**{c: pd.Series([v] * len(at), dtype=object) for c, v in held.items()}, "at": at, "re": y.real, "im": y.imag})
+
+    turned = dealt.unionByName(every).groupBy(*keys, "block").applyInPandas(columns, tile)
+    through = turned.groupBy(*keys, "block").applyInPandas(lines, tile)
+    return through.groupBy(*keys, "block").applyInPandas(ends, f"{carried}, at long, re double, im double")
 
 
 def fir_filter(samples: DataFrame, taps, chunk: int = 65_536) -> DataFrame:

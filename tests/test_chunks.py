@@ -115,3 +115,36 @@ def test_psd_calibration(spark):
     power = psd[:, (freqs >= 1) & (freqs <= 15)].mean(axis=1)
     for i, c in enumerate("ab"):
         assert got[c]["mean"] == pytest.approx(power[i::2].mean()) and got[c]["threshold"] == pytest.approx(power[i::2].mean() + 4 * power[i::2].std())
+
+
+@pytest.mark.parametrize("chunk", [4, 16, 64, 1 << 16])
+def test_resampling_over_chunks(spark, chunk):
+    sizes = (1, 2, 7, 30, 64, 211)
+    rows = signals(spark, sizes).withColumn("channel", F.lit("v")).withColumn("t", F.col("sample_idx").cast("double"))
+    kept = {r: [] for r in range(len(sizes))}
+    for r in rows.orderBy("recording_id", "sample_idx").collect():
+        kept[r["recording_id"]].append(r["value"])
+    for rate in (0.1, 0.5, 1.0, 1.3, 3.0):
+        found = {(r["recording_id"], r["sample_idx"]): r["value"] for r in clean.resample(rows, rate, chunk).collect()}
+        want = {}
+        for k, x in kept.items():
+            n = max(1, int((len(x) - 1) * rate))
+            want |= {(k, j): v for j, v in enumerate(kernels.fourier_resample(np.array(x)[None, :], n)[0])}
+        assert found.keys() == want.keys()
+        assert all(abs(found[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_chirp_grid_equals_the_transform_at_large_places():
+    rng = np.random.default_rng(1)
+    for period, chunk in ((40_009, 1 << 10), (65_537, 1 << 8)):
+        x = rng.standard_normal(period)
+        grid = kernels.ChirpGrid(period, period, period // 2 + 1, chunk)
+        at = np.arange(period)
+        cols = [grid.columns(b, at[(s := at % grid.n2 // grid.broad == b)], x[s]) for b in range(grid.n2 // grid.broad)]
+        a, b = (np.hstack([c[i] for c in cols]) for i in (0, 1))
+        c = np.vstack([grid.lines(i, a[i * grid.tall : (i + 1) * grid.tall], b[i * grid.tall : (i + 1) * grid.tall]) for i in range(grid.n1 // grid.tall)])
+        out = np.empty(grid.want, complex)
+        for i in range(grid.n2 // grid.broad):
+            q, y = grid.ends(i, c[:, i * grid.broad : (i + 1) * grid.broad])
+            out[q] = y
+        assert np.abs(out - np.fft.rfft(x)).max() < 1e-9 * period
