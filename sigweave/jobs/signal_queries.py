@@ -473,7 +473,19 @@ def _tf(spark, d):
     return features.time_frequency(_task_means(spark, d), 64, range(1, 31), ((1, 4), (4, 8), (8, 12), (12, 30)))
 
 
-@query("f10_time_frequency")
+#: Taper of l = 0 to 31 samples with its norm, at a place 16 samples after the value it is centred on.
+TF = f"""{X}, c AS (SELECT CAST(label AS VARCHAR) AS task, @channel@ AS channel, @i@ AS i, avg(value) AS v FROM x GROUP BY 1, 2, 3),
+w AS (SELECT f, tap, l, sin(pi() * tap * (l + 1) / 33) / sqrt(16.5) AS a, 2 * pi() * f * (l - 16) / 64 AS angle FROM generate_series(1, 29) f(f), generate_series(1, 3) t(tap), generate_series(0, 31) l(l)),
+z AS (SELECT task, channel, f, tap, i + l - 16 AS spot, sum(v * a * cos(angle)) AS re, sum(v * a * sin(angle)) AS im FROM c, w WHERE i + l - 16 BETWEEN 0 AND @last@ GROUP BY 1, 2, 3, 4, 5),
+tf AS (SELECT task, channel, CAST(CASE WHEN f < 4 THEN 0 WHEN f < 8 THEN 1 WHEN f < 12 THEN 2 ELSE 3 END AS INT) AS band, CAST(spot // 12 AS INT) AS time_bin, sum(re * re + im * im) / 3 / count(DISTINCT f) / 12 AS power FROM z GROUP BY 1, 2, 3, 4)"""
+
+
+def tf_sql(channels: int) -> str:
+    n = 64 // channels
+    return TF.replace("@channel@", f"'c' || (rel_idx // {n})").replace("@i@", f"rel_idx % {n}").replace("@last@", str(n // 12 * 12 - 1))
+
+
+@query("f10_time_frequency", f"WITH {tf_sql(1)} SELECT task, channel, band, time_bin, round(power, 6) AS power FROM tf")
 def f10(spark, d):
     return r6(_tf(spark, d), "power")
 
@@ -494,6 +506,17 @@ def f12(spark, d):
     return features.feature_frame(power, corr, mstd).withColumn("values", F.transform("values", lambda v: F.round(v, 6)))
 
 
+@query("f12_feature_values", f"""WITH {tf_sql(1)}, h AS (SELECT CAST(label AS VARCHAR) AS task, 'c' || (rel_idx // 16) AS channel, rel_idx % 16 AS i, avg(value) AS v FROM x GROUP BY 1, 2, 3),
+g AS (SELECT task, channel, i // 4 AS segment, avg(v) AS mean, stddev_pop(v) AS std FROM h GROUP BY 1, 2, 3),
+o AS (SELECT 'freq' AS section, channel AS item, task, band * (SELECT max(time_bin) + 1 FROM tf) + time_bin AS place, power AS value FROM tf
+UNION ALL SELECT 'corr', p.channel || '-' || q.channel, p.task, 0, corr(p.v, q.v) FROM h p JOIN h q ON p.task = q.task AND p.i = q.i AND p.channel < q.channel GROUP BY p.task, p.channel, q.channel
+UNION ALL SELECT 'mstd', channel, task, segment, mean FROM g UNION ALL SELECT 'mstd', channel, task, 4 + segment, std FROM g)
+SELECT section, item, task, CAST(place AS INT) AS place, round(value, 6) AS value FROM o""")
+def f12_values(spark, d):
+    """The values of ``f12_feature_frame``, a row each."""
+    return f12(spark, d).select("section", "item", "task", F.posexplode("values").alias("place", "value"))
+
+
 @query("c1_fir_small", f"WITH {L}, u AS (SELECT recording_id, channel, sample_idx, CAST(v AS DOUBLE) AS v, max(sample_idx) OVER (PARTITION BY recording_id) AS top FROM l UNPIVOT (v FOR channel IN (quantity, extendedprice, discount, tax))), f AS (SELECT recording_id, channel, sample_idx, top, 0.25 * lag(v) OVER w + 0.5 * v + 0.25 * lead(v) OVER w AS value FROM u WINDOW w AS (PARTITION BY recording_id, channel ORDER BY sample_idx)) SELECT recording_id, channel, sample_idx, round(value, 6) AS value FROM f WHERE sample_idx BETWEEN 1 AND top - 1")
 def c1_small(spark, d):
     long = _supplier_long(spark, d)
