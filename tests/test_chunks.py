@@ -148,3 +148,13 @@ def test_chirp_grid_equals_the_transform_at_large_places():
             q, y = grid.ends(i, c[:, i * grid.broad : (i + 1) * grid.broad])
             out[q] = y
         assert np.abs(out - np.fft.rfft(x)).max() < 1e-9 * period
+
+
+def test_resampling_nulls_and_empty_tables(spark):
+    rows = signals(spark, (20, 20)).withColumn("channel", F.lit("v")).withColumn("t", F.col("sample_idx").cast("double"))
+    holed = rows.withColumn("value", F.when((F.col("recording_id") == 0) | (F.col("sample_idx") != 3), F.col("value")))
+    for chunk in (4, 64):
+        found = clean.resample(holed, 0.5, chunk).collect()
+        assert len(found) == 18
+        assert all((r["value"] is None) == (r["recording_id"] == 1) for r in found)
+        assert clean.resample(rows.limit(0), 0.5, chunk).count() == 0
