@@ -2,9 +2,9 @@
 
 The model is a 4-gram model over UTF-8 bytes, so that scripts stay apart, with white space levelled
 and with a word that repeats the one before it written as a repeat mark (another one from the third
-time on), which weighs as many symbols as it stands for. It is trained on a bounded, seeded sample
-of documents labelled good; counts, continuation counts, discounts and back-offs are Spark
-aggregates and joins sharded by n-gram. Perplexities of all documents come from two exact parts:
+time on), which weighs as many symbols as it stands for. Of all documents labelled good, one half (by a
+seeded hash of doc_id) trains it and the other gives the thresholds; counts, continuation counts, discounts
+and back-offs are Spark aggregates and joins sharded by n-gram. Perplexities of all documents come from two exact parts:
 a fixed-size table of frequent n-grams, which every task holds, and a join of all other n-grams
 with the model, by n-gram. A document goes if its perplexity is above a quantile, for its
 language, of trusted documents that the model has not seen.
@@ -29,8 +29,6 @@ from pyspark.sql import functions as F
 from .common import free_name, materialize, small
 
 ORDER = 4
-#: At most so many labelled documents, half of them for training and half for the quantiles.
-TRUSTED_DOCS = 20_000
 QUANTILE = 0.995
 #: Pseudo-symbols of the language's mean that steady short texts.
 PRIOR = 60
@@ -174,14 +172,14 @@ def head_table(model: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return keys, values
 
 
-SCORED = "rid long, doc_id long, lang string, digest long, sample int, n long, head double, tail_keys array<long>, tail_counts array<int>"
+SCORED = "rid long, doc_id long, lang string, digest long, n long, head double, tail_keys array<long>, tail_counts array<int>"
 
 
 def _score(batches: Iterator[pa.RecordBatch], table) -> Iterator[pa.RecordBatch]:
     keys_at, values_at = table.value
     rid = TaskContext.get().partitionId() << 36
     for batch in batches:
-        for first, texts in _pieces(batch, 4):
+        for first, texts in _pieces(batch, 3):
             sym, sizes, weight = symbols(texts)
             keys, n = grams(sym, sizes)
             weight = weight[3:][np.repeat(np.arange(len(n)), n) * 3 + np.arange(len(keys))]  # of each gram's last symbol
@@ -197,31 +195,29 @@ def _score(batches: Iterator[pa.RecordBatch], table) -> Iterator[pa.RecordBatch]
             offsets = np.searchsorted(pairs >> 32, np.arange(len(texts) + 1)).astype(np.int32)
             part = batch.slice(first, len(texts))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(rid, rid + len(texts))), part.column(0), part.column(1), part.column(2), part.column(3), pa.array(n), pa.array(sums),
+                [pa.array(np.arange(rid, rid + len(texts))), part.column(0), part.column(1), part.column(2), pa.array(n), pa.array(sums),
                  pa.ListArray.from_arrays(pa.array(offsets), pa.array(pairs & 0xFFFFFFFF)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(counts.astype(np.int32)))],
                 names=[f.split()[0] for f in SCORED.split(", ")],
             )
             rid += len(texts)
 
 
-def judge(docs: DataFrame, labels: DataFrame, trusted_docs: int = TRUSTED_DOCS, quantile: float = QUANTILE) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """doc_id, lang, digest (of the text), n_chars (as modelled), perplexity, threshold, keep: a row for each of ``docs``."""
     spark = docs.sparkSession
-    good = labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    order = F.xxhash64(F.lit(11), "doc_id")
-    # Even ones train, odd ones calibrate; a bounded number of rows, so they may be broadcast.
-    sample = good.orderBy(order, "doc_id").limit(trusted_docs).select("doc_id", F.pmod(F.xxhash64(F.lit(12), "doc_id"), F.lit(2)).cast("int").alias("sample"))
-    sample = materialize(sample, "trusted")
+    good = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    # Even ones train, odd ones calibrate.
+    trusted = materialize(good.select("doc_id", F.pmod(F.xxhash64(F.lit(12), "doc_id"), F.lit(2)).cast("int").alias("sample")), "trusted")
+    trusted = small(trusted, trusted.count())
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.xxhash64("text").alias("digest"), "text")
-    rows = rows.join(F.broadcast(sample), "doc_id", "left").select("doc_id", "lang", "digest", "sample", "text")
-    model = train(rows.filter("sample = 0"))
+    model = train(rows.join(trusted.filter("sample = 0"), "doc_id", "left_semi"))
     held = spark.sparkContext.broadcast(head_table(model))
     scored = materialize(rows.mapInArrow(lambda it: _score(it, held), SCORED), "kn-scored")
     tail = scored.select("rid", F.explode(F.arrays_zip("tail_keys", "tail_counts")).alias("t")).select("rid", F.col("t.tail_keys").alias("key"), F.col("t.tail_counts").alias("times"))
     solved = materialize(resolve(tail.select("key").distinct(), model), "kn-tail")
     tails = tail.join(small(solved, solved.count()), "key").groupBy("rid").agg(F.sum(F.col("times") * F.col("logp")).alias("tail"))
     total = scored.drop("tail_keys", "tail_counts").join(tails, "rid", "left").withColumn("nll", -(F.col("head") + F.coalesce("tail", F.lit(0.0)))).drop("head", "tail")
-    total = materialize(total, "kn-total")
+    total = materialize(total.join(trusted, "doc_id", "left"), "kn-total")  # texts don't travel to their labels
 
     # Quantiles by language, of trusted documents that the model has not seen.
     calm = total.filter("sample = 1 and n > 1")

@@ -552,6 +552,24 @@ def test_quality_keeps_clean(spark):
     assert quality_kn.op7_kneser_ney(docs.limit(0), labels).count() == 0
 
 
+def test_all_trusted_documents_count(spark):
+    """Every document labelled good trains the model or gives thresholds, above any number that was once enough."""
+    n = 20_400
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    half = {r[0]: r[1] for r in labels.select("doc_id", F.pmod(F.xxhash64(F.lit(12), "doc_id"), F.lit(2))).collect()}
+    seen, real = [], quality_kn.train
+
+    def watched(texts):
+        seen.append({r["text"] for r in texts.select("text").collect()})
+        return real(texts)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(quality_kn, "train", watched)
+        rows = quality_kn.op7_kneser_ney(docs, labels).collect()
+    assert len(rows) == n and seen == [{f"w{i}" for i in range(n) if half[i] == 0}]
+
+
 def test_attention_gradients():
     m = attention_lm.Attention(np.zeros(attention_lm.CLASSES, np.float32))
     m.p = {k: v.astype(np.float64) for k, v in m.p.items()}
