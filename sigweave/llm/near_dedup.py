@@ -4,9 +4,10 @@ Shingles of five words weigh ``tf * idf``, idf falling from 2 (rare) to 1 (in al
 Document frequencies are counted over all documents in ``DF_BUCKETS`` hashed counters, less the
 noise expected in each, so the table has a fixed size. Improved consistent weighted sampling
 (Ioffe 2010) draws ``HASHES`` samples of each text, with its random variates looked up in a pool;
-bands of ``ROWS`` samples put texts into buckets. A bucket's members are compared with its leaders
-by exact weighted Jaccard; rounds with other leaders follow until every pair of a bucket is tested or
-joined, and connected components are the classes. Equal texts are grouped first and enter once.
+bands of ``ROWS`` samples put texts into buckets, whose pairs are compared by exact weighted Jaccard.
+In crowded buckets, leaders come first and join most of the alike; of the other pairs in different
+components those are compared that upper bounds of what they share leave open. So every pair of a bucket
+is tested, ruled out or joined; connected components are the classes. Equal texts are grouped first and enter once.
 
 Nulls: a null text counts as empty; texts without words are grouped only with equal texts.
 Repeated rows get a row each, in one class. Texts count, not doc_ids: different texts of one doc_id
@@ -31,10 +32,15 @@ SIZE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 12, 4
 HASHES = BANDS * ROWS
-#: All pairs of a bucket are taken if there are at most so many for each member.
+#: All pairs of a bucket are taken if there are at most so many for each member; else it is crowded.
 FEW = 32
-#: After so many rounds, large buckets are split by shingles.
-SPLIT = 2
+#: Leaders of a crowded bucket in the first round, with four times as many in each next one, and rounds before
+#: all pairs that are left may be taken.
+LEADERS, ROUNDS = 4, 2
+#: Parts by hash of a text's shingles; their weights bound what two texts share.
+PARTS = 32
+#: What rounding may take from a bound, relative.
+SLACK = 1e-4
 DF_BUCKETS = 1 << 20
 DF_BLOCK = 1 << 14
 LEVELS = 32
@@ -173,6 +179,9 @@ def _signed(batches: Iterator[pa.RecordBatch], levels) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], names=["doc_id", "digest", "bands"])
 
 
+VECTORS = "node long, whole double, ids binary, weights binary"
+
+
 def _vectors(batches: Iterator[pa.RecordBatch], levels) -> Iterator[pa.RecordBatch]:
     table = levels.value
     for part in slices(batches, 1, PIECE_BYTES):
@@ -181,7 +190,7 @@ def _vectors(batches: Iterator[pa.RecordBatch], levels) -> Iterator[pa.RecordBat
         ends = np.cumsum(n).tolist()
         begins = [0, *ends[:-1]]
         yield pa.RecordBatch.from_arrays(
-            [part.column(0), pa.array([ids[a:b].astype("<u8").tobytes() for a, b in zip(begins, ends)], pa.binary()), pa.array([weight[a:b].tobytes() for a, b in zip(begins, ends)], pa.binary())], names=["doc_id", "ids", "weights"]
+            [part.column(0), pa.array([float(weight[a:b].sum()) for a, b in zip(begins, ends)], pa.float64()), pa.array([ids[a:b].astype("<u8").tobytes() for a, b in zip(begins, ends)], pa.binary()), pa.array([weight[a:b].tobytes() for a, b in zip(begins, ends)], pa.binary())], names=[f.split()[0] for f in VECTORS.split(", ")]
         )
 
 
@@ -255,59 +264,63 @@ def joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     return materialize(followed(labels, up).unionByName(fresh.select("node", "label")), "labels")
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch], levels, threshold: float) -> Iterator[pa.RecordBatch]:
-    """Each text's rarest shingles, up to 1 - ``threshold`` of its weight and one more.
-
-    Texts as similar as ``threshold`` share at least that part of either's weight, so the first shingle
-    that they share, in any order common to all texts, is among these of both.
-    """
-    table = levels.value
-    for part in slices(batches, 1, PIECE_BYTES):
-        ids, tf, n = profile(part.column(1))
-        level = table[bucket_of(ids)]
-        weight = tf * level_weight(level.astype(np.float64))
-        owner = np.repeat(np.arange(len(n)), n)
-        order = np.lexsort((ids * np.uint64(0x9E3779B97F4A7C15), LEVELS - level.astype(np.int64), owner))
-        weight, ids = weight[order], ids[order]
-        total = np.bincount(owner, weights=weight, minlength=len(n))
-        before = np.cumsum(weight) - weight - np.repeat(np.cumsum(total) - total, n)
-        kept = before <= (1 - threshold + 1e-4) * total[owner]
-        offsets = np.concatenate([[0], np.cumsum(np.bincount(owner[kept], minlength=len(n)))]).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids[kept].view(np.int64)))], names=["node", "shingles"])
-
-
-def _active(members: DataFrame, labels: DataFrame | None, leaders: int) -> DataFrame:
-    """Members of the buckets that hold several components, with their label, their place h in [0, 1), and up
-    to which place (cut) the bucket's members are leaders: about ``leaders``, or all where that makes few pairs."""
-    place = ((F.xxhash64(F.lit(4), "node").bitwiseAND(F.lit((1 << 52) - 1))) / F.lit(float(1 << 52))).alias("h")
-    if labels is None:
-        members = members.select("band", "value", "node", F.col("node").alias("label"), place)
-        stats = members.groupBy("band", "value").agg(F.count("*").alias("m"), F.min("h").alias("low")).filter("m > 1").withColumn("pairs", F.col("m") * (F.col("m") - 1) / 2)
-        few = F.col("m") <= 3
-    else:
-        members = members.join(labels, "node", "left").select("band", "value", "node", F.coalesce("label", "node").alias("label"), place)
-        alike = members.groupBy("band", "value", "label").agg(F.count("*").alias("n"), F.min("h").alias("low"))
-        stats = alike.groupBy("band", "value").agg(F.sum("n").alias("m"), F.sum(F.col("n").cast("double") * F.col("n")).alias("square"), F.min("low").alias("low"), F.count("*").alias("labels")).filter("labels > 1")
-        stats = stats.withColumn("pairs", (F.col("m").cast("double") * F.col("m") - F.col("square")) / 2)
-        few = F.col("pairs") <= FEW * F.col("m")
-    cut = F.when(few, 1.0).otherwise(F.greatest("low", F.lit(float(leaders)) / F.col("m")))
-    return members.join(stats.select("band", "value", cut.alias("cut")), ["band", "value"])
-
-
-def _pairs(active: DataFrame) -> DataFrame:
-    """Distinct pairs of a bucket's member and a leader of it that are in different components so far."""
-    leaders = active.filter("h <= cut").select("band", "value", F.col("node").alias("b"), F.col("label").alias("b_label"), F.col("h").alias("b_h"))
-    met = active.join(leaders, ["band", "value"]).filter("label <> b_label and (h > cut or h < b_h or (h = b_h and node < b))")
-    return met.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle of each vector, with its part and its weight."""
+    for batch in batches:
+        for node, ids, weights in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            at = np.frombuffer(ids, "<u8")
+            part = (at * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PARTS.bit_length() + 1)
+            columns = [pa.array(np.full(len(at), node)), pa.array(at.view(np.int64)), pa.array(part.astype(np.int32)), pa.array(np.frombuffer(weights, "<f4"))]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "shingle", "part", "weight"])
+
+
+def bounds(vectors: DataFrame, threshold: float) -> DataFrame:
+    """node, whole (weight), cap, parts, h: the weight, in all and by part, of those shingles that other ``vectors`` have
+    too, and the rest's share. A text with too little of it is like no other and has no row."""
+    entries = materialize(vectors.select("node", "ids", "weights").mapInArrow(_entries, "node long, shingle long, part int, weight float"), "entries")
+    common = entries.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1").select("shingle")
+    by_part = entries.join(common, "shingle").groupBy("node", "part").agg(F.sum("weight").alias("weight"))
+    held = by_part.groupBy("node").agg(F.sum("weight").alias("cap"), F.map_from_entries(F.collect_list(F.struct("part", "weight"))).alias("of"))
+    parts = F.array(*[F.coalesce(F.col("of")[F.lit(k)], F.lit(0.0)) for k in range(PARTS)]).alias("parts")
+    found = held.join(vectors.select("node", "whole"), "node").filter(F.col("cap") >= (threshold - SLACK) * F.col("whole"))
+    return materialize(found.select("node", "whole", "cap", parts, (1 - F.col("cap") / F.col("whole")).alias("h")), "bounds")
+
+
+def _open(threshold: float) -> F.Column:
+    """Whether two texts may be as similar as ``threshold``. They share s of their weights v and w, where s / (v + w - s)
+    is the similarity, and no more of a part, or in all, than either has in common with any others."""
+    least = (threshold / (1 + threshold) - SLACK) * (F.col("whole") + F.col("b_whole"))
+    shared = F.aggregate(F.zip_with("parts", "b_parts", lambda x, y: F.least(x, y)), F.lit(0.0), lambda x, y: x + y)
+    return (F.least("cap", "b_cap") >= least) & (shared >= least)
+
+
+def _crowd(members: DataFrame, labels: DataFrame | None, leaders: int) -> DataFrame:
+    """Members of the crowded buckets that hold several components, with their label and whether they lead: in each of
+    a bucket's ``leaders`` lots the one with the most in common with others."""
+    label = F.col("node").alias("label") if labels is None else F.coalesce("label", "node").alias("label")
+    met = members if labels is None else members.drop("label").join(labels, "node", "left")
+    lot = F.pmod(F.xxhash64(F.lit(4), "node"), F.lit(leaders)).alias("lot")
+    met = met.select("band", "value", "node", "whole", "cap", "parts", "h", label, lot)
+    mixed = met.groupBy("band", "value").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("band", "value")
+    met = met.join(mixed, ["band", "value"], "left_semi")
+    first = met.groupBy("band", "value", "lot").agg(F.min(F.struct("h", "node")).alias("f")).select("band", "value", F.col("f.node").alias("node"), F.lit(True).alias("lead"))
+    met = met.join(first, ["band", "value", "node"], "left").withColumn("lead", F.coalesce("lead", F.lit(False)))
+    return materialize(met.drop("lot"), "crowd")
+
+
+def _pairs(members: DataFrame, others: DataFrame, condition) -> DataFrame:
+    """Distinct pairs of a bucket's ``members`` and ``others`` that meet ``condition``."""
+    others = others.select("band", "value", *(F.col(c).alias(f"b_{c}") for c in others.columns if c not in ("band", "value")))
+    met = members.join(others, ["band", "value"]).filter(condition)
+    return met.select(F.least("node", "b_node").alias("a"), F.greatest("node", "b_node").alias("b")).distinct()
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """Each row's doc_id and digest; and each distinct text's digest and doc_id (its least), with its class's
     least doc_id (class_id) and the digest of the text that stands for the class (rep).
 
-    A bucket's leaders meet all its members and are done with it; that goes on, with twice as many
-    leaders each time, until no bucket holds an untested pair in different components. What large
-    buckets still hold after ``SPLIT`` rounds goes on in groups that share a shingle of their prefixes.
+    A crowded bucket's leaders meet all its members and are done with it; that goes on, with four times as many
+    leaders each time, until what is left open between different components is little enough to be taken at once.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
@@ -328,38 +341,51 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, D
         return met.select("node", "text").dropDuplicates(["node"])
 
     members = texts.select("node", F.posexplode("bands").alias("band", "value"))
-    labels, tested, turn = None, None, 0
-    while True:
-        active = materialize(_active(members, labels, 1 << turn), "members")
-        if turn == SPLIT:
-            large = active.filter("cut < 1").select("node").distinct()
-            large = materialize(large, "large")
-            if not large.isEmpty():
-                prefixes = texts_of(large).mapInArrow(lambda it: _prefixes(it, levels, threshold), "node long, shingles array<long>")
-                split = materialize(prefixes.select(F.lit(BANDS).alias("band"), F.explode("shingles").alias("value"), "node"), "prefixes")
-                active = active.filter("cut = 1").unionByName(_active(split, labels, 1))
-                active = materialize(active, "members")
-        pairs = _pairs(active)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        members = active.filter("h > cut").select("node", "band", "value")
-        turn += 1
-        if pairs.isEmpty():
-            if members.isEmpty():
-                break
-            continue
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        vectors = materialize(texts_of(wanted).mapInArrow(lambda it: _vectors(it, levels), "node long, ids binary, weights binary"), "vectors")
-        one, two = (vectors.select(F.col("node").alias(k), F.col("ids").alias(f"ids_{k}"), F.col("weights").alias(f"weights_{k}")) for k in "ab")
+    sizes = members.groupBy("band", "value").agg(F.count("*").alias("m")).filter("m > 1")
+    sizes = sizes.select("band", "value", ((F.col("m") > 3) & (F.col("m") - 1 > 2 * FEW)).alias("crowded"))
+    members = materialize(members.join(sizes, ["band", "value"]).select("band", "value", "node", "crowded"), "members")
+    vectors = materialize(texts_of(members.select("node").distinct()).mapInArrow(lambda it: _vectors(it, levels), VECTORS), "vectors")
+    one, two = (vectors.select(F.col("node").alias(k), F.col("ids").alias(f"ids_{k}"), F.col("weights").alias(f"weights_{k}")) for k in "ab")
+
+    def linked(pairs: DataFrame) -> DataFrame:
         compared = pairs.join(one, "a").join(two, "b").select("a", "b", "ids_a", "weights_a", "ids_b", "weights_b").mapInArrow(_compared, "a long, b long, similarity double")
-        found = materialize(compared.filter(F.col("similarity") >= threshold), "links")
+        return materialize(compared.filter(F.col("similarity") >= threshold), "links")
+
+    apart, later = F.col("label") != F.col("b_label"), F.col("node") < F.col("b_node")
+    easy = members.filter("not crowded").select("band", "value", "node")
+    pairs, crowd = materialize(_pairs(easy, easy, later), "pairs"), None
+    found = linked(pairs)
+    labels, tested = None if found.isEmpty() else joined(None, found), pairs
+    crowded = members.filter("crowded").select("band", "value", "node")
+    if not crowded.isEmpty():
+        known = bounds(vectors.join(crowded.select("node").distinct(), "node", "left_semi"), threshold)
+        crowd = crowded.join(known, "node")
+    turn = 0
+    while crowd is not None:
+        crowd = _crowd(crowd, labels, LEADERS * 4**turn)
+        left = crowd.count()
+        if not left:
+            break
+        rest = None
+        if turn >= ROUNDS:
+            rest = materialize(_pairs(crowd, crowd, apart & later & _open(threshold)).join(tested, ["a", "b"], "left_anti"), "pairs")
+            if rest.count() > FEW * left:
+                release(rest)
+                rest = None
+        if rest is None:
+            met = _pairs(crowd, crowd.filter("lead"), apart & (~F.col("lead") | later) & _open(threshold))
+            pairs = materialize(met.join(tested, ["a", "b"], "left_anti"), "pairs")
+        else:
+            pairs = rest
+        found = linked(pairs)
         if not found.isEmpty():
             labels = joined(labels, found)
-        elif labels is None:
-            labels = spark.createDataFrame([], "node long, label long")
-        release(vectors)
+        if rest is not None:
+            break
+        tested = tested.unionByName(pairs)
+        crowd = crowd.filter("not lead")
+        turn += 1
+    release(vectors)
     out = texts.select("digest", "doc_id", "node")
     if labels is None:
         return signed, out.select("digest", "doc_id", F.col("doc_id").alias("class_id"), F.col("digest").alias("rep"))

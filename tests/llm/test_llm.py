@@ -353,6 +353,45 @@ def test_near_duplicates_test_every_pair_of_a_bucket(spark, monkeypatch):
         assert {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(df).collect()} == want
 
 
+def test_crowded_buckets_compare_few_pairs(spark, monkeypatch):
+    """Texts of one template, each with other words replaced, share a bucket: few pairs are compared, no link is lost."""
+    rng, template, texts = np.random.default_rng(8), [f"t{k}" for k in range(150)], []
+    for g in range(240):
+        words = list(template)
+        for k in rng.choice(150, 1 if g % 3 == 0 else 3, replace=False):
+            words[k] = f"own{g}x{k}"
+        texts.append(" ".join(words))
+        if g % 40 == 1:  # alike only to the one before it
+            texts.append(" ".join([*words[:-1], f"last{g}"]))
+    df, compared, real = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), [], near_dedup.materialize
+
+    def one_bucket(batches, levels):
+        for batch in batches:
+            bands = pa.array([[1] for _ in range(batch.num_rows)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), bands], names=["doc_id", "digest", "bands"])
+
+    def counted(df, tag, *more):
+        out = real(df, tag, *more)
+        if tag == "pairs":
+            compared.append(out.count())
+        return out
+
+    levels = near_dedup.idf_levels(df)
+    ids, tf, n = near_dedup.profile(pa.array(texts))
+    weights, ends = (tf * near_dedup.level_weight(levels[near_dedup.bucket_of(ids)].astype(float))).astype("<f4"), np.cumsum(n)
+    of = [(ids[e - k : e], weights[e - k : e]) for e, k in zip(ends, n)]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if root[a] != root[b] and near_dedup.weighted_jaccard(*of[a], *of[b]) >= near_dedup.THRESHOLD:
+                low, high = sorted((root[a], root[b]))
+                root = [low if x == high else x for x in root]
+    monkeypatch.setattr(near_dedup, "_signed", one_bucket)
+    monkeypatch.setattr(near_dedup, "materialize", counted)
+    assert {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(df).collect()} == dict(enumerate(root))
+    assert len(set(root)) < len(texts) - 60 and sum(compared) < 8 * len(texts)
+
+
 def test_consistent_sampling_estimates_weighted_jaccard():
     rng = np.random.default_rng(0)
     ids = np.sort(rng.choice(1 << 44, 400, replace=False).astype(np.uint64))
