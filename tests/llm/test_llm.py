@@ -627,6 +627,31 @@ def test_attention_gradients():
         assert g[name][i] == pytest.approx((up - down) / 2e-5, rel=1e-3, abs=1e-7), name
 
 
+def test_rounds_learn_from_every_window_once(spark, monkeypatch):
+    """All windows of all training texts, and no other, are stepped on, each in one round."""
+    rng = np.random.default_rng(5)
+    docs = spark.createDataFrame([(i, " ".join(f"w{rng.integers(9)}" for _ in range(3 + 31 * i % 400))) for i in range(60)], "doc_id long, text string")
+    corpus = attention_lm.read_corpus(docs, BPE)
+    streams = [b for b in corpus.streams.select("held", "sizes", "klass", "rows").toArrow().to_batches() if b.num_rows]
+    key = lambda x, y: [a.tobytes() + b.tobytes() for a, b in zip(np.ascontiguousarray(x.transpose(1, 0, 2)), y)]
+    want, got, step = Counter(), Counter(), attention_lm.Attention.step
+    for b in streams:
+        for i in range(b.num_rows):
+            want.update(key(*attention_lm.lessons(b, i)[:2]))
+    assert want.total() == sum(-(-(3 + 31 * i % 400 + 1) // attention_lm.STRIDE) for i in range(60) if not attention_lm.is_held_out(i))
+
+    def watched(self, x, target, weight):
+        got.update(key(x, target))
+        return step(self, x, target, weight)
+
+    monkeypatch.setattr(attention_lm.Attention, "step", watched)
+    monkeypatch.setattr(attention_lm.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
+    held = type("Held", (), {"value": (corpus.prior, attention_lm.Attention(corpus.prior).raw())})()
+    for turn in range(attention_lm.ROUNDS):
+        list(attention_lm._trained(iter(streams), held, turn))
+    assert got == want
+
+
 def test_windows_score_each_place_once():
     sizes = np.array([1, 0, 16, 17, 40, 5])
     before, own = attention_lm.windows(sizes)
