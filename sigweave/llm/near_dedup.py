@@ -278,8 +278,9 @@ def bounds(vectors: DataFrame, threshold: float) -> DataFrame:
     """node, whole (weight), cap, parts, h: the weight, in all and by part, of those shingles that other ``vectors`` have
     too, and the rest's share. A text with too little of it is like no other and has no row."""
     entries = materialize(vectors.select("node", "ids", "weights").mapInArrow(_entries, "node long, shingle long, part int, weight float"), "entries")
-    common = entries.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1").select("shingle")
-    by_part = entries.join(common, "shingle").groupBy("node", "part").agg(F.sum("weight").alias("weight"))
+    lone = entries.groupBy("shingle").agg(F.count("*").alias("n"), *(F.min(c).alias(c) for c in ("node", "part", "weight"))).filter("n = 1")
+    signed = entries.select("node", "part", "weight").unionByName(lone.select("node", "part", (-F.col("weight")).alias("weight")))
+    by_part = signed.groupBy("node", "part").agg(F.sum("weight").alias("weight"))
     held = by_part.groupBy("node").agg(F.sum("weight").alias("cap"), F.map_from_entries(F.collect_list(F.struct("part", "weight"))).alias("of"))
     parts = F.array(*[F.coalesce(F.col("of")[F.lit(k)], F.lit(0.0)) for k in range(PARTS)]).alias("parts")
     found = held.join(vectors.select("node", "whole"), "node").filter(F.col("cap") >= (threshold - SLACK) * F.col("whole"))
