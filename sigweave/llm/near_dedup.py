@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +40,8 @@ FEW = 32
 LEADERS, ROUNDS = 4, 2
 #: Parts by hash of a text's shingles; their weights bound what two texts share.
 PARTS = 32
+#: Bits of the table of shingles that several crowded texts have, and shingles that meet in a block, about.
+SHARED_BITS, BLOCK_SHINGLES = 26, 1 << 18
 #: What rounding may take from a bound, relative.
 SLACK = 1e-4
 DF_BUCKETS = 1 << 20
@@ -205,7 +208,7 @@ def weighted_jaccard(ids_a: np.ndarray, w_a: np.ndarray, ids_b: np.ndarray, w_b:
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, 2, PIECE_BYTES):
         sims = []
         for ia, wa, ib, wb in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5))):
             sims.append(weighted_jaccard(np.frombuffer(ia, "<u8"), np.frombuffer(wa, "<f4"), np.frombuffer(ib, "<u8"), np.frombuffer(wb, "<f4")))
@@ -264,27 +267,65 @@ def joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     return materialize(followed(labels, up).unionByName(fresh.select("node", "label")), "labels")
 
 
-def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each shingle of each vector, with its part and its weight."""
+def _mixed(ids: pa.Array) -> np.ndarray:
+    """The shingles of all vectors end to end, mixed one to one: leading bits give part, block and bit."""
+    return np.frombuffer(b"".join(ids.to_pylist()), "<u8") * np.uint64(0x9E3779B97F4A7C15)
+
+
+def _dealt(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """The mixed shingles of some vectors, a row for each of 2 ** ``bits`` blocks."""
+    for part in slices(batches, 0):
+        keys = np.sort(_mixed(part.column(0)))
+        edges = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)).tolist()
+        rows = [(k, keys[a:b].tobytes()) for k, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["block", "keys"])
+
+
+def _shared(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """Of each block, whose rows are all here, the bits of the shingles that more than one vector has."""
+    held: dict[int, list[bytes]] = {}
     for batch in batches:
-        for node, ids, weights in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            at = np.frombuffer(ids, "<u8")
-            part = (at * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PARTS.bit_length() + 1)
-            columns = [pa.array(np.full(len(at), node)), pa.array(at.view(np.int64)), pa.array(part.astype(np.int32)), pa.array(np.frombuffer(weights, "<f4"))]
-            yield pa.RecordBatch.from_arrays(columns, names=["node", "shingle", "part", "weight"])
+        for block, keys in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            held.setdefault(block, []).append(keys)
+    for block, found in held.items():
+        keys = np.sort(np.frombuffer(b"".join(found), "<u8"))
+        flags = np.zeros(1 << SHARED_BITS - bits, bool)
+        flags[(keys[1:][keys[1:] == keys[:-1]] >> np.uint64(64 - SHARED_BITS)) & np.uint64(len(flags) - 1)] = True
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([np.packbits(flags).tobytes()], pa.binary())], names=["block", "flags"])
+
+
+BOUNDS = "node long, whole double, cap double, parts array<double>, h double"
+
+
+def _bounds(batches: Iterator[pa.RecordBatch], held, threshold: float) -> Iterator[pa.RecordBatch]:
+    for part in slices(batches, 2, PIECE_BYTES):
+        n = pc.binary_length(part.column(2)).to_numpy() // 8
+        keys, weight = _mixed(part.column(2)), np.frombuffer(b"".join(part.column(3).to_pylist()), "<f4")
+        at = keys >> np.uint64(64 - SHARED_BITS)
+        met = held.value[at >> np.uint64(3)] >> (7 - (at & np.uint64(7)).astype(np.uint8)) & 1
+        own = np.repeat(np.arange(len(n)) * PARTS, n) + (keys >> np.uint64(65 - PARTS.bit_length())).astype(np.int64)
+        parts = np.bincount(own, weights=weight * met, minlength=len(n) * PARTS).reshape(-1, PARTS)
+        cap, whole = parts.sum(axis=1), part.column(1).to_numpy()
+        kept = np.flatnonzero(cap >= (threshold - SLACK) * whole)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(kept) + 1, dtype=np.int32) * PARTS), pa.array(parts[kept].reshape(-1)))
+        columns = [part.column(0).take(pa.array(kept)), pa.array(whole[kept]), pa.array(cap[kept]), lists, pa.array(1 - cap[kept] / np.maximum(whole[kept], 1e-30))]
+        yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in BOUNDS.split(", ")])
 
 
 def bounds(vectors: DataFrame, threshold: float) -> DataFrame:
     """node, whole (weight), cap, parts, h: the weight, in all and by part, of those shingles that other ``vectors`` have
-    too, and the rest's share. A text with too little of it is like no other and has no row."""
-    entries = materialize(vectors.select("node", "ids", "weights").mapInArrow(_entries, "node long, shingle long, part int, weight float"), "entries")
-    lone = entries.groupBy("shingle").agg(F.count("*").alias("n"), *(F.min(c).alias(c) for c in ("node", "part", "weight"))).filter("n = 1")
-    signed = entries.select("node", "part", "weight").unionByName(lone.select("node", "part", (-F.col("weight")).alias("weight")))
-    by_part = signed.groupBy("node", "part").agg(F.sum("weight").alias("weight"))
-    held = by_part.groupBy("node").agg(F.sum("weight").alias("cap"), F.map_from_entries(F.collect_list(F.struct("part", "weight"))).alias("of"))
-    parts = F.array(*[F.coalesce(F.col("of")[F.lit(k)], F.lit(0.0)) for k in range(PARTS)]).alias("parts")
-    found = held.join(vectors.select("node", "whole"), "node").filter(F.col("cap") >= (threshold - SLACK) * F.col("whole"))
-    return materialize(found.select("node", "whole", "cap", parts, (1 - F.col("cap") / F.col("whole")).alias("h")), "bounds")
+    too, and the rest's share. A text with too little of it is like no other and has no row.
+
+    Shingles meet in blocks, packed, and leave a table of ``SHARED_BITS``, of fixed size. A shingle that falls on
+    another's bit there counts as shared, which makes a bound wider and no less true."""
+    total = (vectors.agg(F.sum(F.octet_length("ids"))).first()[0] or 0) // 8
+    bits = min(max(6, (total // BLOCK_SHINGLES).bit_length()), 16)
+    dealt = vectors.select("ids").mapInArrow(lambda it: _dealt(it, bits), "block int, keys binary")
+    table = np.zeros((1 << bits, (1 << SHARED_BITS - bits) // 8), np.uint8)
+    for block, flags in dealt.repartition(1 << bits, "block").mapInArrow(lambda it: _shared(it, bits), "block int, flags binary").collect():  # 8 MB at most
+        table[block] = np.frombuffer(flags, np.uint8)
+    held = vectors.sparkSession.sparkContext.broadcast(table.reshape(-1))
+    return materialize(vectors.mapInArrow(lambda it: _bounds(it, held, threshold), BOUNDS), "bounds")
 
 
 def _open(threshold: float) -> F.Column:
@@ -359,8 +400,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, D
     labels, tested = None if found.isEmpty() else joined(None, found), pairs
     crowded = members.filter("crowded").select("band", "value", "node")
     if not crowded.isEmpty():
-        known = bounds(vectors.join(crowded.select("node").distinct(), "node", "left_semi"), threshold)
-        crowd = crowded.join(known, "node")
+        near = materialize(vectors.join(crowded.select("node").distinct(), "node", "left_semi"), "crowd-vectors")
+        crowd = crowded.join(bounds(near.select(vectors.columns), threshold), "node")
+        release(near)
     turn = 0
     while crowd is not None:
         crowd = _crowd(crowd, labels, LEADERS * 4**turn)

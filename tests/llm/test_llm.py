@@ -392,6 +392,28 @@ def test_crowded_buckets_compare_few_pairs(spark, monkeypatch):
     assert len(set(root)) < len(texts) - 60 and sum(compared) < 8 * len(texts)
 
 
+def test_bounds_without_a_row_for_each_shingle(spark, monkeypatch):
+    """Bounds equal those by exact counts of each shingle, and no table that is written has a row for each shingle."""
+    rng, n, wide = np.random.default_rng(12), 60, 400
+    common, rows = rng.integers(0, 1 << 44, 500).astype("<u8"), []
+    for node in range(n):
+        ids = np.unique(np.concatenate([rng.choice(common, wide * 9 // 10, replace=False), rng.integers(0, 1 << 44, wide // 10 if node % 5 else wide).astype("<u8")]))
+        weights = rng.random(len(ids)).astype("<f4") + np.float32(1)
+        rows.append((node, float(weights.sum()), ids.tobytes(), weights.tobytes()))
+    of = [dict(zip(np.frombuffer(r[2], "<u8").tolist(), np.frombuffer(r[3], "<f4").tolist())) for r in rows]
+    seen, written, real = Counter(k for d in of for k in d), [], near_dedup.materialize
+    monkeypatch.setattr(near_dedup, "materialize", lambda df, *more: written.append(real(df, *more)) or written[-1])
+    got = {r["node"]: r for r in near_dedup.bounds(spark.createDataFrame(rows, near_dedup.VECTORS).repartition(3), 0.8).collect()}
+    for node, d in enumerate(of):
+        cap = sum(w for k, w in d.items() if seen[k] > 1)
+        assert (node in got) == (cap >= 0.8 * rows[node][1]) == (node % 5 > 0)
+        if node in got:
+            assert got[node]["cap"] == pytest.approx(cap) == sum(got[node]["parts"]) and len(got[node]["parts"]) == near_dedup.PARTS
+            assert got[node]["h"] == pytest.approx(1 - cap / rows[node][1])
+    assert all(df.count() <= n for df in written)
+    assert near_dedup.bounds(spark.createDataFrame([], near_dedup.VECTORS), 0.8).count() == 0
+
+
 def test_consistent_sampling_estimates_weighted_jaccard():
     rng = np.random.default_rng(0)
     ids = np.sort(rng.choice(1 << 44, 400, replace=False).astype(np.uint64))
