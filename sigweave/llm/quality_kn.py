@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, materialize, small
+from .common import free_name, give_back, materialize, small
 
 ORDER = 4
 QUANTILE = 0.995
@@ -36,7 +36,8 @@ LEAST = 30
 #: Slots of the table of frequent n-grams: 2 ** 20, 12 MB.
 HEAD_BITS = 20
 MULTIPLIER = np.uint32(0x5E3779B1)
-PIECE_CHARS = 1_500_000
+#: Characters of a piece, whose symbols take some 100 times their memory, and 4-grams that are counted at once.
+PIECE_CHARS, COUNT_GRAMS = 250_000, 2_000_000
 MARK, RUN, UNIFORM = 2, 1, 256
 
 
@@ -102,14 +103,24 @@ def _pieces(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[str]
             run, chars, first = [], 0, i + 1
     if run:
         yield first, run
-    pa.default_memory_pool().release_unused()
+    give_back()
+
+
+def _tallied(found: list[np.ndarray]) -> pa.RecordBatch:
+    keys, n = np.unique(np.concatenate(found), return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[np.ndarray] = []
     for batch in batches:
         for _, texts in _pieces(batch, 0):
-            keys, n = np.unique(grams(*symbols(texts)[:2])[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
+            held.append(grams(*symbols(texts)[:2])[0])
+            if sum(map(len, held)) >= COUNT_GRAMS:
+                yield _tallied(held)
+                held = []
+    if held:
+        yield _tallied(held)
 
 
 def train(texts: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import html
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -631,6 +632,25 @@ def test_all_trusted_documents_count(spark):
     assert len(rows) == n and seen == [{f"w{i}" for i in range(n) if half[i] == 0}]
 
 
+def test_quality_works_in_small_memory(monkeypatch):
+    """Counting and scoring 3 MB of text take some 20 times the memory of a piece, not of a batch; pieces change no count."""
+    texts = [sentence(400, g) for g in range(1000)]
+    batch = pa.record_batch([pa.array(range(1000)), pa.array(["x"] * 1000), pa.array(range(1000)), pa.array(texts)], names=list("abcd"))
+    held = type("Held", (), {"value": (np.zeros(1 << 20, np.int64) - 1, np.zeros(1 << 20, np.float32))})()
+    monkeypatch.setattr(quality_kn.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
+    for work in (lambda: quality_kn._counts(iter([batch.select(["d"])])), lambda: quality_kn._score(iter([batch]), held)):
+        tracemalloc.start()
+        for _ in work():
+            pass
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 64 << 20, peak
+    want, got = Counter(quality_kn.grams(*quality_kn.symbols(texts)[:2])[0].tolist()), Counter()
+    for b in quality_kn._counts(iter([batch.select(["d"])])):
+        got.update(dict(zip(b.column(0).to_pylist(), b.column(1).to_pylist())))
+    assert got == want
+
+
 def test_attention_gradients():
     m = attention_lm.Attention(np.zeros(attention_lm.CLASSES, np.float32))
     m.p = {k: v.astype(np.float64) for k, v in m.p.items()}
