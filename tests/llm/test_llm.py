@@ -651,6 +651,23 @@ def test_quality_works_in_small_memory(monkeypatch):
     assert got == want
 
 
+def test_attention_step_in_parts(monkeypatch):
+    """A step's loss and gradients are the same in parts of any size, and its memory is a part's, not the lot's."""
+    rng, m, n = np.random.default_rng(4), attention_lm.Attention(np.zeros(attention_lm.CLASSES, np.float32)), attention_lm.LOT
+    x, y = rng.integers(0, 50, (2, n, attention_lm.WINDOW)), rng.integers(0, attention_lm.CLASSES, (n, attention_lm.STRIDE))
+    w = (rng.random(y.shape) < 0.9).astype(np.float32)
+    tracemalloc.start()
+    loss, g = m.step(x, y, w)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 << 20, peak
+    for rows in (7, n):
+        monkeypatch.setattr(attention_lm, "STEP_ROWS", rows)
+        other, h = m.step(x, y, w)
+        assert other == pytest.approx(loss, rel=1e-4) and g.keys() == h.keys() == m.p.keys()
+        assert all(np.allclose(g[k], h[k], rtol=1e-2, atol=1e-4 * np.abs(g[k]).max()) for k in g)
+
+
 def test_attention_gradients():
     m = attention_lm.Attention(np.zeros(attention_lm.CLASSES, np.float32))
     m.p = {k: v.astype(np.float64) for k, v in m.p.items()}
