@@ -723,6 +723,33 @@ def test_windows_score_each_place_once():
                 assert b[: len(want)].tolist() == want
 
 
+def test_windows_share_what_they_read():
+    """Windows along a run of places give the states that each gives by itself."""
+    w, t, rng = attention_lm.WINDOW, attention_lm.STRIDE, np.random.default_rng(2)
+    m, rows = attention_lm.Attention(np.zeros(attention_lm.CLASSES, np.float32)), rng.integers(0, 2 * attention_lm.BUCKETS, (2, w + 5 * t)).astype("<u2")
+    alone = m.forward(np.stack([rows[:, a : a + w] for a in range(0, 5 * t + 1, t)], axis=1))
+    assert np.allclose(m.states(rows), alone, atol=1e-5)
+
+
+def test_words_travel_in_few_rows():
+    """A row for each bucket of a batch's words, not for each word; equal words meet, with the sums of all batches."""
+    texts = pa.array([" ".join(f"w{i}é" for i in range(3000)), " ".join(f"w{i}é" for i in range(1000, 5000)), "", None])
+    task, topics = attention_lm.TaskContext.get, attention_lm.find_topics(texts)
+    attention_lm.TaskContext.get = lambda: type("Task", (), {"partitionId": lambda self: 0})()
+    try:
+        own = [list(attention_lm._batches(iter([pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), texts.slice(k, 1)], names=["k", "t"])]), topics))[0] for k in range(4)]
+    finally:
+        attention_lm.TaskContext.get = task
+    own = [pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), b["packed"], b["n_words"], b["counts"]], names=["batch", "packed", "n_words", "counts"]) for k, b in enumerate(own)]
+    listed = [b for b in attention_lm._listed(iter(own), 16)]
+    assert len(listed) == 2 and all(b.num_rows <= 16 for b in listed)
+    got = pa.Table.from_batches(attention_lm._spelled(iter(listed), BPE)).to_pydict()
+    trained = [not attention_lm.is_held_out(k) for k in range(2)]
+    assert dict(zip(got["word"], got["count"])) == {f"w{i}é": trained[0] * (i < 3000) + trained[1] * (i >= 1000) for i in range(5000)}
+    places = {w: [r["of"] for r in np.frombuffer(p, attention_lm.PLACES)] for w, p in zip(got["word"], got["places"])}
+    assert places["w0é"] == [0] and places["w2000é"] == [0, 1] and places["w4000é"] == [1]
+
+
 def split_words(text):
     return [w for w in re.split(r"[\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)})) if w]
 
