@@ -61,6 +61,24 @@ def test_bpe_equals_the_tokenizer():
         assert ids[e - n : e].tolist() == tk.encode(t, add_special_tokens=False).ids, t
 
 
+def test_bpe_looks_pretokens_up_in_arrays(monkeypatch):
+    """Ids lie end to end in one array; what was met before is not encoded again; ids are right past the cache's end too."""
+    monkeypatch.setattr(bpe, "CACHE", 60)
+    enc = bpe.BpeEncoder(BPE)
+    words = pa.array([" an", "an", "  ", " unheard-ofish", ".", "zß", "\n"], pa.large_string())
+    for turn in range(2):
+        store, begin, n = enc._look_up(words)
+        assert [store[a : a + k].tolist() for a, k in zip(begin, n)] == [enc.whole.encode(w, add_special_tokens=False).ids for w in words.to_pylist()]
+        monkeypatch.setattr(enc, "_encode_new", None)  # nothing new is left
+    monkeypatch.undo()
+    monkeypatch.setattr(bpe, "CACHE", 60)
+    for k in range(6):
+        texts = [sentence(20, 50 * k + i) + f" x{k}y{i}, né" for i in range(4)]
+        ids, counts = enc.encode(pa.array(texts))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts))[:-1]] == [enc.whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(enc.known) <= 61
+
+
 def test_bpe_cuts_long_texts_and_reads_slices(monkeypatch):
     monkeypatch.setattr(bpe, "LONG", 300)
     texts = ["a", sentence(900, 3) + "  x \n " + sentence(200, 4), None, "é" * 2000, "漢字 " * 400, "it's " * 300]
