@@ -26,17 +26,21 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.filter("event_type <> 'signup'").select(F.col("user_id").alias("recording_id"), ts, "value", F.col("event_type").alias("kind"))
 
 
-def windowed(stream: DataFrame, length: str, step: str, delay: str) -> DataFrame:
-    """Each recording's values, in order of time, in sliding windows: start, end, recording_id, x, and the first sample's kind as label."""
-    w = stream.withWatermark("ts", delay).groupBy(F.window("ts", length, step), "recording_id")
+def windowed(stream: DataFrame, length: str, step: str) -> DataFrame:
+    """Each recording's values, in order of time, in sliding windows of a stream with a watermark: start, end, recording_id, x, and the first sample's kind as label."""
+    w = stream.groupBy(F.window("ts", length, step), "recording_id")
     return w.agg(F.array_sort(F.collect_list(F.struct("ts", "value")))["value"].alias("x"), F.min_by("kind", "ts").alias("label")).select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "recording_id", "x", "label")
 
 
 def window_features(stream: DataFrame, baselines: DataFrame, names: list[str], length: str, step: str, delay: str) -> DataFrame:
-    """start, end, recording_id, n, label and features of baseline-scaled windows, of a stream or a table. The join's side is left to Spark."""
-    scaled = stream.join(baselines, "recording_id").withColumn("value", F.try_divide(F.col("value") - F.col("mean"), F.col("std"))).drop("mean", "std")
-    x = windowed(scaled, length, step, delay)
-    return x.select("start", "end", "recording_id", "label", F.size("x").alias("n"), *[features.BUILT_IN[n]("x").cast("double").alias(n) for n in names])
+    """start, end, recording_id, n, label and features of baseline-scaled windows, of a stream or a table. The join's side is left to Spark.
+
+    Features are of the values that are known, and null without any, as where a baseline has no spread. Recordings without a
+    baseline have no windows, but their rows move the watermark too."""
+    scaled = stream.withWatermark("ts", delay).join(baselines, "recording_id").withColumn("value", F.try_divide(F.col("value") - F.col("mean"), F.col("std"))).drop("mean", "std")
+    x = windowed(scaled, length, step).withColumn("known", F.filter("x", F.isnotnull))
+    built = [F.when(F.size("known") > 0, features.BUILT_IN[n](F.col("known"))).cast("double").alias(n) for n in names]
+    return x.select("start", "end", "recording_id", "label", F.size("x").alias("n"), *built)
 
 
 def decode(stream: DataFrame, baselines: DataFrame, decoder: Decoder, length: str, step: str, delay: str) -> DataFrame:
@@ -45,7 +49,7 @@ def decode(stream: DataFrame, baselines: DataFrame, decoder: Decoder, length: st
 
 
 def band_power(stream: DataFrame, fs: float, length: str, step: str, delay: str, low: float, high: float) -> DataFrame:
-    x = windowed(stream, length, step, delay).filter(F.size("x") > 2)
+    x = windowed(stream.withWatermark("ts", delay), length, step).filter(F.size("x") > 2)
     return x.select("start", "recording_id", F.size("x").alias("n"), features.periodogram_power(fs, low, high)("x").alias("power"))
 
 

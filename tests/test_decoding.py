@@ -101,3 +101,30 @@ def test_filtering_in_chunks_equals_the_sequential_filter(spark, chunk):
             y = sequential(sections, y, rest * y[0])[0][::-1]
         assert np.allclose([got.pop((r, c, i)) for i in range(len(x))], y[pad : pad + len(x)], atol=1e-9)
     assert not got
+
+
+def test_online_decoding_of_odd_baselines_equals_its_sql(spark, tmp_path):
+    """Recordings with one view, with equal views and without any; the last has the latest events. One value is null."""
+    import duckdb
+
+    from sigweave.jobs import model_queries
+
+    rng = np.random.default_rng(8)
+    rows = [(r, 600.0 * i + r, ["view", "click", "error", "purchase"][i % 4], float(rng.integers(1, 9000)) / 100) for r in range(1, 8) for i in range(60)]
+    rows += [(8, 600.0 * i + 8, ["view", "click"][min(i, 1)], 5.0 + i) for i in range(20)]
+    rows += [(9, 600.0 * i + 9, ["view", "click"][i % 2], 5.0 + i % 2 * i) for i in range(20)]
+    rows += [(10, 600.0 * i + 40_000, "click", 1.0) for i in range(20)] + [(3, 7000.5, "click", None), (11, 40_001.0, "signup", 1.0)]
+    rows += [(1, 36_010.0, "click", None)]
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    df = spark.createDataFrame(rows, "user_id long, s double, event_type string, value double").withColumn("ts", F.timestamp_micros((F.col("s") * 1e6).cast("long")).cast("timestamp_ntz"))
+    path = f"{tmp_path}/table"
+    df.selectExpr("monotonically_increasing_id() AS event_id", "ts", "user_id", "event_type", "value", "'k1' AS props").to(spark.createDataFrame([], schema).schema).coalesce(1).write.parquet(path)
+    (tmp_path / "in").mkdir()
+    next((tmp_path / "table").glob("*.parquet")).rename(tmp_path / "in" / "events.parquet")
+    got = [tuple(r) for r in model_queries.QUERIES["t1_online_decoding"](spark, f"{tmp_path}/in").collect()]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/in/events.parquet'")
+    want = con.execute(model_queries.ORACLE["t1_online_decoding"]).fetchall()
+    order = lambda found: sorted(found, key=lambda r: r[:2])
+    assert order(got) == order(want) and {r[5] for r in want if r[1] in (8, 9)} == {None}
+    assert max(r[0] for r in want) > 40_000 - 7200
