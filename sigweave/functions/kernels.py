@@ -165,13 +165,13 @@ def notch_taps(fs: float, freq: float, width: float, transition: float = 1.0) ->
 
 
 def reflect(x: np.ndarray, lead: int, tail: int) -> np.ndarray:
-    """``x`` led and followed by itself, turned around its end points; as far as it reaches, then constant."""
-    n = len(x)
+    """``x`` (or each of its rows) led and followed by itself, turned around its end points; as far as it reaches, then constant."""
+    n = x.shape[-1]
     a, b = min(lead, n - 1), min(tail, n - 1)
-    head = 2 * x[0] - x[a:0:-1]
-    foot = 2 * x[-1] - x[-2 : -b - 2 : -1] if b else x[:0]
-    out = np.concatenate([head, x, foot])
-    return np.pad(out, (lead - a, tail - b), mode="edge") if (lead > a or tail > b) else out
+    head = 2 * x[..., :1] - x[..., a:0:-1]
+    foot = 2 * x[..., -1:] - x[..., -2 : -b - 2 : -1] if b else x[..., :0]
+    out = np.concatenate([head, x, foot], axis=-1)
+    return np.pad(out, [(0, 0)] * (x.ndim - 1) + [(lead - a, tail - b)], mode="edge") if (lead > a or tail > b) else out
 
 
 def fft_convolve(x: np.ndarray, taps: np.ndarray) -> np.ndarray:
@@ -233,15 +233,16 @@ class SectionFilter:
         self.rest[:2] = -sections[0][0]
 
     def states(self, x: np.ndarray, state: np.ndarray) -> np.ndarray:
-        """States at the begin of each whole block, and at the end of ``x``."""
-        m = len(x) // self.block
-        enter = x[: m * self.block].reshape(m, self.block) @ self.into.T
-        held = np.empty((m + 2, self.order))
+        """States at the begin of each whole block, and at the end of ``x`` (or of each of its rows)."""
+        n = x.shape[-1]
+        m = n // self.block
+        enter = x[..., : m * self.block].reshape(*x.shape[:-1], m, self.block) @ self.into.T
+        held = np.empty((m + 2, *x.shape[:-1], self.order))
         held[0] = state
         for i in range(m):
-            held[i + 1] = self.over @ held[i] + enter[i]
-        r = len(x) - m * self.block
-        held[m + 1] = np.linalg.matrix_power(self.a, r) @ held[m] + self.into[:, self.block - r :] @ x[len(x) - r :]
+            held[i + 1] = held[i] @ self.over.T + enter[..., i, :]
+        r = n - m * self.block
+        held[m + 1] = held[m] @ np.linalg.matrix_power(self.a, r).T + x[..., n - r :] @ self.into[:, self.block - r :].T
         return held
 
     def end(self, x: np.ndarray) -> np.ndarray:
@@ -250,11 +251,22 @@ class SectionFilter:
 
     def run(self, x: np.ndarray, state: np.ndarray) -> np.ndarray:
         held = self.states(x, state)
-        m = len(x) // self.block
-        whole = x[: m * self.block].reshape(m, self.block) @ self.inside.T + held[:m] @ self.out.T
-        r = len(x) - m * self.block
-        last = self.inside[:r, :r] @ x[len(x) - r :] + self.out[:r] @ held[m]
-        return np.concatenate([whole.reshape(-1), last])
+        n = x.shape[-1]
+        m = n // self.block
+        r = n - m * self.block
+        whole = x[..., : m * self.block].reshape(*x.shape[:-1], m, self.block) @ self.inside.T + np.moveaxis(held[:m] @ self.out.T, 0, -2)
+        last = x[..., n - r :] @ self.inside[:r, :r].T + held[m] @ self.out[:r].T
+        return np.concatenate([whole.reshape(*x.shape[:-1], m * self.block), last], axis=-1)
+
+    def there_and_back(self, x: np.ndarray) -> np.ndarray:
+        """Rows filtered forward and then backward, each way from a state at rest."""
+        for _ in range(2):
+            x = self.run(x, x[..., :1] * self.rest)[..., ::-1]
+        return x
+
+    def free(self, n: int) -> np.ndarray:
+        """[state, place]: ``n`` outputs without input, from each state of one."""
+        return self.run(np.zeros((self.order, n)), np.eye(self.order))
 
 
 def multitaper_power(x: np.ndarray, fs: float, freqs: np.ndarray, n_tapers: int = 3) -> np.ndarray:

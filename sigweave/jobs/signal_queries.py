@@ -517,19 +517,24 @@ def f12_values(spark, d):
     return f12(spark, d).select("section", "item", "task", F.posexplode("values").alias("place", "value"))
 
 
+def _by_channel(wide, **parts):
+    """recording_id, channel, n and aggregates of each channel of wide samples."""
+    one = [F.struct(F.lit(c).alias("channel"), F.count("*").alias("n"), *[f(c).alias(name) for name, f in parts.items()]).alias(c) for c in CHANNELS]
+    return wide.groupBy("recording_id").agg(*one).select("recording_id", F.inline(F.array(*CHANNELS)))
+
+
 @query("c1_fir_small", f"WITH {L}, u AS (SELECT recording_id, channel, sample_idx, CAST(v AS DOUBLE) AS v, max(sample_idx) OVER (PARTITION BY recording_id) AS top FROM l UNPIVOT (v FOR channel IN (quantity, extendedprice, discount, tax))), f AS (SELECT recording_id, channel, sample_idx, top, 0.25 * lag(v) OVER w + 0.5 * v + 0.25 * lead(v) OVER w AS value FROM u WINDOW w AS (PARTITION BY recording_id, channel ORDER BY sample_idx)) SELECT recording_id, channel, sample_idx, round(value, 6) AS value FROM f WHERE sample_idx BETWEEN 1 AND top - 1")
 def c1_small(spark, d):
-    long = _supplier_long(spark, d)
-    top = long.groupBy("recording_id").agg(F.max("sample_idx").alias("top"))
-    out = clean.fir_filter(long, [0.25, 0.5, 0.25], chunk=100).join(top, "recording_id").filter("sample_idx between 1 and top - 1")
-    return out.select("recording_id", "channel", "sample_idx", F.round("value", 6).alias("value"))
+    top = src.supplier_samples(spark, d).groupBy("recording_id").agg((F.count("*") - 1).alias("top"))
+    out = clean.fir_filter_wide(_supplier(spark, d), CHANNELS, [0.25, 0.5, 0.25], chunk=100).join(top, "recording_id").filter("sample_idx between 1 and top - 1")
+    return out.unpivot(["recording_id", "sample_idx"], list(CHANNELS), "channel", "value").select("recording_id", "channel", "sample_idx", F.round("value", 6).alias("value"))
 
 
 @query("c1_c2_band_pass_notch")
 def c1(spark, d):
     # Both filters in one pass: their taps are convolved.
     taps = np.convolve(kernels.fir_taps(300, 8, 50), kernels.notch_taps(300, 50, 2, 6))
-    return clean.fir_filter(_supplier_long(spark, d), taps, chunk=4096).groupBy("recording_id", "channel").agg(F.count("*").alias("n"), F.round(F.stddev_pop("value"), 6).alias("std"))
+    return _by_channel(clean.fir_filter_wide(_supplier(spark, d), CHANNELS, taps, chunk=4096), std=lambda v: F.round(F.stddev_pop(v), 6))
 
 
 def _sections_sql(sections, source: str, name: str) -> str:
@@ -556,13 +561,13 @@ r AS (SELECT recording_id, channel, n, p, list(y ORDER BY i DESC) AS x FROM f WH
 SELECT recording_id, channel, count(*) AS n, round(stddev_pop(y), 4) AS std, round(max(abs(y)), 4) AS peak FROM b WHERE i > p AND i <= p + n GROUP BY 1, 2""")
 def c3_sections(spark, d):
     """Two sections, in chunks of 256 samples."""
-    out = clean.iir_filter(_supplier_long(spark, d), 300, 8, 45, order=2, chunk=256)
-    return out.groupBy("recording_id", "channel").agg(F.count("*").alias("n"), F.round(F.stddev_pop("value"), 4).alias("std"), F.round(F.max(F.abs("value")), 4).alias("peak"))
+    out = clean.iir_filter_wide(_supplier(spark, d), CHANNELS, 300, 8, 45, order=2, chunk=256)
+    return _by_channel(out, std=lambda v: F.round(F.stddev_pop(v), 4), peak=lambda v: F.round(F.max(F.abs(v)), 4))
 
 
 @query("c3_iir")
 def c3(spark, d):
-    return clean.iir_filter(_supplier_long(spark, d), 300, 1, 45).groupBy("recording_id", "channel").agg(F.count("*").alias("n"), F.round(F.stddev_pop("value"), 6).alias("std"))
+    return _by_channel(clean.iir_filter_wide(_supplier(spark, d), CHANNELS, 300, 1, 45), std=lambda v: F.round(F.stddev_pop(v), 6))
 
 
 MD5 = "md5(concat('42|', CAST({0} AS VARCHAR)))"

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
 
 from ..functions import kernels
-from . import windows
+from . import arrow, windows
 
 MICROVOLT = 1e-6
 #: Fixed values of the converter: 5 V full scale over 2^31 - 1 counts, amplifier gain 256.
@@ -227,76 +228,160 @@ def fir_filter(samples: DataFrame, taps, chunk: int = 65_536) -> DataFrame:
 
     Recordings are cut into chunks with a halo of half the filter, so no task holds a recording and
     the result equals the unchunked one; at the recording's ends the signal is reflected."""
+    return _fir(samples, ["recording_id", "channel"], ["value"], taps, chunk)
+
+
+def fir_filter_wide(samples: DataFrame, channels: Sequence[str], taps, chunk: int = 65_536) -> DataFrame:
+    """The same for wide samples (recording_id, sample_idx and the channels), which are a fraction of the rows."""
+    return _fir(samples, ["recording_id"], list(channels), taps, chunk)
+
+
+def _schema(samples: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> T.StructType:
+    fields = [samples.schema[k] for k in keys] + [T.StructField("sample_idx", T.LongType())]
+    return T.StructType(fields + [T.StructField(c, T.DoubleType()) for c in columns])
+
+
+def _fir(samples: DataFrame, keys: list[str], columns: list[str], taps, chunk: int) -> DataFrame:
     taps = np.asarray(taps, float)
-    half = len(taps) // 2
-    ends = samples.groupBy("recording_id", "channel").agg(F.max("sample_idx").alias("top"))
-    cut = windows.haloed(samples.join(ends, ["recording_id", "channel"]), max(chunk, len(taps)), half)
-    size = max(chunk, len(taps))
-    schema = "recording_id long, channel string, sample_idx long, value double"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sample_idx")
-        own, top = int(pdf["chunk"].iloc[0]), int(pdf["top"].iloc[0])
-        idx, x = pdf["sample_idx"].to_numpy(), pdf["value"].to_numpy()
-        lead = max(0, half - (own * size - idx[0])) if idx[0] == 0 else 0
-        tail = max(0, half - (idx[-1] - min(top, own * size + size - 1))) if idx[-1] == top else 0
-        y = kernels.fft_convolve(kernels.reflect(x, lead, tail)[None, :], taps)[0]
-        begin = own * size - (idx[0] - lead)
-        stop = min(top + 1, own * size + size)
-        n = stop - own * size
-        if n <= 0:
-            return pdf.iloc[:0][["recording_id", "channel", "sample_idx", "value"]]
-        return pd.DataFrame({"recording_id": pdf["recording_id"].iloc[0], "channel": str(pdf["channel"].iloc[0]), "sample_idx": np.arange(own * size, stop), "value": y[begin : begin + n]})
-
-    return cut.groupBy("recording_id", "channel", "chunk").applyInPandas(run, schema)
+    half, size = len(taps) // 2, max(chunk, len(taps))
+    values = [F.col(c).cast("double").alias(c) for c in columns]
+    cut = windows.haloed(samples.select(*keys, F.col("sample_idx").cast("long").alias("sample_idx"), *values), size, half)
+    group, schema = [*keys, "chunk"], _schema(samples, keys, columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, begin in arrow.tables(batches, group):
+            idx, x = table["sample_idx"].to_numpy(), arrow.matrix(table, columns)
+            begin, stop = begin[:-1], begin[1:]
+            own, first, last = table["chunk"].to_numpy()[begin] * size, idx[begin], idx[stop - 1]
+            # Rows that end inside the chunk, or in its halo, end with the recording.
+            lead = np.where(first == 0, np.maximum(0, half - own), 0)
+            tail = np.maximum(0, half - np.maximum(0, last - own - size + 1))
+            n = np.minimum(last + 1, own + size) - own
+            for (length, a, b, skip, kept), at in arrow.alike(stop - begin, lead, tail, own - first + lead, n):
+                if kept <= 0:
+                    continue
+                rows = kernels.reflect(x[:, begin[at][:, None] + np.arange(length)], a, b)
+                y = kernels.fft_convolve(rows.reshape(-1, rows.shape[-1]), taps).reshape(rows.shape)[..., skip : skip + kept]
+                places = (own[at][:, None] + np.arange(kept)).ravel()
+                yield pa.RecordBatch.from_arrays([*arrow.repeated(table, keys, begin[at], kept), pa.array(places), *map(pa.array, y.reshape(len(columns), -1))], names=schema.names)
+
+    return arrow.grouped(cut, group, "sample_idx").mapInArrow(run, schema)
 
 
 def iir_filter(samples: DataFrame, fs: float, low: float, high: float, order: int = 4, chunk: int | None = None) -> DataFrame:
     """Zero-phase Butterworth band-pass of long samples (recording_id, channel, sample_idx, value), forward and backward.
 
-    Chunks of a channel are filtered apart: the state behind a chunk is an affine map of the state before
-    it, so the maps of all chunks, a few numbers each, give every chunk's own first state, and then each is filtered with
-    that. No task holds a channel, only one row for each of its chunks; the result is the sequential filter's. At both ends
-    the signal goes on reflected, for three periods of ``low`` or as far as it reaches, from a state at rest."""
-    size = chunk or windows.CHUNK
+    At both ends the signal goes on reflected, for three periods of ``low`` or as far as it reaches, from a state at rest.
+    Channels that are with this no longer than a chunk are filtered whole, many together. Chunks of longer ones are filtered
+    apart: the state behind a chunk is an affine map of the state before it, each way, so the maps of all chunks, a few numbers each, give
+    every chunk's own first states, and then each is filtered with those. So no task holds a long channel, only one small
+    row for each of its chunks; the result is the sequential filter's."""
+    return _iir(samples, ["recording_id", "channel"], ["value"], fs, low, high, order, chunk)
+
+
+def iir_filter_wide(samples: DataFrame, channels: Sequence[str], fs: float, low: float, high: float, order: int = 4, chunk: int | None = None) -> DataFrame:
+    """The same for wide samples (recording_id, sample_idx and the channels), which are a fraction of the rows."""
+    return _iir(samples, ["recording_id"], list(channels), fs, low, high, order, chunk)
+
+
+def _iir(samples: DataFrame, keys: list[str], columns: list[str], fs: float, low: float, high: float, order: int, chunk: int | None) -> DataFrame:
+    size, reach, k = chunk or windows.CHUNK, int(3 * fs / low), len(columns)
     made = kernels.SectionFilter(kernels.butterworth_sections(fs, low, high, order))
-    edges = samples.groupBy("recording_id", "channel").agg(F.max("sample_idx").alias("top"), F.min_by("value", "sample_idx").alias("x0"), F.max_by("value", "sample_idx").alias("x1"))
-    at, top, pad, v = F.col("sample_idx"), F.col("top"), F.col("pad"), F.col("value")
-    edges = edges.withColumn("pad", F.least("top", F.lit(int(3 * fs / low)).cast("long")))
-    place = lambda where, value: F.struct(where.alias("at"), value.cast("double").alias("v"))
-    before = F.when((at >= 1) & (at <= pad), place(pad - at, 2 * F.col("x0") - v))
-    after = F.when((at < top) & (at >= top - pad), place(2 * top - at + pad, 2 * F.col("x1") - v))
-    rows = samples.join(edges, ["recording_id", "channel"]).select("recording_id", "channel", "top", "pad", F.explode(F.array_compact(F.array(place(at + pad, v), before, after))).alias("e"))
-    chunks = rows.groupBy("recording_id", "channel", F.expr(f"e.at div {size}").alias("chunk")).agg(F.first("top").alias("top"), F.first("pad").alias("pad"), F.array_sort(F.collect_list("e"))["v"].alias("x"))
-    turned = F.expr(f"(top + 2 * pad) div {size}") - F.col("chunk")
-    for _ in range(2):
-        chunks = _filtered(chunks, made).withColumn("chunk", turned).withColumn("x", F.reverse("x"))
-    flat = chunks.select("recording_id", "channel", "top", "pad", "chunk", F.posexplode("x").alias("i", "value"))
-    flat = flat.withColumn("sample_idx", F.col("chunk") * size + F.col("i") - pad)
-    return flat.filter((at >= 0) & (at <= top)).select("recording_id", "channel", "sample_idx", "value")
-
-
-def _filtered(chunks: DataFrame, made: kernels.SectionFilter) -> DataFrame:
-    """``chunks`` (recording_id, channel, chunk, x, ...) with x filtered, each from the state behind the chunk before it."""
-
-    @pandas_udf("array<double>")
-    def end(x: pd.Series) -> pd.Series:
-        return pd.Series([made.end(np.asarray(v)) for v in x])
-
-    @pandas_udf("array<double>")
-    def run(x: pd.Series, state: pd.Series) -> pd.Series:
-        return pd.Series([made.run(np.asarray(v), np.asarray(s)) for v, s in zip(x, state)])
-
-    def states(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk")
-        state, out, over = made.rest * pdf["head"].iloc[0], [], {}
-        for n, after in zip(pdf["n"], pdf["after"]):
-            out.append(state)
-            if n not in over:
-                over[n] = np.linalg.matrix_power(made.a, n)
-            state = over[n] @ state + np.asarray(after)
-        return pdf[["recording_id", "channel", "chunk"]].assign(state=out)
-
-    heads = chunks.select("recording_id", "channel", "chunk", F.size("x").alias("n"), F.col("x")[0].alias("head"), end("x").alias("after"))
-    first = heads.groupBy("recording_id", "channel").applyInPandas(states, "recording_id long, channel string, chunk long, state array<double>")
-    return chunks.join(first, ["recording_id", "channel", "chunk"]).withColumn("x", run("x", "state")).drop("state")
+    schema, group = _schema(samples, keys, columns), [*keys, "chunk"]
+    samples = samples.select(*keys, F.col("sample_idx").cast("long").alias("sample_idx"), *[F.col(c).cast("double").alias(c) for c in columns])
+    ends = [f(c, "sample_idx").alias(f"_{n}{i}") for i, c in enumerate(columns) for n, f in (("a", F.min_by), ("z", F.max_by))]
+    edges = samples.groupBy(*keys).agg(F.max("sample_idx").alias("top"), *ends).withColumn("pad", F.least("top", F.lit(reach).cast("long")))
+    short = F.col("top") + 1 + 2 * F.col("pad") <= size
+    rows = samples.join(edges, keys)
+
+    def filtered(table: pa.Table, at: np.ndarray, places: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+        """Rows of ``y`` [column, row of ``at``, place]."""
+        return pa.RecordBatch.from_arrays([*arrow.repeated(table, keys, at, y.shape[-1]), pa.array(places.ravel()), *map(pa.array, y.reshape(k, -1))], names=schema.names)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, begin in arrow.tables(batches, keys):
+            x = arrow.matrix(table, columns)
+            for (n,), at in arrow.alike(np.diff(begin)):
+                pad, at = min(n - 1, reach), begin[:-1][at]
+                y = made.there_and_back(kernels.reflect(x[:, at[:, None] + np.arange(n)], pad, pad))[..., pad : pad + n]
+                yield filtered(table, at, np.tile(np.arange(n), len(at)), y)
+
+    at_once = arrow.grouped(rows.filter(short).select(*keys, "sample_idx", *columns), keys, "sample_idx").mapInArrow(whole, schema)
+
+    # Of longer ones, places count from the begin of what is reflected.
+    at, top, pad = F.col("sample_idx"), F.col("top"), F.col("pad")
+    place = lambda where, value: F.struct(where.alias("at"), *[value(i, F.col(c)).alias(c) for i, c in enumerate(columns)])
+    before = F.when((at >= 1) & (at <= pad), place(pad - at, lambda i, v: 2 * F.col(f"_a{i}") - v))
+    after = F.when((at < top) & (at >= top - pad), place(2 * top - at + pad, lambda i, v: 2 * F.col(f"_z{i}") - v))
+    long = rows.filter(~short).select(*keys, "top", "pad", F.explode(F.array_compact(F.array(place(at + pad, lambda i, v: v), before, after))).alias("e"))
+    dealt = arrow.grouped(long.select(*keys, F.expr(f"e.at div {size}").alias("chunk"), "top", "pad", "e.*"), group, "at")
+    key_fields = [samples.schema[c] for c in keys] + [T.StructField("chunk", T.LongType())]
+    fields = lambda **more: T.StructType(key_fields + [T.StructField(n, t) for n, t in more.items()])
+    told, arrays, begun = fields(n=T.LongType(), map=T.BinaryType()), fields(top=T.LongType(), pad=T.LongType(), x=T.BinaryType()), fields(state=T.BinaryType())
+    # Of each column: the first sample, the state behind the chunk, the last output, the state behind the output turned around; all from no state.
+    width = 2 * made.order + 2
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, begin in arrow.tables(batches, group):
+            x = arrow.matrix(table, columns)
+            for (n,), at in arrow.alike(np.diff(begin)):
+                at = begin[:-1][at]
+                own = x[:, at[:, None] + np.arange(n)]
+                y = made.run(own, np.zeros(made.order))
+                maps = np.concatenate([own[..., :1], made.end(own), y[..., -1:], made.end(y[..., ::-1])], axis=-1)
+                yield pa.RecordBatch.from_arrays([*arrow.repeated(table, group, at, 1), pa.array(np.full(len(at), n)), pa.array([m.tobytes() for m in maps.swapaxes(0, 1)], pa.binary())], names=told.names)
+
+    def composed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ways: dict[int, tuple[np.ndarray, ...]] = {}
+        for table, begin in arrow.tables(batches, keys):
+            n = table["n"].to_numpy()
+            maps = np.frombuffer(b"".join(table["map"].to_pylist())).reshape(-1, k, width)
+            head, after, last, back = np.split(maps, [1, made.order + 1, made.order + 2], axis=-1)
+            for m in np.unique(n).tolist():
+                if m not in ways:
+                    free = made.free(m)
+                    ways[m] = np.linalg.matrix_power(made.a, m).T, free[:, -1:], made.end(free[:, ::-1])
+            states, size_of = np.empty((len(n), k, 2, made.order)), np.diff(begin)
+            for turn in range(2):
+                place = begin[:-1] if turn == 0 else begin[1:] - 1
+                now = None
+                for step in range(int(size_of.max())):  # the chunks of all recordings go on together
+                    going = size_of > step
+                    at = (place + step if turn == 0 else place - step)[going]
+                    if now is None:
+                        now = head[at] * made.rest if turn == 0 else np.stack([last[i] + states[i, :, 0] @ ways[int(n[i])][1] for i in at]) * made.rest
+                    states[at, :, turn] = now[going]
+                    for (m,), some in arrow.alike(n[at]):
+                        over, _, through = ways[m]
+                        one = at[some]
+                        now[np.flatnonzero(going)[some]] = states[one, :, turn] @ over + (after[one] if turn == 0 else back[one] + states[one, :, 0] @ through)
+            yield pa.RecordBatch.from_arrays([*(table[c].combine_chunks() for c in group), pa.array([s.tobytes() for s in states], pa.binary())], names=begun.names)
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, begin in arrow.tables(batches, group):
+            x = arrow.matrix(table, columns)
+            raw = [np.ascontiguousarray(x[:, a:b]).tobytes() for a, b in zip(begin[:-1], begin[1:])]
+            for a in range(0, len(raw), most):
+                rest = arrow.repeated(table, [*group, "top", "pad"], begin[:-1][a : a + most], 1)
+                yield pa.RecordBatch.from_arrays([*rest, pa.array(raw[a : a + most], pa.binary())], names=arrays.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, most):
+                table = pa.Table.from_batches([batch.slice(a, most)])
+                x, state = (table[c].combine_chunks() for c in ("x", "state"))
+                chunk, top, pad = (table[c].to_numpy() for c in ("chunk", "top", "pad"))
+                n, begin = pc.binary_length(x).to_numpy() // (8 * k), chunk * size - pad
+                low, high = np.maximum(0, -begin), np.minimum(n, top + 1 - begin)  # the places of samples, not of what is reflected
+                for (m, first, last), at in arrow.alike(n, low, high):
+                    if first >= last:
+                        continue
+                    own = np.frombuffer(b"".join(x.take(pa.array(at)).to_pylist())).reshape(len(at), k, m)
+                    s = np.frombuffer(b"".join(state.take(pa.array(at)).to_pylist())).reshape(len(at), k, 2, made.order)
+                    y = made.run(made.run(own, s[:, :, 0])[..., ::-1], s[:, :, 1])[..., ::-1][..., first:last]
+                    yield filtered(table, at, begin[at][:, None] + np.arange(first, last), y.swapaxes(0, 1))
+
+    most = max(1, arrow.ROWS // size)  # chunks of a batch
+    states = arrow.grouped(dealt.mapInArrow(summed, told), keys, "chunk").mapInArrow(composed, begun)
+    chunks = dealt.mapInArrow(folded, arrays).join(states, group)
+    return at_once.unionByName(chunks.select(*arrays.names, "state").mapInArrow(run, schema))
