@@ -158,3 +158,27 @@ def test_resampling_nulls_and_empty_tables(spark):
         assert len(found) == 18
         assert all((r["value"] is None) == (r["recording_id"] == 1) for r in found)
         assert clean.resample(rows.limit(0), 0.5, chunk).count() == 0
+
+
+@pytest.mark.parametrize("chunk", [40, 10_000])
+def test_wide_filters_equal_those_of_each_channel(spark, chunk):
+    """Many recordings go through numpy together, whatever their lengths."""
+    rng = np.random.default_rng(6)
+    sizes = [1, 2, 30, 39, 40, 41, 80, 81, 130] + [int(n) for n in rng.integers(1, 130, 30)]
+    x = {r: rng.standard_normal((2, n)) + 20 for r, n in enumerate(sizes)}
+    rows = [(r, i, float(v[0, i]), float(v[1, i])) for r, v in x.items() for i in range(v.shape[1])]
+    wide = spark.createDataFrame(rows, "recording_id long, sample_idx long, a double, b double").repartition(5)
+    taps = kernels.fir_taps(100, 20, None)
+    made = kernels.SectionFilter(kernels.butterworth_sections(100, 10, 30, 2))
+    by_fir, by_iir = clean.fir_filter_wide(wide, ["a", "b"], taps, chunk), clean.iir_filter_wide(wide, ["a", "b"], 100, 10, 30, 2, chunk)
+    for found, want in (
+        (by_fir, lambda v: kernels.fft_convolve(kernels.reflect(v, len(taps) // 2, len(taps) // 2), taps)[:, len(taps) // 2 : -(len(taps) // 2)]),
+        (by_iir, lambda v: made.there_and_back(kernels.reflect(v, p := min(v.shape[1] - 1, 30), p))[:, p : p + v.shape[1]]),
+    ):
+        got = {(r["recording_id"], r["sample_idx"]): (r["a"], r["b"]) for r in found.collect()}
+        assert len(got) == len(rows) == found.count()
+        for r, v in x.items():
+            assert np.allclose([got[r, i] for i in range(v.shape[1])], want(v).T, atol=1e-9)
+    long = wide.unpivot(["recording_id", "sample_idx"], ["a", "b"], "channel", "value")
+    each = clean.iir_filter(long, 100, 10, 30, 2, chunk).groupBy("recording_id", "sample_idx").pivot("channel", ["a", "b"]).agg(F.first("value"))
+    assert each.join(by_iir, ["recording_id", "sample_idx"]).filter(F.greatest(F.abs(each["a"] - by_iir["a"]), F.abs(each["b"] - by_iir["b"])) < 1e-9).count() == len(rows)
