@@ -63,8 +63,9 @@ def read_emg(spark: SparkSession, path: str, channels: int, contains: str | None
 
 
 def write_by_recording(rows: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Epochs, cleaned signals or feature frames, one folder per recording."""
-    rows.write.partitionBy("recording_id").mode("overwrite").format(fmt).save(path)
+    """Epochs, cleaned signals or feature frames, one folder per recording. Rows are dealt by recording first, so a folder
+    gets one file and not one from every task; a recording streams through the task that writes it."""
+    rows.repartition("recording_id").write.partitionBy("recording_id").mode("overwrite").format(fmt).save(path)
 
 
 def registry(samples: DataFrame, markers: DataFrame, streams: DataFrame, output: str) -> DataFrame:

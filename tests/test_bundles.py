@@ -45,3 +45,15 @@ def test_objects_are_refused(tmp_path):
     np.savez(tmp_path / "o.npz", X=np.array([[{}]], object), y=np.zeros(1))
     with pytest.raises(ValueError):
         bundles.BundleReader(str(tmp_path), 100).partitions()
+
+
+def test_a_recording_is_written_by_one_task(spark, tmp_path):
+    """Rows of a recording lie in many partitions, and yet in one file."""
+    from sigweave.sources import io
+
+    rows = spark.range(0, 600, 1, 12).selectExpr("id % 5 AS recording_id", "CAST(id AS double) AS quantity")
+    io.write_by_recording(rows, f"{tmp_path}/signal")
+    assert {p.parent.name for p in tmp_path.glob("signal/*/*.parquet")} == {f"recording_id={r}" for r in range(5)}
+    assert len(list(tmp_path.glob("signal/*/*.parquet"))) == 5
+    back = spark.read.schema("quantity double, recording_id long").parquet(f"{tmp_path}/signal")
+    assert sorted((r["recording_id"], r["quantity"]) for r in back.collect()) == sorted((r["recording_id"], r["quantity"]) for r in rows.collect())
