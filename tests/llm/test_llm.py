@@ -888,3 +888,35 @@ def test_pipeline_stages(spark, tmp_path):
     for r in pieces:
         held[r["doc_id"]] += r["length"]
     assert held == {i: len(tk.encode(texts[i] or "", add_special_tokens=False).ids) + 1 for i in seen["decontamination"]}
+
+
+def test_topics_and_spellings_are_of_all_training_texts(spark, monkeypatch):
+    """Texts beyond the sample move topics; anchors are counted over all; pairs that tasks don't hold count as all others do."""
+    rng = np.random.default_rng(4)
+    vocabulary = [f"{a}{b}{c}" for a in ("stra", "klo", "whe") for b in ("ngen", "ister", "lm") for c in ("en", "ing", "ed", "zq", "xw")]
+    rows = [(i, " ".join(rng.choice(vocabulary[i % 3 * 15 : i % 3 * 15 + 15], 40)) + f" only{i}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4, "doc_id")
+    monkeypatch.setattr(attention_lm, "SAMPLE_DOCS", 3)
+    monkeypatch.setattr(attention_lm, "BATCH_BYTES", 2000)
+    monkeypatch.setattr(attention_lm, "ANCHORS", 30)
+    found, moved = [], attention_lm.moved
+    monkeypatch.setattr(attention_lm, "moved", lambda batches, topics: found.append((topics, moved(batches, topics))) or found[-1][1])
+    corpora = []
+    for pairs, first in ((1 << 19, 4096), (5, 8)):
+        monkeypatch.setattr(attention_lm, "PAIRS", pairs)
+        monkeypatch.setattr(attention_lm, "LISTED_FIRST", first)
+        corpora.append({k: v for r in attention_lm.read_corpus(df, BPE).streams.collect() for k, v in zip(r["keys"], r["inside"])})
+    assert corpora[0].keys() == corpora[1].keys() == set(range(60)) and all(corpora[1][k] == pytest.approx(v, rel=1e-5) for k, v in corpora[0].items())
+    train = [t for i, t in rows if not attention_lm.is_held_out(i)]
+    count = Counter(w for t in train for w in split_words(t))
+    want = sorted(count, key=lambda w: (-count[w], w))[:30]
+    assert len(found) == 2 * attention_lm.PASSES
+    for before, after in found:
+        assert before.anchors.to_pylist() == want
+        flat, sizes = attention_lm.words_of(pa.array(train))
+        coded = flat.dictionary_encode()
+        x = before.profiles(coded.dictionary, coded.indices.to_numpy(), sizes)
+        own = np.argmax(x @ before.centres.T, axis=1)
+        for z in range(attention_lm.TOPICS):
+            mean = x[own == z].sum(axis=0) if (own == z).any() else before.centres[z]
+            assert np.allclose(after.centres[z], mean / max(np.linalg.norm(mean), 1e-9))
