@@ -106,25 +106,27 @@ class ChirpGrid:
     def turn(self, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
         return np.exp(-2j * np.pi / (self.n1 * self.n2) * (rows[:, None] * cols))
 
-    def columns(self, block: int, at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The block's columns of the values and of the chirp, transformed along the columns and turned."""
-        a = np.zeros((self.n1, self.broad), complex)
-        a[at // self.n2, at % self.n2 - block * self.broad] = values * self.chirp(at).conj()
+    def columns(self, block: int, at: np.ndarray, values: np.ndarray, of: np.ndarray | None = None, n: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """The block's columns of the values and of the chirp, transformed along the columns and turned; of one signal,
+        or of ``n``, with each value's own in ``of``."""
+        a = np.zeros((self.n1, self.broad) if of is None else (n, self.n1, self.broad), complex)
+        place = (at // self.n2, at % self.n2 - block * self.broad)
+        a[place if of is None else (of, *place)] = values * self.chirp(at).conj()
         q, m = self.places(block), self.n1 * self.n2
         b = np.where((q < self.want) | (q > m - self.have), self.chirp(np.where(q < self.want, q, m - q)), 0)
         turn = self.turn(np.arange(self.n1), np.arange(block * self.broad, (block + 1) * self.broad))
-        return np.fft.fft(a, axis=0) * turn, np.fft.fft(b, axis=0) * turn
+        return np.fft.fft(a, axis=-2) * turn, np.fft.fft(b, axis=0) * turn
 
     def lines(self, block: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The block's rows of the product, transformed back along the rows and turned back."""
         turn = self.turn(np.arange(block * self.tall, (block + 1) * self.tall), np.arange(self.n2))
-        return np.fft.ifft(np.fft.fft(a, axis=1) * np.fft.fft(b, axis=1), axis=1) * turn.conj()
+        return np.fft.ifft(np.fft.fft(a, axis=-1) * np.fft.fft(b, axis=-1), axis=-1) * turn.conj()
 
     def ends(self, block: int, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bins of the block's columns and their values."""
         q = self.places(block)
         kept = q < self.want
-        return q[kept], np.fft.ifft(c, axis=0)[kept] * self.chirp(q[kept]).conj()
+        return q[kept], np.fft.ifft(c, axis=-2)[..., kept] * self.chirp(q[kept]).conj()
 
 
 def fir_taps(fs: float, low: float | None, high: float | None, stop: bool = False) -> np.ndarray:

@@ -194,33 +194,64 @@ def transformed(rows: DataFrame, channels: DataFrame, chunk: int) -> DataFrame:
     every = sized(channels).withColumn("block", F.explode(F.expr("sequence(0L, wide div broad - 1)")))
     every = every.select(*keys, *shape, "block", nothing.cast("long").alias("at"), nothing.cast("double").alias("re"), nothing.cast("double").alias("im"))
 
-    def grid_of(pdf: pd.DataFrame) -> tuple[kernels.ChirpGrid, int, dict]:
-        row = pdf.iloc[0]
-        return kernels.ChirpGrid(int(row["period"]), int(row["have"]), int(row["want"]), chunk), int(row["block"]), {c: row[c] for c in (*keys, *shape)}
-
-    def columns(pdf: pd.DataFrame) -> pd.DataFrame:
-        grid, block, held = grid_of(pdf)
-        known = pdf[pdf["at"].notna()]
-        a, b = grid.columns(block, known["at"].to_numpy(np.int64), known["re"].to_numpy(float) + 1j * known["im"].to_numpy(float))
-        cuts = range(0, grid.n1, grid.tall)
-        return pd.DataFrame([{**held, "block": i // grid.tall, "part": block, "tile": a[i : i + grid.tall].tobytes(), "chirp": b[i : i + grid.tall].tobytes()} for i in cuts])
-
-    def lines(pdf: pd.DataFrame) -> pd.DataFrame:
-        grid, block, held = grid_of(pdf)
-        pdf = pdf.sort_values("part")
-        a, b = (np.hstack([np.frombuffer(x, complex).reshape(grid.tall, grid.broad) for x in pdf[c]]) for c in ("tile", "chirp"))
-        c = grid.lines(block, a, b)
-        cuts = range(0, grid.n2, grid.broad)
-        return pd.DataFrame([{**held, "block": j // grid.broad, "part": block, "tile": c[:, j : j + grid.broad].tobytes(), "chirp": None} for j in cuts])
-
-    def ends(pdf: pd.DataFrame) -> pd.DataFrame:
-        grid, block, held = grid_of(pdf)
-        at, y = grid.ends(block, np.vstack([np.frombuffer(x, complex).reshape(grid.tall, grid.broad) for x in pdf.sort_values("part")["tile"]]))
-        return pd.DataFrame({**{c: pd.Series([v] * len(at), dtype=object) for c, v in held.items()}, "at": at, "re": y.real, "im": y.imag})
-
-    turned = dealt.unionByName(every).groupBy(*keys, "block").applyInPandas(columns, tile)
-    through = turned.groupBy(*keys, "block").applyInPandas(lines, tile)
-    return through.groupBy(*keys, "block").applyInPandas(ends, f"{carried}, at long, re double, im double")
+    group, names = [*keys, "block"], [f.split()[0] for f in tile.split(", ")]
+    many = max(1, arrow.ROWS * 16 // chunk)  # rows of tiles that are taken together
+
+    def alike(table: pa.Table, begin: np.ndarray) -> Iterator[tuple[kernels.ChirpGrid, int, np.ndarray]]:
+        """The grid and block of groups of one shape, which channels of one length share, and their places."""
+        numbers = (table[c].to_numpy()[begin[:-1]] for c in ("period", "have", "want", "block"))
+        for (period, have, want, block), at in arrow.alike(*numbers):
+            yield kernels.ChirpGrid(period, have, want, chunk), block, at
+
+    def blobs(x: np.ndarray, n: int) -> pa.Array:
+        """``x`` as ``n`` equal parts."""
+        x = np.ascontiguousarray(x)
+        return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * (x.nbytes // n)).astype(np.int32)), pa.py_buffer(x)])
+
+    def tiles(table: pa.Table, column: str, rows: np.ndarray, grid: kernels.ChirpGrid) -> np.ndarray:
+        """[group, part, row, column]"""
+        raw = b"".join(table[column].combine_chunks().take(pa.array(rows.ravel())).to_pylist())
+        return np.frombuffer(raw, complex).reshape(*rows.shape, grid.tall, grid.broad)
+
+    def columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, begin in arrow.tables(batches, group):
+            known, size = table["at"].is_valid().to_numpy(), np.diff(begin)
+            place = table["at"].fill_null(0).to_numpy()
+            value = table["re"].to_numpy().astype(float) + 1j * table["im"].to_numpy().astype(float)
+            for grid, block, every in alike(table, begin):
+                few = max(1, (arrow.ROWS * 16) // (grid.n1 * grid.broad))
+                for g in (every[i : i + few] for i in range(0, len(every), few)):
+                    rows = np.concatenate([np.arange(begin[i], begin[i + 1]) for i in g])
+                    of, rows = np.repeat(np.arange(len(g)), size[g])[known[rows]], rows[known[rows]]
+                    a, b = grid.columns(block, place[rows], value[rows], of, len(g))
+                    cuts = grid.n1 // grid.tall
+                    held = arrow.repeated(table, [*keys, *shape], begin[g], cuts)
+                    part = [pa.array(np.tile(np.arange(cuts), len(g))), pa.array(np.full(len(g) * cuts, block))]
+                    yield pa.RecordBatch.from_arrays([*held, *part, blobs(a, len(g) * cuts), blobs(np.broadcast_to(b, a.shape), len(g) * cuts)], names=names)
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, begin in arrow.tables(batches, group, many):
+            for grid, block, g in alike(table, begin):
+                cuts = grid.n2 // grid.broad
+                rows = begin[g][:, None] + np.arange(cuts)
+                a, b = (tiles(table, c, r, grid).swapaxes(1, 2).reshape(len(r), grid.tall, grid.n2) for c, r in (("tile", rows), ("chirp", rows[:1])))
+                c = grid.lines(block, a, b).reshape(len(g), grid.tall, cuts, grid.broad).swapaxes(1, 2)
+                held = arrow.repeated(table, [*keys, *shape], begin[g], cuts)
+                part = [pa.array(np.tile(np.arange(cuts), len(g))), pa.array(np.full(len(g) * cuts, block))]
+                yield pa.RecordBatch.from_arrays([*held, *part, blobs(c, len(g) * cuts), pa.nulls(len(g) * cuts, pa.binary())], names=names)
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, begin in arrow.tables(batches, group, many):
+            for grid, block, g in alike(table, begin):
+                rows = begin[g][:, None] + np.arange(grid.n1 // grid.tall)
+                at, y = grid.ends(block, tiles(table, "tile", rows, grid).reshape(len(g), grid.n1, grid.broad))
+                if len(at):
+                    held = arrow.repeated(table, [*keys, *shape], begin[g], len(at))
+                    yield pa.RecordBatch.from_arrays([*held, pa.array(np.tile(at, len(g))), *(pa.array(v.ravel(), from_pandas=True) for v in (y.real, y.imag))], names=[*keys, *shape, "at", "re", "im"])
+
+    turned = arrow.grouped(dealt.unionByName(every), group).mapInArrow(columns, tile)
+    through = arrow.grouped(turned, group, "part").mapInArrow(lines, tile)
+    return arrow.grouped(through, group, "part").mapInArrow(ends, f"{carried}, at long, re double, im double")
 
 
 def fir_filter(samples: DataFrame, taps, chunk: int = 65_536) -> DataFrame:
@@ -263,7 +294,7 @@ def _fir(samples: DataFrame, keys: list[str], columns: list[str], taps, chunk: i
                 rows = kernels.reflect(x[:, begin[at][:, None] + np.arange(length)], a, b)
                 y = kernels.fft_convolve(rows.reshape(-1, rows.shape[-1]), taps).reshape(rows.shape)[..., skip : skip + kept]
                 places = (own[at][:, None] + np.arange(kept)).ravel()
-                yield pa.RecordBatch.from_arrays([*arrow.repeated(table, keys, begin[at], kept), pa.array(places), *map(pa.array, y.reshape(len(columns), -1))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*arrow.repeated(table, keys, begin[at], kept), pa.array(places), *(pa.array(v, from_pandas=True) for v in y.reshape(len(columns), -1))], names=schema.names)
 
     return arrow.grouped(cut, group, "sample_idx").mapInArrow(run, schema)
 

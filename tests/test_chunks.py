@@ -182,3 +182,16 @@ def test_wide_filters_equal_those_of_each_channel(spark, chunk):
     long = wide.unpivot(["recording_id", "sample_idx"], ["a", "b"], "channel", "value")
     each = clean.iir_filter(long, 100, 10, 30, 2, chunk).groupBy("recording_id", "sample_idx").pivot("channel", ["a", "b"]).agg(F.first("value"))
     assert each.join(by_iir, ["recording_id", "sample_idx"]).filter(F.greatest(F.abs(each["a"] - by_iir["a"]), F.abs(each["b"] - by_iir["b"])) < 1e-9).count() == len(rows)
+
+
+def test_chirp_grid_takes_many_signals_together():
+    """Signals of one length give in one call what each gives by itself."""
+    x = np.random.default_rng(2).standard_normal((3, 50))
+    grid, at = kernels.ChirpGrid(50, 50, 26, 16), np.arange(50)
+    for block in range(grid.n2 // grid.broad):
+        own = at[at % grid.n2 // grid.broad == block]
+        together, chirp = grid.columns(block, np.tile(own, 3), x[:, own].ravel(), np.repeat(np.arange(3), len(own)), 3)
+        for k in range(3):
+            a, b = grid.columns(block, own, x[k, own])
+            assert np.allclose(together[k], a) and np.allclose(chirp, b)
+            assert np.allclose(grid.ends(block, together)[1][k], grid.ends(block, a)[1])
